@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import quality, toxicity
+from . import mixing, quality, secret_scan, simhash, toxicity
 from .common import table
 
 
@@ -16,5 +16,17 @@ def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
-QUERIES = {"op1_toxicity": op1_toxicity, "op7_quality": op7_quality}
-ORACLE: dict[str, str] = {}
+def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix(table(spark, sf_dir, "documents"))
+
+
+def op6_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secret_scan.scan(table(spark, sf_dir, "documents"))
+
+
+def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.near_duplicates(table(spark, sf_dir, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (op1_toxicity, op4_mixing, op6_secrets, op7_quality, op9_simhash)}
+ORACLE = {"op4_mixing": mixing.ORACLE_SQL, "op6_secrets": secret_scan.ORACLE_SQL}
