@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import mixing, quality, secret_scan, simhash, toxicity
+from . import bm25, decontam, langid, mixing, pii, quality, secret_scan, simhash, toxicity, warc
 from .common import table
 
 
@@ -28,5 +28,34 @@ def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_toxicity, op4_mixing, op6_secrets, op7_quality, op9_simhash)}
-ORACLE = {"op4_mixing": mixing.ORACLE_SQL, "op6_secrets": secret_scan.ORACLE_SQL}
+def op2_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return langid.identify(table(spark, sf_dir, "documents"))
+
+
+def op3_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.round_trip(table(spark, sf_dir, "pages"))
+
+
+def op5_bm25(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bm25.search(table(spark, sf_dir, "documents"))
+
+
+def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontam.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.find(table(spark, sf_dir, "documents"))
+
+
+QUERIES = {
+    f.__name__: f
+    for f in (op1_toxicity, op2_language, op3_warc, op4_mixing, op5_bm25, op6_secrets, op7_quality, op8_decontamination, op9_simhash, op10_pii)
+}
+ORACLE = {
+    "op3_warc": warc.ORACLE_SQL,
+    "op4_mixing": mixing.ORACLE_SQL,
+    "op5_bm25": bm25.ORACLE_SQL,
+    "op6_secrets": secret_scan.ORACLE_SQL,
+    "op8_decontamination": decontam.ORACLE_SQL,
+}
