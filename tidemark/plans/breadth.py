@@ -1 +1,99 @@
-"""To come."""
+"""Breadth, sentiment, monitor feed, nearest-time comparison, forecast drift."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, Window
+from pyspark.sql import functions as F
+
+from tidemark import adapters as a
+from tidemark.operators import market as op
+from tidemark.operators import pit
+
+from .factors import WIDE_SQL, wide
+from .registry import BARS, TICKS, query, scaled
+
+QUOTE = f"""{BARS}, q0 AS (SELECT *, lag(close) OVER (PARTITION BY symbol ORDER BY session) AS prev FROM bars),
+q AS (SELECT symbol, session, (close / nullif(prev, 0) - 1) * 100 AS change, close AS last, high, prev * 1.5 AS limit_up, prev * .6 AS limit_down, amount FROM q0)"""
+BREADTH = f"""{QUOTE}, br AS (SELECT session AS ts, count(*) FILTER (change > 0) AS advancers, count(*) FILTER (change < 0) AS decliners, count(*) FILTER (change = 0) AS unchanged,
+ count(*) FILTER (last >= limit_up) AS limit_up_n, count(*) FILTER (last <= limit_down) AS limit_down_n, count(*) FILTER (high >= limit_up AND NOT last >= limit_up) AS broken,
+ count(*) FILTER (change > 4) AS up_4, count(*) FILTER (change < -4) AS down_4, sum(amount) AS amount, avg(change) AS mean_change, median(change) AS median_change FROM q WHERE change IS NOT NULL GROUP BY 1)"""
+COUNTS = "advancers decliners unchanged limit_up_n limit_down_n broken up_4 down_4"
+
+
+def quotes(spark, sf) -> DataFrame:
+    b = a.bars(spark, sf)
+    prev = F.lag("close").over(Window.partitionBy("symbol").orderBy("session"))
+    b = b.withColumn("prev", prev)
+    return b.select("symbol", F.col("session").alias("ts"), ((F.try_divide(F.col("close"), F.col("prev")) - 1) * 100).alias("change"), F.col("close").alias("last"), "high",
+                    (F.col("prev") * 1.5).alias("limit_up"), (F.col("prev") * 0.6).alias("limit_down"), "amount")
+
+
+@query("a2_market_breadth", f"ts {COUNTS}", "amount mean_change median_change", f"WITH {BREADTH} SELECT * FROM br")
+def a2(spark, sf):
+    return op.breadth(quotes(spark, sf), ["ts"])
+
+
+SENT = f"""{BREADTH}, ob AS (SELECT *, advancers / nullif(advancers + decliners, 0) AS share, (limit_up_n - broken)::DOUBLE AS ecology FROM br),
+ob2 AS (SELECT * REPLACE (CASE WHEN amount > 0 THEN amount END AS amount), CASE WHEN count(mean_change) OVER (ORDER BY ts ROWS 4 PRECEDING) = 5 THEN stddev_pop(mean_change) OVER (ORDER BY ts ROWS 4 PRECEDING) END AS volatility FROM ob),
+rk AS (SELECT *, {scaled("share", "")} AS r_share, {scaled("amount", "")} AS r_amount, {scaled("ecology", "")} AS r_ecology, 100 - {scaled("volatility", "")} AS r_volatility FROM ob2),
+st AS (SELECT *, concat_ws(',', CASE WHEN r_share IS NULL THEN 'share' END, CASE WHEN r_amount IS NULL THEN 'amount' END, CASE WHEN r_ecology IS NULL THEN 'ecology' END, CASE WHEN r_volatility IS NULL THEN 'volatility' END) AS degraded,
+  .3 * coalesce(r_share, 50) + .25 * coalesce(r_amount, 50) + .25 * coalesce(r_ecology, 50) + .2 * coalesce(r_volatility, 50) AS sentiment FROM rk),
+sl AS (SELECT *, CASE WHEN sentiment < 30 THEN 'coldest' WHEN sentiment < 45 THEN 'weak' WHEN sentiment < 60 THEN 'neutral' WHEN sentiment <= 75 THEN 'strong' ELSE 'hottest' END AS label FROM st)"""
+
+
+def sentiment(spark, sf) -> DataFrame:
+    obs = op.observations(op.breadth(quotes(spark, sf), ["ts"]))
+    w = Window.orderBy("ts").rowsBetween(-4, 0)
+    vol = F.when(F.count("mean_change").over(w) == 5, F.stddev_pop("mean_change").over(w))
+    return op.sentiment(obs.withColumn("volatility", vol))
+
+
+@query("c4_sentiment", "ts label degraded", "share ecology r_share r_amount r_ecology r_volatility sentiment", f"WITH {SENT} SELECT * FROM sl")
+def c4(spark, sf):
+    return sentiment(spark, sf)
+
+
+@query(
+    "w22_w23_monitor_feed", "ts kind", "delta",
+    f"""WITH {SENT}, p AS (SELECT *, lag(amount) OVER w AS pa, lag(share) OVER w AS ps, lag(limit_up_n) OVER w AS pl, lag(label) OVER w AS pb FROM sl WINDOW w AS (ORDER BY ts))
+    SELECT ts, 'amount' AS kind, amount / nullif(pa, 0) - 1 AS delta FROM p WHERE abs(amount / nullif(pa, 0) - 1) >= .05 UNION ALL SELECT ts, 'breadth', share - ps FROM p WHERE (share > .5) <> (ps > .5)
+    UNION ALL SELECT ts, 'limit_up', (limit_up_n - pl)::DOUBLE FROM p WHERE abs(limit_up_n - pl) >= 5 UNION ALL SELECT ts, 'label', NULL FROM p WHERE label <> pb""",
+)
+def w22(spark, sf):
+    return op.changes(sentiment(spark, sf))
+
+
+@query(
+    "j8_nearest_prior_day", "event_id near_id", "value near_value",
+    f"""WITH {TICKS}, c AS (SELECT l.event_id, l.value, r.event_id AS near_id, r.value AS near_value,
+      row_number() OVER (PARTITION BY l.event_id ORDER BY abs(epoch(r.ts)::BIGINT - epoch(l.ts)::BIGINT + 86400), epoch(r.ts)::BIGINT, r.event_id) AS n
+      FROM ticks l LEFT JOIN ticks r ON r.event_type = l.event_type AND abs(floor(epoch(r.ts))::BIGINT - floor(epoch(l.ts))::BIGINT + 86400) <= 90)
+    SELECT t.event_id, x.near_id, t.value, x.near_value FROM ticks t LEFT JOIN (
+      SELECT l.event_id, arg_min(r.event_id, [abs(floor(epoch(r.ts))::BIGINT + 86400 - floor(epoch(l.ts))::BIGINT), floor(epoch(r.ts))::BIGINT, r.event_id]) AS near_id,
+             arg_min(r.value, [abs(floor(epoch(r.ts))::BIGINT + 86400 - floor(epoch(l.ts))::BIGINT), floor(epoch(r.ts))::BIGINT, r.event_id]) AS near_value
+      FROM ticks l JOIN ticks r ON r.event_type = l.event_type AND abs(floor(epoch(r.ts))::BIGINT + 86400 - floor(epoch(l.ts))::BIGINT) <= 90 GROUP BY 1) x USING (event_id)""",
+)
+def j8(spark, sf):
+    t = a.ticks(spark, sf).select("event_id", "event_type", F.col("ts").cast("timestamp").alias("ts"), "value")
+    prior = t.withColumn("ts", F.col("ts") + F.expr("interval 1 day")).groupBy("event_type", F.date_trunc("second", "ts").alias("ts")).agg(F.min_by("value", "event_id").alias("v"), F.min("event_id").alias("id"))
+    near = pit.nearest(t, prior, ["event_type"], "ts", 90)
+    return near.select("event_id", F.col("id_near").alias("near_id"), "value", F.col("v_near").alias("near_value"))
+
+
+DRIFT = f"""{WIDE_SQL}, dr AS (SELECT symbol, session, p20 AS p, p20 - lag(p20, 5) OVER (PARTITION BY symbol ORDER BY session) AS dlt FROM wide),
+drift AS (SELECT *, CASE WHEN dlt > .08 + 1e-12 THEN 'strengthened' WHEN dlt < -.08 - 1e-12 THEN 'weakened' WHEN dlt IS NOT NULL THEN 'unchanged' END AS drift FROM dr)"""
+
+
+@query("w27_thesis_drift", "symbol session drift", "p", f"WITH {DRIFT} SELECT * FROM drift")
+def w27(spark, sf):
+    return op.thesis_drift(wide(spark, sf).select("symbol", "session", F.col("p20").alias("p")))
+
+
+@query(
+    "c20_t7_state_transitions", "symbol session before after", "",
+    f"WITH {DRIFT}, s AS (SELECT symbol, session, drift AS after, lag(drift) OVER (PARTITION BY symbol ORDER BY session) AS before FROM drift WHERE drift <> 'unchanged') SELECT * FROM s WHERE before IS DISTINCT FROM after",
+)
+def c20(spark, sf):
+    d = op.thesis_drift(wide(spark, sf).select("symbol", "session", F.col("p20").alias("p"))).where("drift <> 'unchanged'")
+    s = d.withColumn("before", F.lag("drift").over(Window.partitionBy("symbol").orderBy("session"))).withColumn("after", F.col("drift"))
+    return s.where(~F.col("before").eqNullSafe(F.col("after")))
