@@ -1 +1,74 @@
-"""To come."""
+"""Streaming jobs over the event files, run to the end of their input; the SQL is the batch form."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from tidemark import adapters as a
+from tidemark.streaming import jobs
+
+from .registry import TICKS, query
+
+
+def stream(spark, sf):
+    e = jobs.read(spark, sf, "events.parquet")
+    return e.select("event_id", F.col("ts").cast("timestamp").alias("ts"), a.symbol("user_id").alias("symbol"), "event_type", "value")
+
+
+@query("t2_minute_breadth", "minute event_type n", "total highest", f"WITH {TICKS} SELECT date_trunc('minute', ts)::VARCHAR AS minute, event_type, count(*) AS n, sum(value) AS total, max(value) AS highest FROM ticks GROUP BY 1, 2")
+def t2(spark, sf):
+    out = jobs.drain(jobs.minute_breadth(stream(spark, sf)), "update", ["minute", "event_type"])
+    return out.withColumn("minute", F.date_format("minute", "yyyy-MM-dd HH:mm:ss"))
+
+
+@query("t4_unique_events", "symbol n", "total", f"WITH {TICKS} SELECT symbol, count(*) AS n, sum(value) AS total FROM ticks GROUP BY 1")
+def t4(spark, sf):
+    twice = stream(spark, sf).withColumn("copy", F.explode(F.array(F.lit(0), F.lit(1))))
+    out = jobs.drain(jobs.unique_events(twice, "event_id").drop("copy"))
+    return out.groupBy("symbol").agg(F.count("*").alias("n"), F.sum("value").alias("total"))
+
+
+@query("t9_idempotent_sink", "event_type n", "", f"WITH {TICKS} SELECT event_type, count(*) AS n FROM ticks GROUP BY 1")
+def t9(spark, sf):
+    twice = stream(spark, sf).withColumn("copy", F.explode(F.array(F.lit(0), F.lit(1)))).drop("copy")
+    return jobs.drain(twice, "append", ["event_id"]).groupBy("event_type").agg(F.count("*").alias("n"))
+
+
+@query(
+    "t7_state_machine", "symbol ref before after", "",
+    f"WITH {TICKS}, e AS (SELECT symbol, strftime(ts, '%Y%m%d%H%M%S') || lpad(event_id::VARCHAR, 12, '0') AS ref, event_type AS after FROM ticks), l AS (SELECT *, lag(after) OVER (PARTITION BY symbol ORDER BY ref) AS before FROM e) SELECT symbol, ref, before, after FROM l WHERE before IS DISTINCT FROM after",
+)
+def t7(spark, sf):
+    ref = F.concat(F.date_format("ts", "yyyyMMddHHmmss"), F.lpad(F.col("event_id").cast("string"), 12, "0"))
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    try:
+        return jobs.drain(jobs.transitions(stream(spark, sf).select("symbol", F.col("event_type").alias("state"), ref.alias("ref"))))
+    finally:
+        spark.conf.unset("spark.sql.streaming.stateStore.providerClass")
+
+
+@query(
+    "t8_gap_sessions", "symbol sessions n", "",
+    f"""WITH {TICKS}, g AS (SELECT symbol, ts, (ts - lag(ts) OVER (PARTITION BY symbol ORDER BY ts) >= INTERVAL 12 HOUR)::INT AS cut FROM ticks) SELECT symbol, sum(coalesce(cut, 0))::BIGINT + 1 AS sessions, count(*) AS n FROM g GROUP BY 1""",
+)
+def t8(spark, sf):
+    t = a.ticks(spark, sf).withColumn("ts", F.col("ts").cast("timestamp"))
+    return jobs.gap_sessions(t, "12 hours").groupBy("symbol").agg(F.count("*").alias("sessions"), F.sum("n").alias("n"))
+
+
+@query(
+    "t10_expected_slots", "slot", "",
+    f"WITH {TICKS}, r AS (SELECT unnest(generate_series(TIMESTAMP '2024-01-01', TIMESTAMP '2024-01-30 23:00:00', INTERVAL 1 HOUR)) AS s) SELECT s::VARCHAR AS slot FROM r WHERE NOT EXISTS (SELECT 1 FROM ticks WHERE event_type = 'click' AND date_trunc('hour', ts) = s)",
+)
+def t10(spark, sf):
+    slots = spark.sql("select explode(sequence(timestamp'2024-01-01', timestamp'2024-01-30 23:00:00', interval 1 hour)) as s")
+    seen = a.ticks(spark, sf).where("event_type = 'click'").select(F.date_trunc("hour", F.col("ts").cast("timestamp")).alias("s")).distinct()
+    return slots.join(seen, "s", "left_anti").select(F.date_format("s", "yyyy-MM-dd HH:mm:ss").alias("slot"))
+
+
+@query("x80_slot_matching", "job slot run", "")
+def x80(spark, sf):
+    t = a.ticks(spark, sf).withColumn("at", F.unix_seconds(F.col("ts").cast("timestamp")))
+    runs = t.select(F.col("event_type").alias("job"), "at")
+    slots = runs.groupBy("job").agg(F.min("at").alias("a"), F.max("at").alias("b")).select("job", F.explode(F.expr("sequence(a - a % 3600, b, 3600)")).alias("at"))
+    return jobs.slot_matches(slots, runs, 600)
