@@ -51,7 +51,7 @@ def cumulative(mean: Column) -> Column:
 
 
 def rates(docs: DataFrame, weights: dict[str, float], other: float, budget: float | None = None, null_name: str = "(none)") -> DataFrame:
-    """(source, mean, parts, cdf) for each source: one pass over the texts' lengths, summed before the shuffle."""
+    """(__source, __mean, __parts, __cdf) for each source: one pass over the texts' lengths, summed before the shuffle."""
     named = docs.select(F.coalesce("source", F.lit(null_name)).alias("source"), F.coalesce(F.length("text"), F.lit(0)).cast("long").alias("n"))
     per = named.groupBy("source").agg(F.sum("n").alias("chars"))
     weight = F.coalesce(*(F.when(F.col("source") == k, F.lit(float(v))) for k, v in weights.items()), F.lit(float(other)))
@@ -60,28 +60,28 @@ def rates(docs: DataFrame, weights: dict[str, float], other: float, budget: floa
     per = per.crossJoin(F.broadcast(total))  # one row
     goal = F.lit(float(budget)) if budget is not None else F.col("all_chars").cast("double")
     mean = F.when(F.col("weight") > 0, goal * F.col("weight") / F.col("weights") / F.col("chars")).otherwise(F.lit(0.0))
-    per = per.select("source", mean.alias("mean"))
-    per = per.withColumn("parts", F.greatest(F.lit(1), F.ceil(F.col("mean") / PART_MEAN)).cast("int"))
-    return per.select("source", "mean", "parts", cumulative(F.col("mean") / F.col("parts")).alias("cdf"))
+    per = per.select(F.col("source").alias("__source"), mean.alias("__mean"))
+    per = per.withColumn("__parts", F.greatest(F.lit(1), F.ceil(F.col("__mean") / PART_MEAN)).cast("int"))
+    return per.withColumn("__cdf", cumulative(F.col("__mean") / F.col("__parts")))
 
 
 def copies(doc_id: Column, seed: str = SEED) -> Column:
-    """The Poisson count of a row that has the columns parts and cdf."""
+    """The Poisson count of a row that has the columns of its source's rate."""
     key = F.coalesce(doc_id.cast("string"), F.lit(""))
 
     def draw(i: Column) -> Column:
         u = uniform(F.lit(seed), i.cast("string"), key)
-        return F.size(F.filter(F.col("cdf"), lambda c: c <= u))
+        return F.size(F.filter(F.col("__cdf"), lambda c: c <= u))
 
     one = draw(F.lit(0))
-    many = F.aggregate(F.sequence(F.lit(1), F.col("parts") - 1), F.lit(0), lambda acc, i: acc + draw(i))
-    return F.when(F.col("mean") <= 0, 0).when(F.col("parts") > 1, one + many).otherwise(one)
+    many = F.aggregate(F.sequence(F.lit(1), F.col("__parts") - 1), F.lit(0), lambda acc, i: acc + draw(i))
+    return F.when(F.col("__mean") <= 0, 0).when(F.col("__parts") > 1, one + many).otherwise(one)
 
 
 def mix(docs: DataFrame, weights: dict[str, float] | None = None, other: float = OTHER, budget: float | None = None, seed: str = SEED, null_name: str = "(none)") -> DataFrame:
     """All columns of docs, then copy (0, 1, ...) and shuffle_key, for each copy that the target weights ask for, in a
     global random order. budget: characters of the result in the mean; by default those of docs."""
-    per = rates(docs, WEIGHTS if weights is None else weights, other, budget, null_name).withColumnRenamed("source", "__source")
+    per = rates(docs, WEIGHTS if weights is None else weights, other, budget, null_name)
     named = docs.withColumn("__source", F.coalesce("source", F.lit(null_name)))
     if per.count() <= BROADCAST_SOURCES:
         counted = named.join(F.broadcast(per), "__source")
