@@ -12,10 +12,13 @@ from pyspark.sql import functions as F
 TRACKING = ("utm_source", "utm_medium", "utm_campaign", "utm_term", "utm_content", "spm", "from", "ref")
 
 
-@F.pandas_udf("string")
-def nfkc(s: pd.Series) -> pd.Series:
-    """Unicode NFKC, for which there is no built-in function."""
-    return s.map(lambda x: None if x is None else unicodedata.normalize("NFKC", x))
+def nfkc(text: Column) -> Column:
+    """Unicode NFKC, for which there is no built-in function: an Arrow-batched UDF."""
+
+    def run(s: pd.Series) -> pd.Series:
+        return s.map(lambda x: None if x is None else unicodedata.normalize("NFKC", x))
+
+    return F.pandas_udf(run, "string")(text)
 
 
 def normalise(text: Column, compatibility: bool = False) -> Column:
