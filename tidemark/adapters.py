@@ -39,8 +39,12 @@ def _ohlc(lines: DataFrame, session) -> DataFrame:
 
 
 def bars(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(symbol, session, open, high, low, close, volume, amount): a session is a month of a supplier's lines."""
-    return _ohlc(table(spark, sf_dir, "lineitem"), F.trunc("l_shipdate", "month"))
+    """(symbol, session, open, high, low, close, volume, amount): a session is a month of a supplier's lines.
+
+    Marked to be cached (in memory, then on disk): a query refers to the bars several times, for the calendar, the factors
+    and the execution prices, with different columns each, so Spark would else scan and sum up the lines each time.
+    """
+    return _ohlc(table(spark, sf_dir, "lineitem"), F.trunc("l_shipdate", "month")).cache()
 
 
 def daily_bars(spark: SparkSession, sf_dir: str) -> DataFrame:

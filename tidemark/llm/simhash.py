@@ -37,6 +37,8 @@ from .common import stage_table
 WORDS, SEED, BITS, LIMIT = 4, 42, 64, 4
 #: Rows of a bucket that one task compares; larger buckets are divided into blocks, and every pair of blocks is compared.
 BLOCK = 8192
+#: Up to so many ids of dropped documents are broadcast (under 20 MB).
+BROADCAST_IDS = 500_000
 #: Relative costs of a shuffled probe row and of one comparison of two fingerprints in a bucket.
 ROW_COST, PAIR_COST = 1.0, 0.004
 
@@ -67,15 +69,15 @@ def fingerprint(text: str | None) -> int:
 
 
 def fingerprints(docs: DataFrame) -> DataFrame:
-    """(doc_id, fp): fp is the fingerprint's 64 bits as a signed long."""
+    """(doc_id, fp, th): fp is the fingerprint's 64 bits as a signed long, th a hash that tells texts of one id apart."""
 
     def run(batches):
         for b in batches:
             fp = np.array([fingerprint(t) for t in b.column(1).to_pylist()], np.uint64).view(np.int64)
-            yield pa.record_batch([b.column(0), pa.array(fp)], names=["doc_id", "fp"])
+            yield pa.record_batch([b.column(0), pa.array(fp), b.column(2)], names=["doc_id", "fp", "th"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, fp long")
+    return docs.select("doc_id", "text", F.xxhash64("text").alias("th")).mapInArrow(run, f"doc_id {kind}, fp long, th long")
 
 
 # ---------------------------------------------------------------- the plan of the search
@@ -313,7 +315,7 @@ def components(edges: DataFrame) -> DataFrame:
 
 
 def classes(docs: DataFrame) -> DataFrame:
-    """(doc_id, fp, component_id) for every row of docs."""
+    """(doc_id, fp, th, component_id) for every row of docs."""
     marked = stage_table(fingerprints(docs), "fingerprints")
     distinct = stage_table(marked.groupBy("fp").agg(F.min("doc_id").alias("first")), "distinct")
     n, both = bit_counts(distinct)
@@ -323,7 +325,7 @@ def classes(docs: DataFrame) -> DataFrame:
     named = distinct.join(roots, distinct.fp == roots.node, "left").select("fp", "first", F.coalesce("root", "fp").alias("root"))
     least = named.groupBy("root").agg(F.min("first").alias("component_id"))
     per_fp = named.join(least, "root").select("fp", "component_id")
-    return marked.join(per_fp, "fp").select("doc_id", "fp", "component_id")
+    return marked.join(per_fp, "fp").select("doc_id", "fp", "th", "component_id")
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
@@ -334,11 +336,15 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
 def keep_first(docs: DataFrame) -> DataFrame:
     """The rows of docs, all columns unchanged, that are the first of their class: one row for each class.
 
-    A kept doc_id that repeats is reduced to one row; rows without a doc_id can't be named first and are all kept.
+    The ids to drop are broadcast while they are few (a checked bound), and else joined by a shuffle. Where a doc_id
+    repeats, its first text by hash that begins a class stays, once; rows without a doc_id can't be named first and are
+    all kept.
     """
-    keepers = classes(docs).where(F.col("doc_id") == F.col("component_id")).groupBy("doc_id").agg(F.count("*").alias("n"))
-    keepers = stage_table(keepers, "keepers")
-    kept = docs.join(keepers, "doc_id", "left_semi")
-    if keepers.where("n > 1").limit(1).count():
-        kept = kept.dropDuplicates(["doc_id"])
-    return kept.union(docs.where(F.col("doc_id").isNull()))
+    found = stage_table(classes(docs), "classes").where(F.col("doc_id").isNotNull())
+    if found.groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1").isEmpty():
+        drop = found.where(F.col("doc_id") != F.col("component_id")).select("doc_id")
+        drop = F.broadcast(drop) if drop.count() <= BROADCAST_IDS else drop
+        return docs.join(drop, "doc_id", "left_anti").select(*(F.col(f"`{c}`") for c in docs.columns))
+    keepers = found.where(F.col("doc_id") == F.col("component_id")).groupBy("doc_id").agg(F.min("th").alias("__th"))
+    kept = docs.withColumn("__th", F.xxhash64("text")).join(keepers, ["doc_id", "__th"], "left_semi").dropDuplicates(["doc_id"])
+    return kept.select(*(F.col(f"`{c}`") for c in docs.columns)).union(docs.where(F.col("doc_id").isNull()))

@@ -42,13 +42,13 @@ def nav_performance(nav: DataFrame, by: list[str], year: int = 252) -> DataFrame
     """total, annual, volatility, sharpe, drawdown and calmar of a NAV series (session, nav); series with a value that is
     not positive are left out."""
     w = Window.partitionBy(*by).orderBy("session")
-    d = nav.withColumn("__r", F.col("nav") / F.lag("nav").over(w) - 1)
-    d = d.withColumn("__dd", F.col("nav") / F.max("nav").over(w.rowsBetween(Window.unboundedPreceding, 0)) - 1)
+    d = nav.withColumn("__r", F.try_divide(F.col("nav"), F.lag("nav").over(w)) - 1)
+    d = d.withColumn("__dd", F.try_divide(F.col("nav"), F.max("nav").over(w.rowsBetween(Window.unboundedPreceding, 0))) - 1)
     g = d.groupBy(*by).agg(
         F.count("*").alias("n"), F.min("nav").alias("__low"), F.min_by("nav", "session").alias("__a"), F.max_by("nav", "session").alias("__b"),
         F.stddev_samp("__r").alias("__sd"), F.avg("__r").alias("__m"), F.min("__dd").alias("drawdown"),
     ).where("__low > 0")
-    g = g.withColumn("total", F.col("__b") / F.col("__a") - 1)
+    g = g.withColumn("total", F.try_divide(F.col("__b"), F.col("__a")) - 1)
     g = g.withColumn("annual", F.when(F.col("n") > 1, F.pow(1 + F.col("total"), F.lit(float(year)) / (F.col("n") - 1)) - 1))
     g = g.withColumn("volatility", F.col("__sd") * F.sqrt(F.lit(float(year))))
     g = g.withColumn("sharpe", F.try_divide(F.col("__m") * year, F.nullif(F.col("volatility"), F.lit(0.0))))
