@@ -21,6 +21,8 @@ from pyspark.sql import functions as F
 
 #: Code points between complementary parts, at most.
 SCOPE = 300
+#: Matches whose spans are put into one array before the arrays of a text are joined.
+CHUNK = 512
 MASK = "[SECRET]"
 
 # fixed values: the contract's patterns, letters of the key words in either case
@@ -48,16 +50,36 @@ def spans(text: Column, pattern: str, keep=None) -> Column:
         lambda m, p: F.struct(F.length(p).cast("long").alias("gap"), F.length(m).cast("long").alias("len"), (keep(m) if keep else F.lit(True)).alias("ok")),
     )
     empty = F.expr("cast(array() as array<struct<s: bigint, e: bigint>>)")
-    summed = F.aggregate(
-        measured,
-        F.struct(F.lit(0).cast("long").alias("at"), empty.alias("out")),
-        lambda acc, x: F.struct(
-            (acc["at"] + x["gap"] + x["len"]).alias("at"),
-            F.when(x["ok"], F.concat(acc["out"], F.array(F.struct((acc["at"] + x["gap"]).alias("s"), (acc["at"] + x["gap"] + x["len"]).alias("e")))))
-            .otherwise(acc["out"])
-            .alias("out"),
-        ),
-    )["out"]
+
+    def chunk(part: Column) -> Column:
+        """Length and spans of up to CHUNK matches, from the start of the first one's gap."""
+        return F.aggregate(
+            part,
+            F.struct(F.lit(0).cast("long").alias("at"), empty.alias("out")),
+            lambda acc, x: F.struct(
+                (acc["at"] + x["gap"] + x["len"]).alias("at"),
+                F.when(x["ok"], F.concat(acc["out"], F.array(F.struct((acc["at"] + x["gap"]).alias("s"), (acc["at"] + x["gap"] + x["len"]).alias("e")))))
+                .otherwise(acc["out"])
+                .alias("out"),
+            ),
+        )
+
+    def whole_text(m: Column) -> Column:
+        """The chunks one behind the other: appending to an array copies it, so arrays that grow are kept short."""
+        chunks = F.transform(F.sequence(F.lit(0), F.floor((F.size(m) - 1) / CHUNK).cast("int")), lambda i: chunk(F.slice(m, i * CHUNK + 1, F.lit(CHUNK))))
+        start = F.struct(F.lit(0).cast("long").alias("at"), F.expr("cast(array() as array<array<struct<s: bigint, e: bigint>>>)").alias("out"))
+        placed = F.aggregate(
+            chunks,
+            start,
+            lambda acc, c: F.struct(
+                (acc["at"] + c["at"]).alias("at"),
+                F.concat(acc["out"], F.array(F.transform(c["out"], lambda x: F.struct((x["s"] + acc["at"]).alias("s"), (x["e"] + acc["at"]).alias("e"))))).alias("out"),
+            ),
+        )
+        return F.flatten(placed["out"])
+
+    # a one-element array holds the matches, so that they are found once for each text
+    summed = F.get(F.transform(F.array(measured), whole_text), F.lit(0))
     return F.when(text.rlike(pattern), summed).otherwise(empty)
 
 
