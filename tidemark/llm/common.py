@@ -48,8 +48,8 @@ def hashed_sample(df: DataFrame, key: str, rows: int, seed: int) -> DataFrame:
     return df.where(F.pmod(F.xxhash64(F.col(key), F.lit(seed)), F.lit(1 << 31)) < limit)
 
 
-def labelled_texts(docs: DataFrame, labels: DataFrame, label: str, parts: int, out: int, rows: int, seed: int = 7):
-    """(text, y) pairs for fitting: a bounded sample of the labelled rows outside the held-out fold.
+def labelled(docs: DataFrame, labels: DataFrame, label: str, parts: int, out: int, rows: int, seed: int = 7) -> DataFrame:
+    """(doc_id, text, y) for fitting: a bounded sample of the labelled rows outside the held-out fold.
 
     ``rows`` bounds the sample whatever the size of the tables; null labels, null ids and null texts are left out,
     and a doc_id with contradicting labels takes the larger one.
@@ -62,5 +62,9 @@ def labelled_texts(docs: DataFrame, labels: DataFrame, label: str, parts: int, o
     )
     picked = hashed_sample(known, "doc_id", rows, seed)
     # at most about `rows` pairs of 12 bytes: a proven bound, so the documents are not shuffled
-    got = docs.select("doc_id", "text").where(F.col("text").isNotNull()).join(F.broadcast(picked), "doc_id")
-    return [(r["text"], r["y"]) for r in got.select("doc_id", "text", "y").orderBy("doc_id", "text").collect()]
+    return docs.select("doc_id", "text").where(F.col("text").isNotNull()).join(F.broadcast(picked), "doc_id").select("doc_id", "text", "y")
+
+
+def labelled_texts(*args, **kwargs) -> list[tuple[str, int]]:
+    """(text, y) pairs of ``labelled``, in the order of doc_id and text."""
+    return [(r["text"], r["y"]) for r in labelled(*args, **kwargs).orderBy("doc_id", "text").collect()]
