@@ -23,6 +23,8 @@ from pyspark.sql import functions as F
 SCOPE = 300
 #: Matches whose spans are put into one array before the arrays of a text are joined.
 CHUNK = 512
+#: Weak candidates that are linked together.
+NEAR = 128
 MASK = "[SECRET]"
 
 # fixed values: the contract's patterns, letters of the key words in either case
@@ -83,14 +85,35 @@ def spans(text: Column, pattern: str, keep=None) -> Column:
     return F.when(text.rlike(pattern), summed).otherwise(empty)
 
 
+def linked(weak: Column, strong: Column, scope: int, wanted: bool) -> Column:
+    """The intervals of weak that meet (or, if not wanted, don't meet) one of strong, widened by scope.
+
+    weak comes sorted, as spans() gives it. It is taken NEAR intervals at a time, and each meets only the strong ones that
+    its run can reach, so the work is about linear in the longer array and not their product.
+    """
+
+    def reaches(s: Column, first: Column, last: Column) -> Column:
+        return (s["s"] < last["e"] + scope) & (s["e"] + scope > first["s"])
+
+    def run(i: Column) -> Column:
+        own = F.slice(weak, i * NEAR + 1, F.lit(NEAR))
+        ends = F.struct(own.alias("own"), F.get(own, F.lit(0)).alias("first"), F.element_at(own, -1).alias("last"))
+        # one-element arrays hold what the lambdas below use, so that it is made once for each run
+        close = F.transform(F.array(ends), lambda r: F.struct(r["own"].alias("own"), F.filter(strong, lambda s: reaches(s, r["first"], r["last"])).alias("close")))
+        return F.get(F.transform(close, lambda r: F.filter(r["own"], lambda w: F.exists(r["close"], lambda s: reaches(s, w, w)) == F.lit(wanted))), F.lit(0))
+
+    runs = F.sequence(F.lit(0), F.floor((F.size(weak) - 1) / NEAR).cast("int"))
+    return F.when(F.size(weak) > 0, F.flatten(F.transform(runs, run))).otherwise(weak)
+
+
 def near(weak: Column, strong: Column, scope: int = SCOPE) -> Column:
     """The intervals of weak that meet one of strong, widened by scope."""
-    return F.filter(weak, lambda w: F.exists(strong, lambda s: (s["s"] < w["e"] + scope) & (s["e"] + scope > w["s"])))
+    return linked(weak, strong, scope, True)
 
 
 def outside(weak: Column, strong: Column) -> Column:
     """The intervals of weak that overlap none of strong."""
-    return F.filter(weak, lambda w: ~F.exists(strong, lambda s: (s["s"] < w["e"]) & (s["e"] > w["s"])))
+    return linked(weak, strong, 0, False)
 
 
 def find(docs: DataFrame, scope: int = SCOPE) -> DataFrame:
@@ -109,7 +132,8 @@ def find(docs: DataFrame, scope: int = SCOPE) -> DataFrame:
         }
     )
     # columns that later ones refer to are materialised once by the projections above
-    found = found.withColumn("__key", outside(near(F.col("__key"), F.col("__access"), scope), F.concat("__assign", "__access", "__hex")))
+    found = found.withColumn("__key", near(F.col("__key"), F.col("__access"), scope))
+    found = found.withColumn("__key", outside(F.col("__key"), F.concat("__assign", "__access", "__hex")))
     return found.withColumn("__endpoint", near(F.col("__endpoint"), F.concat("__access", "__assign"), scope))
 
 
