@@ -65,7 +65,8 @@ def overlaps(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     items = stage_table(benchmark.select("item_id", words(F.col("text")).alias("tokens")).where(F.size("tokens") >= WIDTH), "items")
     bench = exploded(items.withColumn("__item", F.xxhash64("item_id", "tokens")), ["__item"], "ip").distinct()
     bench = stage_table(bench, "seeds")
-    bench = F.broadcast(bench) if bench.count() <= BROADCAST_SEEDS else bench
+    small = bench.count() <= BROADCAST_SEEDS
+    bench = F.broadcast(bench) if small else bench
     texts = docs.select(_key().alias("__key"), "text", "doc_id")
     cut = texts.select("__key", words(F.col("text")).alias("tokens"))
     hits = exploded(cut, ["__key"], "dp").join(bench, "h").select("__key", "__item", (F.col("dp") - F.col("ip")).alias("diag")).distinct()
@@ -74,7 +75,8 @@ def overlaps(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     known = F.broadcast(keys) if keys.count() <= BROADCAST_HITS else keys
     found = texts.join(known, "__key", "left_semi").dropDuplicates(["__key"]).select("__key", "doc_id", words(F.col("text")).alias("tokens"))
     items = items.select(F.xxhash64("item_id", "tokens").alias("__item"), "item_id", F.col("tokens").alias("item"))
-    both = hits.join(found, "__key").join(items, "__item")
+    # the items' words join first: they are short, and a document's words are then shuffled once, not once a diagonal
+    both = hits.join(F.broadcast(items) if small else items, "__item").join(found, "__key")
     first, last = F.greatest(F.lit(0), -F.col("diag")), F.least(F.size("item"), F.size("tokens") - F.col("diag")) - 1
     agree = F.transform(F.sequence(first, last), lambda i: F.when(F.get("tokens", i + F.col("diag")) == F.get("item", i), 1).otherwise(0))
     span = F.least(F.lit(SPAN), F.size("item"))
