@@ -5,7 +5,7 @@ from collections import Counter
 
 import numpy as np
 import pytest
-from tidemark.llm import bm25, decontam
+from tidemark.llm import bm25, decontam, queries
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long, score int, rank int"
 
@@ -71,6 +71,15 @@ def test_blocks_are_skipped():
     assert shard.scored < len(every)
 
 
+def test_query_takes_all_terms(spark, tmp_path):
+    rows = corpus()
+    spark.createDataFrame(rows, DOCS).write.parquet(f"{tmp_path}/documents.parquet")
+    got = {}
+    for r in queries.op5_bm25(spark, str(tmp_path)).orderBy("query_id", "rank").collect():
+        got.setdefault(r["query_id"], []).append(r["doc_id"])
+    assert got == {q: [d for _, d in v] for q, v in brute(rows, bm25.TOP, None).items() if v}
+
+
 def test_search_of_nothing(spark):
     assert bm25.search(spark.createDataFrame([], DOCS)).count() == 0
 

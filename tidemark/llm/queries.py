@@ -37,7 +37,7 @@ def op3_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_bm25(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return bm25.search(table(spark, sf_dir, "documents"))
+    return bm25.search(table(spark, sf_dir, "documents"), max_terms=None)
 
 
 def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
