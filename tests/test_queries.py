@@ -56,3 +56,11 @@ def test_scans_are_pruned(spark):
 def test_no_cartesian_products(spark):
     b = adapters.bars(spark, SF)
     assert "CartesianProduct" not in plan(factors.price_factors(b, adapters.adjustments(b)))
+
+
+@pytest.mark.parametrize("name", ["t2_minute_breadth", "t4_unique_events", "t7_state_machine", "t9_idempotent_sink"])
+def test_streams_read_a_folder_of_unordered_files(spark, duck, tmp_path, name):
+    spark.read.parquet(f"{SF}/events.parquet").repartition(20, "event_id").write.parquet(f"{tmp_path}/events.parquet")
+    df = plans.QUERIES[name](spark, str(tmp_path))
+    want = duck.sql(f"SELECT {', '.join(df.columns)} FROM ({plans.ORACLE[name]})").fetchall()
+    assert sorted(tuple(text(v) for v in r) for r in df.collect()) == sorted(tuple(text(v) for v in r) for r in want)

@@ -10,10 +10,10 @@ import tempfile
 import uuid
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor
-from pyspark.sql.types import StringType, StructField, StructType
+from pyspark.sql.types import LongType, StringType, StructField, StructType
 
 
 def work_dir(spark: SparkSession) -> str:
@@ -22,10 +22,11 @@ def work_dir(spark: SparkSession) -> str:
     return f"{base.rstrip('/')}/stream-{uuid.uuid4().hex}"
 
 
-def read(spark: SparkSession, path: str, pattern: str, files_per_trigger: int = 8) -> DataFrame:
-    """Files of a folder as a stream, with the schema of what is there now."""
+def read(spark: SparkSession, path: str, pattern: str) -> DataFrame:
+    """A table of a folder, one file or a folder of files, as a stream with the schema of what is there now. All files are
+    one batch: files need not be in the order of time, and a watermark or a state passes over what a later batch brings."""
     schema = spark.read.parquet(f"{path}/{pattern}").schema
-    return spark.readStream.schema(schema).option("pathGlobFilter", pattern).option("maxFilesPerTrigger", files_per_trigger).option("recursiveFileLookup", "true").parquet(path)
+    return spark.readStream.schema(schema).option("recursiveFileLookup", "true").parquet(f"{path}/{pattern}")
 
 
 def minute_breadth(ticks: DataFrame, late: str = "90 seconds") -> DataFrame:
@@ -75,8 +76,9 @@ def transitions(events: DataFrame) -> DataFrame:
 
 
 def drain(df: DataFrame, mode: str = "append", keys: list[str] | None = None) -> DataFrame:
-    """Run a stream over all that its source has now. With keys, batches go through an idempotent sink: rows whose key is
-    there already are not written again, so a replayed batch adds nothing."""
+    """Run a stream over all that its source has now. With keys, batches go through an idempotent sink: in append mode rows
+    whose key is there already are not written again, so a replayed batch adds nothing; in update mode the newest batch's
+    row of a key stands for it."""
     spark = df.sparkSession
     base = work_dir(spark)
     out = f"{base}/out"
@@ -85,16 +87,21 @@ def drain(df: DataFrame, mode: str = "append", keys: list[str] | None = None) ->
 
         def sink(batch: DataFrame, epoch: int) -> None:
             rows = batch.dropDuplicates(keys)
-            if epoch:
+            if epoch and mode == "append":
                 seen = batch.sparkSession.read.schema(batch.schema).option("recursiveFileLookup", "true").parquet(out)
                 rows = rows.join(seen.select(*keys), keys, "left_anti")
-            rows.write.mode("overwrite").parquet(f"{out}/epoch={epoch}")
+            rows.withColumn("__epoch", F.lit(epoch).cast("long")).write.mode("overwrite").parquet(f"{out}/epoch={epoch}")
 
         query = writer.foreachBatch(sink).outputMode("append" if mode == "append" else "update").start()
     else:
         query = writer.outputMode(mode).format("parquet").option("path", out).start()
     query.awaitTermination()
-    return spark.read.schema(df.schema).option("recursiveFileLookup", "true").parquet(out)
+    schema = StructType([*df.schema.fields, StructField("__epoch", LongType())]) if keys else df.schema
+    got = spark.read.schema(schema).option("recursiveFileLookup", "true").parquet(out)
+    if keys and mode != "append":
+        newest = Window.partitionBy(*keys).orderBy(F.desc("__epoch"))
+        got = got.withColumn("__rank", F.row_number().over(newest)).where("__rank = 1")
+    return got.drop("__epoch", "__rank")
 
 
 def slot_matches(slots: DataFrame, runs: DataFrame, tolerance: int) -> DataFrame:
