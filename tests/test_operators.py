@@ -2,6 +2,7 @@
 
 import datetime as dt
 import math
+import random
 
 import pytest
 from pyspark.errors import PySparkException
@@ -201,3 +202,20 @@ def test_slot_matching_is_one_to_one(spark):
     s = spark.createDataFrame([("j", 0), ("j", 100), ("j", 200)], "job string, at long")
     r = spark.createDataFrame([("j", 95), ("j", 104), ("j", 500)], "job string, at long")
     assert rows(jobs.slot_matches(s, r, 100), "slot", "run") == [(0, 95), (100, 104), (200, None)]
+
+
+def test_slots_apart_are_not_one_group(spark):
+    rng = random.Random(4)
+    for step, tolerance, largest in ((1000, 100, 1), (100, 60, 40)):
+        s = [(j, step * i) for j in "ab" for i in range(40)]
+        r = [(rng.choice("aab"), rng.randrange(-200, step * 40 + 200)) for _ in range(400)] + [("a", step), ("a", step), ("c", 5)]
+        pairs = sorted((abs(x - y), x, y, i, k, j) for i, (j, x) in enumerate(s) for k, (q, y) in enumerate(r) if j == q and abs(x - y) <= tolerance)
+        found, used = {}, set()
+        for _, _, y, i, k, _ in pairs:
+            if i not in found and k not in used:
+                found[i] = y
+                used.add(k)
+        slots, runs = spark.createDataFrame(s, "job string, at long"), spark.createDataFrame(r, "job string, at long")
+        want = sorted((j, x, found.get(i, -1)) for i, (j, x) in enumerate(s))
+        assert rows(jobs.slot_matches(slots, runs, tolerance).fillna(-1), "job", "slot", "run") == want
+        assert jobs.slot_clusters(slots, runs, tolerance)[0].groupBy("job", "cluster").count().agg(F.max("count")).first()[0] == largest

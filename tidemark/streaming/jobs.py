@@ -104,9 +104,28 @@ def drain(df: DataFrame, mode: str = "append", keys: list[str] | None = None) ->
     return got.drop("__epoch", "__rank")
 
 
+def slot_clusters(slots: DataFrame, runs: DataFrame, tolerance: int) -> tuple[DataFrame, DataFrame]:
+    """Slots (job, at, cluster, n, lo) and the runs near them, alike: a job's slots are cut where the next is more than twice
+    the tolerance away, so that no run is near two clusters; n and lo are a cluster's number of slots and its first."""
+    w = Window.partitionBy("job").orderBy("at")
+    new = F.coalesce((F.col("at") - F.lag("at").over(w) > 2 * tolerance).cast("long"), F.lit(0))
+    marked = slots.select("job", "at").withColumn("new", new).withColumn("cluster", F.sum("new").over(w)).drop("new")
+    spans = marked.groupBy("job", "cluster").agg(F.count("*").alias("n"), F.min("at").alias("lo"), F.max("at").alias("hi"))
+    width = 2 * tolerance + 1
+    buckets = F.sequence(F.floor((F.col("lo") - tolerance) / width), F.floor((F.col("hi") + tolerance) / width))
+    s = spans.withColumn("bucket", F.explode(buckets)).withColumnRenamed("job", "of")
+    r = runs.select("job", "at").withColumn("bucket", F.floor(F.col("at") / width))
+    meets = F.col("job").eqNullSafe(F.col("of")) & (r.bucket == s.bucket) & F.col("at").between(F.col("lo") - tolerance, F.col("hi") + tolerance)
+    near = r.join(s, meets).select("job", "at", "cluster", "n", "lo")
+    each = spans.select(F.col("job").alias("of"), F.col("cluster").alias("c"), "n", "lo")
+    owned = marked.join(each, F.col("job").eqNullSafe(F.col("of")) & (F.col("cluster") == F.col("c")))
+    return owned.select("job", "at", "cluster", "n", "lo"), near
+
+
 def slot_matches(slots: DataFrame, runs: DataFrame, tolerance: int) -> DataFrame:
     """Greedy one-to-one matching of expected slots and runs (job, at) within a tolerance in seconds: pairs in the order of
-    distance, slot, run; each slot and run is used once. One group is one job's log."""
+    distance, slot, run; each slot and run is used once. A slot without another near it takes its nearest run, by an
+    aggregate; one group is one cluster of slots that can compete for a run."""
 
     def match(s: pd.DataFrame, r: pd.DataFrame) -> pd.DataFrame:
         job = (s if len(s) else r)["job"].iloc[0]
@@ -127,4 +146,11 @@ def slot_matches(slots: DataFrame, runs: DataFrame, tolerance: int) -> DataFrame
                 out[i] = y
         return pd.DataFrame({"job": job, "slot": a, "run": pd.array([out.get(i) for i in range(len(a))], dtype="Int64")})
 
-    return slots.groupBy("job").cogroup(runs.groupBy("job")).applyInPandas(match, "job string, slot long, run long")
+    owned, near = slot_clusters(slots, runs, tolerance)
+    far = F.struct(F.abs(F.col("at") - F.col("lo")), "at")
+    best = near.where("n = 1").groupBy(F.col("job").alias("of"), F.col("cluster").alias("c")).agg(F.min_by("at", far).alias("run"))
+    alone = owned.where("n = 1").join(best, F.col("job").eqNullSafe(F.col("of")) & (F.col("cluster") == F.col("c")), "left")
+    left = owned.where("n > 1").select("job", "at", "cluster")
+    right = near.where("n > 1").select(F.col("job").alias("job"), "at", F.col("cluster").alias("c"))  # names of its own, for the cogroup
+    rivals = left.groupBy("job", "cluster").cogroup(right.groupBy("job", "c")).applyInPandas(match, "job string, slot long, run long")
+    return alone.select("job", F.col("at").alias("slot"), "run").union(rivals)
