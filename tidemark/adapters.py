@@ -8,6 +8,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tidemark.functions.shared import stage
+
+_BARS: dict[tuple[str, str], str] = {}
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -41,10 +45,14 @@ def _ohlc(lines: DataFrame, session) -> DataFrame:
 def bars(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(symbol, session, open, high, low, close, volume, amount): a session is a month of a supplier's lines.
 
-    Marked to be cached (in memory, then on disk): a query refers to the bars several times, for the calendar, the factors
-    and the execution prices, with different columns each, so Spark would else scan and sum up the lines each time.
+    Summed up once a session and written to the shared folder: a query refers to the bars several times, for the calendar,
+    the factors and the execution prices, with different columns each, so Spark would else scan the lines each time. Later
+    changes of the lines in the same session are not seen.
     """
-    return _ohlc(table(spark, sf_dir, "lineitem"), F.trunc("l_shipdate", "month")).cache()
+    key = (spark.sparkContext.applicationId, sf_dir)
+    if key not in _BARS:
+        _BARS[key] = stage(_ohlc(table(spark, sf_dir, "lineitem"), F.trunc("l_shipdate", "month")), "bars")
+    return spark.read.parquet(_BARS[key])
 
 
 def daily_bars(spark: SparkSession, sf_dir: str) -> DataFrame:

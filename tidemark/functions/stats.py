@@ -35,12 +35,19 @@ def zscore(value: str, by: list[str], flat: float = 1e-8) -> Column:
     return F.when(F.col(value).isNull(), None).when(sd <= flat, 0.0).otherwise((F.col(value) - F.avg(value).over(w)) / sd)
 
 
+def winsor_zscores(df: DataFrame, outs: dict[str, str], by: list[str], tail: float = 0.025) -> DataFrame:
+    """A column for each value column in outs: the value clipped at the linear tail quantiles of its cross-section, then
+    its population z-score. All values share one window, so df is read and shuffled once however many there are."""
+    w = Window.partitionBy(*by)
+    d = df.withColumns({f"__q_{v}": F.percentile(v, [tail, 1 - tail]).over(w) for v in outs})
+    clipped = {f"__c_{v}": F.when(F.col(v).isNotNull(), F.least(F.greatest(F.col(v), F.col(f"__q_{v}")[0]), F.col(f"__q_{v}")[1])) for v in outs}
+    d = d.withColumns(clipped).drop(*(f"__q_{v}" for v in outs))
+    return d.withColumns({out: zscore(f"__c_{v}", by) for v, out in outs.items()}).drop(*clipped)
+
+
 def winsor_zscore(df: DataFrame, value: str, by: list[str], out: str, tail: float = 0.025) -> DataFrame:
-    """Clip at the linear tail quantiles of the cross-section, then the population z-score. The quantiles are one small
-    aggregate a cross-section, joined back."""
-    q = df.groupBy(*by).agg(F.percentile(value, F.lit(tail)).alias("__lo"), F.percentile(value, F.lit(1 - tail)).alias("__hi"))
-    clipped = df.join(q, by).withColumn("__c", F.when(F.col(value).isNotNull(), F.least(F.greatest(F.col(value), "__lo"), "__hi")))
-    return clipped.withColumn(out, zscore("__c", by)).drop("__lo", "__hi", "__c")
+    """winsor_zscores of one value."""
+    return winsor_zscores(df, {value: out}, by, tail)
 
 
 def guarded_corr(df: DataFrame, x: str, y: str, by: list[str], out: str, least: int = 2, flat: float = 1e-12) -> DataFrame:

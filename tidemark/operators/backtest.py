@@ -18,25 +18,41 @@ def cost(amount: float, sell: bool) -> float:
     return 0.0 if amount <= 0 else max(amount * COMMISSION, LEAST) + amount * (TRANSFER + SLIPPAGE) + (amount * STAMP if sell else 0.0)
 
 
-def decisions(scored: DataFrame, every: int, share: float) -> DataFrame:
-    """(decided, session, symbol): target lists of every `every`-th session, to be executed on the next one."""
-    days = scored.select("session").distinct()
+def decisions(scored: DataFrame, every: dict[str, int], share: float) -> DataFrame:
+    """(run, decided, session, symbol): target lists of every n-th session for each run in every, to be executed on the next
+    one. Scores are ranked once for all runs."""
     w = Window.orderBy("session")  # the list of sessions
-    cal = days.withColumn("i", F.row_number().over(w) - 1).withColumn("next", F.lead("session").over(w))
-    on = F.broadcast(cal.where((F.col("i") % every == 0) & F.col("next").isNotNull()))
-    d = scored.where("score is not null").join(on, "session")
+    cal = scored.select("session").distinct().withColumn("i", F.row_number().over(w) - 1).withColumn("next", F.lead("session").over(w))
+    runs = F.array_compact(F.array(*(F.when(F.col("i") % n == 0, F.lit(run)) for run, n in every.items())))
+    on = cal.where(F.col("next").isNotNull()).select("session", "next", runs.alias("runs")).where(F.size("runs") > 0)
     day = Window.partitionBy("session")
+    d = scored.where("score is not null")
     ranked = d.withColumn("rank", F.row_number().over(day.orderBy(F.desc("score"), "symbol"))).withColumn("n", F.count("*").over(day))
-    return ranked.where(F.col("rank") <= F.ceil(F.col("n") * share)).select(F.col("session").alias("decided"), F.col("next").alias("session"), "symbol")
+    best = ranked.where(F.col("rank") <= F.ceil(F.col("n") * share)).join(on, "session")
+    return best.select(F.explode("runs").alias("run"), F.col("session").alias("decided"), F.col("next").alias("session"), "symbol")
+
+
+def held_prices(targets: DataFrame, prices: DataFrame) -> DataFrame:
+    """The rows of prices, by run, that a run can look at: those of a symbol from a decision that selects it to the first
+    later decision session at which it is not selected and can be sold. The last known price stands for it from then on."""
+    chosen = targets.select("run", "session", "symbol").distinct().withColumn("chosen", F.lit(True))
+    ever = chosen.select("run", "symbol").distinct()
+    decided = chosen.select("run", "session").distinct().withColumn("decided", F.lit(True))
+    own = prices.join(ever, "symbol").join(chosen, ["run", "session", "symbol"], "left").join(decided, ["run", "session"], "left")
+    event = F.when(F.col("chosen"), 1).when(F.col("decided") & F.col("sell_ok"), 0)
+    w = Window.partitionBy("run", "symbol").orderBy("session").rowsBetween(Window.unboundedPreceding, -1)
+    kept = own.withColumn("event", event).withColumn("before", F.last("event", ignorenulls=True).over(w))
+    kept = kept.where(F.coalesce("chosen", F.lit(False)) | (F.col("before") == 1))
+    return kept.select("run", "session", "symbol", "open_px", "close_px", "buy_ok", "sell_ok")
 
 
 def replay(run: str, targets: pd.DataFrame, prices: pd.DataFrame, capital: float) -> pd.DataFrame:
-    """One run: sells before buys, in symbol order, at the open; buys share the cash equally and are scaled to what it pays
+    """One run over the sessions of prices (a row without a symbol only names its session): sells before buys, in symbol order, at the open; buys share the cash equally and are scaled to what it pays
     for with costs; a position bought on a day is not sold on it; marks are closes, the last known one if there is none."""
     cash, held, marks, rows = capital, {}, {}, []
     want = {d: sorted(g["symbol"]) for d, g in targets.groupby("session")}
     for day, px in prices.sort_values(["session", "symbol"]).groupby("session"):
-        p = {r.symbol: r for r in px.itertuples()}
+        p = {r.symbol: r for r in px.itertuples() if isinstance(r.symbol, str)}
         opening = cash + sum(q * (p[s].open_px if s in p and p[s].open_px > 0 else marks.get(s, 0.0)) for s, q in held.items())
         traded = None
         if day in want:
@@ -72,12 +88,14 @@ def replay(run: str, targets: pd.DataFrame, prices: pd.DataFrame, capital: float
 
 def backtest(targets: DataFrame, prices: DataFrame, capital: float = 1_000_000.0) -> DataFrame:
     """(run, session, nav, cash, holdings, stale, turnover). targets: run, session, symbol; prices: session, symbol, open_px,
-    close_px, buy_ok, sell_ok. Only symbols that a run ever holds reach its group."""
-    ever = targets.select(F.col("run").alias("r"), F.col("symbol").alias("s")).distinct()
-    own = prices.join(ever, F.col("symbol") == F.col("s")).select(F.col("r").alias("run"), "session", "symbol", "open_px", "close_px", "buy_ok", "sell_ok")
+    close_px, buy_ok, sell_ok. Only the rows of symbols while a run can hold them reach its group, and one row a session."""
+    own = held_prices(targets, prices)
+    days = prices.select("session").distinct().join(F.broadcast(targets.select("run").distinct()))  # sessions x runs
+    empty = (F.lit(None).cast(own.schema[c].dataType).alias(c) for c in own.columns[2:])
+    own = own.union(days.select("run", "session", *empty)).withColumnRenamed("run", "of")
 
     def one(key, t: pd.DataFrame, p: pd.DataFrame) -> pd.DataFrame:
         return replay(key[0], t, p, capital)
 
     schema = "run string, session date, nav double, cash double, holdings int, stale int, turnover double"
-    return targets.groupBy("run").cogroup(own.groupBy("run")).applyInPandas(one, schema)
+    return targets.groupBy("run").cogroup(own.groupBy("of")).applyInPandas(one, schema)

@@ -6,12 +6,10 @@ symbol for histories and by session for cross-sections, so nothing loops over da
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.functions.stats import average_rank, clip, full, percent_rank_avg, scaled_rank, sigmoid, winsor_zscore
+from tidemark.functions.stats import average_rank, clip, full, percent_rank_avg, scaled_rank, sigmoid, winsor_zscores
 
 
 def adjusted(bars: DataFrame, adj: DataFrame) -> DataFrame:
@@ -60,7 +58,7 @@ def daily_returns(bars: DataFrame, adj: DataFrame) -> DataFrame:
 
 def standardise(df: DataFrame, factors: list[str], by: list[str]) -> DataFrame:
     """A column z_<factor> for each factor: winsorised z-score of the cross-section."""
-    return reduce(lambda d, f: winsor_zscore(d, f, by, f"z_{f}"), factors, df)
+    return winsor_zscores(df, {f: f"z_{f}" for f in factors}, by)
 
 
 def composite(df: DataFrame, weights: dict[str, float], by: list[str], out: str = "score") -> DataFrame:
@@ -80,11 +78,11 @@ def valuation_ranks(df: DataFrame, ratio: str, by: list[str], out: str) -> DataF
 
 
 def five_dimensions(df: DataFrame) -> DataFrame:
-    """Five scores of 0..10 from z-scores (missing counts 0) and their weighted sum. Columns z_<factor>."""
+    """Five scores of 0..10 from z-scores and their weighted sum. Columns z_<factor>. A missing z counts 0 and keeps its place
+    in the mean of its dimension, so that all rows share the divisors."""
 
     def mean(*names: str) -> Column:
-        have = sum((F.col(n).isNotNull().cast("int") for n in names), F.lit(0))
-        return F.try_divide(sum((F.coalesce(n, F.lit(0.0)) for n in names), F.lit(0.0)), F.nullif(have, F.lit(0)).cast("double"))
+        return sum((F.coalesce(n, F.lit(0.0)) for n in names), F.lit(0.0)) / len(names)
 
     def score(z: Column) -> Column:
         return clip(5 + 2 * F.coalesce(z, F.lit(0.0)), 0.0, 10.0)

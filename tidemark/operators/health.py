@@ -44,9 +44,10 @@ def depth_buckets(bars: DataFrame) -> DataFrame:
 
 
 def fingerprint(df: DataFrame, columns: list[str]) -> DataFrame:
-    """(n, digest): independent of the order of rows; a sum, so it is combined before the shuffle. Equal tables agree."""
+    """(n, digest): independent of the order of rows; a sum, so it is combined before the shuffle. Equal tables agree. The
+    sum of the rows' 48 bits is taken in decimals and reduced to 60 bits, so it holds for any number of rows."""
     row = F.conv(F.substring(F.md5(F.concat_ws("|", *(F.coalesce(F.col(c).cast("string"), F.lit("~")) for c in columns))), 1, 12), 16, 10).cast("long")
-    return df.agg(F.count("*").alias("n"), F.sum(row).alias("digest"))
+    return df.agg(F.count("*").alias("n"), F.coalesce(F.sum(row.cast("decimal(20,0)")) % F.lit(2**60), F.lit(0)).cast("long").alias("digest"))
 
 
 def period_depth(facts: DataFrame, wanted: int) -> DataFrame:

@@ -40,7 +40,7 @@ def long_short(layered: DataFrame, by: list[str]) -> DataFrame:
 
 def nav_performance(nav: DataFrame, by: list[str], year: int = 252) -> DataFrame:
     """total, annual, volatility, sharpe, drawdown and calmar of a NAV series (session, nav); series with a value that is
-    not positive are left out."""
+    not positive are left out. A flat series has no volatility."""
     w = Window.partitionBy(*by).orderBy("session")
     d = nav.withColumn("__r", F.try_divide(F.col("nav"), F.lag("nav").over(w)) - 1)
     d = d.withColumn("__dd", F.try_divide(F.col("nav"), F.max("nav").over(w.rowsBetween(Window.unboundedPreceding, 0))) - 1)
@@ -50,11 +50,19 @@ def nav_performance(nav: DataFrame, by: list[str], year: int = 252) -> DataFrame
     ).where("__low > 0")
     g = g.withColumn("total", F.try_divide(F.col("__b"), F.col("__a")) - 1)
     g = g.withColumn("annual", F.when(F.col("n") > 1, F.pow(1 + F.col("total"), F.lit(float(year)) / (F.col("n") - 1)) - 1))
-    g = g.withColumn("volatility", F.col("__sd") * F.sqrt(F.lit(float(year))))
+    g = g.withColumn("volatility", F.nullif(F.col("__sd"), F.lit(0.0)) * F.sqrt(F.lit(float(year))))
     g = g.withColumn("sharpe", F.try_divide(F.col("__m") * year, F.nullif(F.col("volatility"), F.lit(0.0))))
     return g.withColumn("calmar", F.try_divide(F.col("annual"), F.nullif(F.abs("drawdown"), F.lit(0.0)))).drop("__low", "__a", "__b", "__sd", "__m")
 
 
+def effective_window(daily: DataFrame) -> DataFrame:
+    """The rows (run, session, turnover, ...) of each run from the session before its first trade; all of a run without any."""
+    w = Window.partitionBy("run").orderBy("session")
+    d = daily.withColumn("__i", F.row_number().over(w))
+    first = F.min(F.when(F.col("turnover") > 0, F.col("__i"))).over(Window.partitionBy("run"))
+    return d.withColumn("__first", first).where(F.coalesce(F.col("__i") >= F.col("__first") - 1, F.lit(True))).drop("__i", "__first")
+
+
 def turnover_stats(df: DataFrame, turnover: str, by: list[str], year: int = 252) -> DataFrame:
     """n, total, mean, median, max of the non-null turnovers; annual is the total scaled from all rows to a year."""
     g = df.groupBy(*by).agg(
@@ -73,12 +81,28 @@ def calibration(df: DataFrame, p: str, hit: str, bins: int = 10) -> DataFrame:
     return every.join(g, "bin", "left").crossJoin(F.broadcast(brier)).withColumn("n", F.coalesce("n", F.lit(0)))
 
 
-def factor_correlation(long: DataFrame, least_rows: int = 3, least_days: int = 3) -> DataFrame:
-    """(left, right, days, corr): mean over sessions of the cross-sectional correlation of each pair of factors. long is
-    (session, symbol, factor, z); the pairs are of factors, a list of fixed length."""
-    l, r = (long.where(F.col("z").isNotNull()).select("session", "symbol", F.col("factor").alias(f), F.col("z").alias(v)) for f, v in (("left", "x"), ("right", "y")))
-    daily = guarded_corr(l.join(r, ["session", "symbol"]).where("left <= right"), "x", "y", ["left", "right", "session"], "c", least_rows)
-    return daily.where(F.col("c").isNotNull()).groupBy("left", "right").agg(F.count("*").alias("days"), F.avg("c").alias("corr")).where(F.col("days") >= least_days)
+def decision_sessions(df: DataFrame, every: int) -> DataFrame:
+    """The distinct sessions of df, every `every`-th from the first."""
+    days = df.select("session").distinct().withColumn("__i", F.row_number().over(Window.orderBy("session")) - 1)  # the list of sessions
+    return days.where(F.col("__i") % every == 0).select("session")
+
+
+def factor_correlation(wide: DataFrame, factors: list[str], every: int = 20, least_rows: int = 3, least_days: int = 3, flat: float = 1e-12) -> DataFrame:
+    """(left, right, days, corr): mean over the decision sessions (every `every`-th) of the cross-sectional correlation of each
+    pair of factors. wide is (session, z_<factor>...); all pairs come from one aggregate of sums by session, no join."""
+    d = wide.join(F.broadcast(decision_sessions(wide, every)), "session", "left_semi")
+    pairs = [(a, b) for a in sorted(factors) for b in sorted(factors) if a <= b]
+
+    def sums(a: str, b: str):
+        x, y = F.col(f"z_{a}"), F.col(f"z_{b}")
+        both = x.isNotNull() & y.isNotNull()
+        x, y = F.when(both, x), F.when(both, y)
+        return F.struct(F.lit(a).alias("left"), F.lit(b).alias("right"), F.count(x).alias("n"), F.stddev_pop(x).alias("sx"), F.stddev_pop(y).alias("sy"), F.covar_pop(x, y).alias("c"))
+
+    daily = d.groupBy("session").agg(F.array(*(sums(a, b) for a, b in pairs)).alias("p")).select(F.explode("p").alias("p")).select("p.*")
+    ok = (F.col("n") >= least_rows) & (F.col("sx") > flat) & (F.col("sy") > flat)
+    daily = daily.where(ok).withColumn("corr", F.try_divide(F.col("c"), F.col("sx") * F.col("sy")))
+    return daily.groupBy("left", "right").agg(F.count("*").alias("days"), F.avg("corr").alias("corr")).where(F.col("days") >= least_days)
 
 
 def forward_returns(px: DataFrame, horizons: tuple[int, ...]) -> DataFrame:

@@ -2,9 +2,7 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemark import adapters as a
@@ -24,8 +22,7 @@ def prices(spark, sf) -> DataFrame:
 
 def runs(spark, sf) -> DataFrame:
     s = scored(spark, sf).select("session", "symbol", "score")
-    each = [op.decisions(s, n, 0.1).withColumn("run", F.lit(f"every_{n}")) for n in (1, 3)]
-    return reduce(DataFrame.union, each)
+    return op.decisions(s, {f"every_{n}": n for n in (1, 3)}, 0.1)
 
 
 @query("c6_walk_forward", "run session holdings stale", "nav cash turnover")
@@ -45,7 +42,7 @@ def c9(spark, sf):
     SELECT decided, session, symbol FROM r WHERE rank <= ceil(n * .1)""",
 )
 def decided(spark, sf):
-    return op.decisions(scored(spark, sf).select("session", "symbol", "score"), 3, 0.1)
+    return op.decisions(scored(spark, sf).select("session", "symbol", "score"), {"every_3": 3}, 0.1)
 
 
 @query("x53_market_return", "session n", "ret", f"WITH {SCORED}, r AS (SELECT symbol, session, px / nullif(lag(px) OVER (PARTITION BY symbol ORDER BY session), 0) - 1 AS ret FROM px) SELECT session, count(ret) AS n, avg(ret) AS ret FROM r GROUP BY 1")
@@ -54,12 +51,6 @@ def x53(spark, sf):
     return fo.daily_returns(b, a.adjustments(b)).groupBy("session").agg(F.count("ret").alias("n"), F.avg("ret").alias("ret"))
 
 
-@query(
-    "x57_effective_window", "run session", "nav",
-)
+@query("x57_effective_window", "run session", "nav")
 def x57(spark, sf):
-    d = c6(spark, sf)
-    w = Window.partitionBy("run").orderBy("session")
-    d = d.withColumn("i", F.row_number().over(w))
-    first = d.where("turnover > 0").groupBy("run").agg((F.min("i") - 1).alias("since"))
-    return d.join(first, "run").where(F.col("i") >= F.col("since"))
+    return me.effective_window(c6(spark, sf))

@@ -86,8 +86,8 @@ def k1(spark, sf):
 @query(
     "f7_five_dimensions", "symbol session", "technical capital fundamental valuation sentiment five_dim",
     f"""WITH {SCORED}, d AS (SELECT symbol, session,
-        5 + 2 * coalesce((coalesce(z_momentum_short, 0) + coalesce(z_momentum_long, 0)) / nullif((z_momentum_short IS NOT NULL)::INT + (z_momentum_long IS NOT NULL)::INT, 0), 0) AS t,
-        5 + 2 * coalesce(z_volatility, 0) AS c, 5 + 2 * coalesce(z_momentum_long, 0) AS f, 5 - 2 * coalesce(z_volatility, 0) AS v, 5 + 2 * coalesce(z_turnover_change, 0) AS s FROM zs),
+        5 + 2 * (coalesce(z_momentum_short, 0) + coalesce(z_momentum_long, 0)) / 2 AS t,
+        5 + 2 * coalesce(z_volatility, 0) AS c, 5 + 2 * (coalesce(z_momentum_long, 0) + 0) / 2 AS f, 5 - 2 * coalesce(z_volatility, 0) AS v, 5 + 2 * coalesce(z_turnover_change, 0) AS s FROM zs),
         e AS (SELECT symbol, session, least(greatest(t, 0), 10) AS technical, least(greatest(c, 0), 10) AS capital, least(greatest(f, 0), 10) AS fundamental, least(greatest(v, 0), 10) AS valuation, least(greatest(s, 0), 10) AS sentiment FROM d)
         SELECT *, .25 * technical + .2 * capital + .25 * fundamental + .15 * valuation + .15 * sentiment AS five_dim FROM e""",
 )

@@ -46,7 +46,7 @@ def f34(spark, sf):
 
 @query(
     "a34_table_fingerprint", "n digest", "",
-    "SELECT count(*) AS n, sum(('0x' || substr(md5(coalesce(o_orderkey::VARCHAR, '~') || '|' || coalesce(o_custkey::VARCHAR, '~') || '|' || coalesce(o_orderstatus, '~')), 1, 12))::BIGINT)::BIGINT AS digest FROM orders",
+    "SELECT count(*) AS n, (sum(('0x' || substr(md5(coalesce(o_orderkey::VARCHAR, '~') || '|' || coalesce(o_custkey::VARCHAR, '~') || '|' || coalesce(o_orderstatus, '~')), 1, 12))::BIGINT) % 1152921504606846976)::BIGINT AS digest FROM orders",
 )
 def a34(spark, sf):
     return op.fingerprint(a.table(spark, sf, "orders"), ["o_orderkey", "o_custkey", "o_orderstatus"])

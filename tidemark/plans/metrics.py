@@ -20,9 +20,9 @@ rk AS (SELECT *, {avg_rank("score", "horizon, session")} AS ra, {avg_rank("futur
 ic AS (SELECT horizon, session, count(*) AS n, CASE WHEN count(*) >= 2 AND stddev_pop(ra) > 1e-12 AND stddev_pop(rb) > 1e-12 THEN covar_pop(ra, rb) / (stddev_pop(ra) * stddev_pop(rb)) END AS ic FROM rk GROUP BY ALL)"""
 
 
-def with_future(spark, sf) -> DataFrame:
+def with_future(spark, sf, horizons=H) -> DataFrame:
     b = a.bars(spark, sf)
-    return scored(spark, sf).select("symbol", "session", "score").join(op.forward_returns(fo.adjusted(b, a.adjustments(b)), H), ["symbol", "session"])
+    return scored(spark, sf).select("symbol", "session", "score").join(op.forward_returns(fo.adjusted(b, a.adjustments(b)), horizons), ["symbol", "session"])
 
 
 def daily_ic(spark, sf) -> DataFrame:
@@ -49,25 +49,23 @@ lay AS (SELECT session, (CASE WHEN n = 1 THEN 9 ELSE least(9, i * 10 // (n - 1))
 
 @query("a13_layered_returns", "session layer n", "ret", f"WITH {LAYERS} SELECT * FROM lay")
 def a13(spark, sf):
-    return op.layers(with_future(spark, sf).where("horizon = 5"), "score", "future", ["session"])
+    return op.layers(with_future(spark, sf, (5,)), "score", "future", ["session"])
 
 
 @query("a14_a19_long_short", "layer sessions", "mean_ret mean_spread", f"WITH {LAYERS}, ls AS (SELECT session, arg_max(ret, layer) - arg_min(ret, layer) AS spread FROM lay GROUP BY 1) SELECT layer, count(*) AS sessions, avg(ret) AS mean_ret, avg(spread) AS mean_spread FROM lay JOIN ls USING (session) GROUP BY 1")
 def a14(spark, sf):
-    lay = op.layers(with_future(spark, sf).where("horizon = 5"), "score", "future", ["session"])
+    lay = op.layers(with_future(spark, sf, (5,)), "score", "future", ["session"])
     return lay.join(op.long_short(lay, ["session"]), "session").groupBy("layer").agg(F.count("*").alias("sessions"), F.avg("ret").alias("mean_ret"), F.avg("spread").alias("mean_spread"))
 
 
 CORR = f"""{SCORED}, lg AS ({" UNION ALL ".join(f"SELECT session, symbol, '{f}' AS factor, z_{f} AS z FROM zs WHERE z_{f} IS NOT NULL" for f in NAMES)}),
 cd AS (SELECT l.factor AS lf, r.factor AS rf, session, CASE WHEN count(*) >= 3 AND stddev_pop(l.z) > 1e-12 AND stddev_pop(r.z) > 1e-12 THEN covar_pop(l.z, r.z) / (stddev_pop(l.z) * stddev_pop(r.z)) END AS c
-       FROM lg l JOIN lg r USING (session, symbol) WHERE l.factor <= r.factor GROUP BY ALL)"""
+       FROM lg l JOIN lg r USING (session, symbol) WHERE l.factor <= r.factor AND session IN (SELECT session FROM cal WHERE (ord - 1) % 20 = 0) GROUP BY ALL)"""
 
 
 @query("a18_factor_correlation", "left_factor right_factor days", "corr", f"WITH {CORR} SELECT lf AS left_factor, rf AS right_factor, count(*) AS days, avg(c) AS corr FROM cd WHERE c IS NOT NULL GROUP BY ALL HAVING count(*) >= 3")
 def a18(spark, sf):
-    z = fo.standardise(price_factors(spark, sf), NAMES, ["session"])
-    long = z.select("session", "symbol", F.expr(f"stack({len(NAMES)}, {', '.join(f"'{f}', z_{f}" for f in NAMES)}) as (factor, z)"))
-    return op.factor_correlation(long).withColumnsRenamed({"left": "left_factor", "right": "right_factor"})
+    return op.factor_correlation(fo.standardise(price_factors(spark, sf), NAMES, ["session"]), NAMES).withColumnsRenamed({"left": "left_factor", "right": "right_factor"})
 
 
 @query(
@@ -101,7 +99,7 @@ def nav(spark, sf) -> DataFrame:
 @query(
     "a15_w19_nav_performance", "book n", "total annual volatility sharpe drawdown calmar",
     f"""WITH {NAV}, d AS (SELECT *, nav / lag(nav) OVER w - 1 AS r, nav / max(nav) OVER (w ROWS UNBOUNDED PRECEDING) - 1 AS dd FROM daynav WINDOW w AS (PARTITION BY book ORDER BY session)),
-    g AS (SELECT book, count(*) AS n, arg_max(nav, session) / arg_min(nav, session) - 1 AS total, stddev_samp(r) AS sd, avg(r) AS m, min(dd) AS drawdown FROM d GROUP BY 1 HAVING min(nav) > 0),
+    g AS (SELECT book, count(*) AS n, arg_max(nav, session) / arg_min(nav, session) - 1 AS total, nullif(stddev_samp(r), 0) AS sd, avg(r) AS m, min(dd) AS drawdown FROM d GROUP BY 1 HAVING min(nav) > 0),
     h AS (SELECT *, pow(1 + total, 252.0::DOUBLE / (n - 1)) - 1 AS annual, sd * sqrt(252) AS volatility FROM g) SELECT *, m * 252 / nullif(volatility, 0) AS sharpe, annual / nullif(abs(drawdown), 0) AS calmar FROM h""",
 )
 def a15(spark, sf):
