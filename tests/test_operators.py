@@ -120,11 +120,66 @@ def test_gap_rules(spark):
 def test_life_cycle_rules(spark):
     cases = [("boom", 81.0, 1.0, 71.0, 1.0), ("rising", 70.0, 1.0, 60.0, None), ("decline", 50.0, -1.0, 50.0, 1.0), ("bottoming", 20.0, 0.0, 40.0, None), ("recovery", 50.0, 1.0, 40.0, 1.0), (None, 50.0, 1.0, 40.0, None), (None, 70.0, 0.0, 80.0, 1.0)]
     df = spark.createDataFrame([(i, *c[1:]) for i, c in enumerate(cases)], "i int, s double, t double, r double, f double")
-    s, t, r, f = (F.col(c) for c in "strf")
-    stage = F.when(t.isNull(), None).when((s > 80) & (r > 70), "boom").when((s > 60) & (t > 0), "rising").when((t < 0) & (s < 60), "decline").when((s < 30) & (t >= 0), "bottoming").when(s.between(30, 60) & (t > 0) & (f > 0), "recovery")
+    stage = sectors.life_cycle(*(F.col(c) for c in "strf"))
     assert [x[1] for x in rows(df.select("i", stage.alias("stage")), "i", "stage")] == [c[0] for c in cases]
 
 
+def test_sector_gate_and_future_rows(spark):
+    days = [D(2024, 1, i + 1) for i in range(31)]
+    ret = [(s, d, None if d == days[0] else ((ord(s) * 7 + d.day * 13) % 11 - 5) / 100.0, 1.0) for s in "abcdef" for d in days if (s, d) != ("f", days[9])]
+    r = spark.createDataFrame(ret, "symbol string, session date, ret double, amount double")
+    p = spark.createDataFrame([("P", "a"), ("P", "b"), ("Q", "c"), ("Q", "d"), ("R", "e"), ("R", "f"), ("S", "a")], "plate string, symbol string")
+    got = sectors.panel(r, p)
+    assert [x[0] for x in rows(got.select("plate").distinct(), "plate")] == ["P", "Q"]  # R misses a member once, S has one member
+    assert got.count() == 2 * 30 and got.where("coverage < 1").count() == 0
+    flow = got.select("plate", "session", F.col("mean_ret").alias("flow"))
+    scored = lambda panel: sectors.scores(sectors.features(sectors.with_flows(panel, flow)), 20, 84)
+    early = rows(scored(got.where("session <= '2024-01-28'")), "plate", "session", "score", "stage")
+    assert early == [x for x in rows(scored(got), "plate", "session", "score", "stage") if x[1] <= D(2024, 1, 28)]
+    assert any(x[2] is not None for x in early) and scored(got).where("reversal is not null").count() == 0
+    with pytest.raises(PySparkException, match="too few sessions"):
+        sectors.validation(scored(got), 5).collect()
+    with pytest.raises(PySparkException, match="two flows"):
+        sectors.with_flows(got, flow.union(flow)).collect()
+
+
+def test_sentiment_looks_only_back(spark):
+    n = 40
+    day = [D(2024, 1, 1) + dt.timedelta(i) for i in range(n)]
+    rng = random.Random(3)
+    obs = [(day[i], rng.randrange(50), rng.randrange(50), rng.randrange(9), rng.randrange(9), float(rng.randrange(1, 100))) for i in range(n)]
+    index = [(d, 100.0 + rng.random()) for d in day if d.day % 9]
+    schema = "ts date, advancers int, decliners int, limit_up_n int, broken int, amount double"
+
+    def run(k):
+        o = market.observations(spark.createDataFrame(obs[:k], schema))
+        i = spark.createDataFrame([x for x in index if x[0] <= day[k - 1]], "ts date, close double")
+        return rows(market.sentiment(o, i, 10), "ts", "sentiment", "label", "degraded")
+
+    assert run(n)[:25] == run(25)
+    first = run(1)[0]
+    assert first[1:] == (50.0, "neutral", "share,volume,ecology,volatility")
+    ranked = rows(market.trailing_rank(spark.createDataFrame([(day[i], v) for i, v in enumerate([1.0, 2.0, None, 2.0, 4.0, 0.0])], "ts date, v double"), "v", "r", 4), "ts", "r", "r_n")
+    close([x[1:] for x in ranked], [(50.0, 1), (100.0, 2), (None, 2), (75.0, 3), (100.0, 4), (0.0, 4)])
+
+
+def test_feed_events(spark):
+    d = [D(2024, 1, i) for i in range(1, 6)]
+    obs = spark.createDataFrame([(d[0], 5, 3, 0, 0, 100.0, "weak"), (d[1], 3, 3, 0, 0, 104.0, "weak"), (d[2], 2, 3, 7, 3, 105.0, "weak"), (d[3], 4, 3, 6, 4, 105.0, "neutral"), (d[4], 5, 3, 1, 4, 90.0, "neutral")],
+                                "ts date, advancers int, decliners int, limit_up_n int, broken int, amount double, label string")
+    got = rows(market.changes(market.observations(obs)), "ts", "kind")
+    # 30 % is no crossing and leaving a tie no flip
+    assert got == [(d[2], "limit_up"), (d[3], "breadth"), (d[3], "broken"), (d[3], "label"), (d[4], "amount"), (d[4], "limit_up")]
+
+
+def test_volatility_groups_and_plates(spark):
+    out = spark.createDataFrame([(s, 1) for s in "abcdx"] + [("a", 2)], "symbol string, session int")
+    vol = spark.createDataFrame([("a", 1, 1.0), ("b", 1, 2.0), ("c", 1, 3.0), ("d", 1, 4.0), ("a", 2, 1.0), ("b", 2, 1.0), ("c", 2, 2.0)], "symbol string, session int, z double")
+    assert rows(market.volatility_groups(out, vol), "session", "symbol", "tercile") == [(1, "a", "low"), (1, "b", "low"), (1, "c", "mid"), (1, "d", "high"), (1, "x", "unavailable"), (2, "a", "insufficient")]
+    plates = spark.createDataFrame([("P", "a"), ("P", "b"), ("Q", "b")], "plate string, symbol string")
+    assert rows(market.single_plate(out.where("session = 1 and symbol < 'd'"), plates), "symbol", "plate") == [("a", "P"), ("b", "unknown"), ("c", "unknown")]
+
+
 def test_exact_days_needs_all_from_one_source(spark):
     days = [D(2024, 1, i) for i in range(1, 8)]
     r = [("ok", d, 1.0, "x") for d in days] + [("gap", d, 1.0, "x") for d in days[:-1]] + [("mix", d, 1.0, "x" if d.day % 2 else "y") for d in days]
@@ -190,11 +245,74 @@ def test_backtest_three_days(spark):
     assert got[1]["cash"] >= -1e-6 and math.isclose(got[2]["nav"], got[2]["cash"] + shares * 12, rel_tol=1e-9) and got[1]["turnover"] > 0.99
 
 
+def test_replay_of_whole_prices_agrees(spark):
+    """The backtest over held rows against a replay that sees every price row of every symbol."""
+    import pandas as pd
+
+    rng = random.Random(8)
+    days = [D(2024, 1, 1) + dt.timedelta(i) for i in range(30)]
+    px = [(d, f"s{i:02d}", 10 + 5 * rng.random(), 10 + 5 * rng.random(), rng.random() < 0.8, rng.random() < 0.7) for d in days for i in range(12) if rng.random() < 0.9]
+    targets = [(r, d, f"s{i:02d}") for r, n in (("x", 1), ("y", 4)) for d in days[2::n] for i in rng.sample(range(12), 3)]
+    t = spark.createDataFrame(targets, "run string, session date, symbol string")
+    p = spark.createDataFrame(px, "session date, symbol string, open_px double, close_px double, buy_ok boolean, sell_ok boolean")
+    got = {(r["run"], r["session"]): r for r in backtest.backtest(t, p, 1e5).collect()}
+    whole = pd.DataFrame(px, columns=["session", "symbol", "open_px", "close_px", "buy_ok", "sell_ok"])
+    for run in "xy":
+        want = backtest.replay(run, pd.DataFrame([x for x in targets if x[0] == run], columns=["run", "session", "symbol"]), whole, 1e5)
+        assert len(want) == 30
+        for w in want.itertuples():
+            g = got[run, w.session]
+            assert math.isclose(g["nav"], w.nav, rel_tol=1e-9) and (g["holdings"], g["stale"]) == (w.holdings, w.stale)
+    held = backtest.held_prices(t, p)
+    assert held.count() < p.count() * 2 and held.where("run = 'y'").count() < p.count() * 0.7
+    w = metrics.effective_window(spark.createDataFrame([("a", 1, None), ("a", 2, 0.0), ("a", 3, 0.4), ("a", 4, 0.1), ("b", 1, None), ("b", 2, 0.0)], "run string, session int, turnover double"))
+    assert rows(w, "run", "session") == [("a", 2), ("a", 3), ("a", 4), ("b", 1), ("b", 2)]
+
+
+def test_sink_survives_a_replayed_batch(spark, tmp_path):
+    import glob
+    import os
+
+    schema = "k string, v long, ts timestamp"
+    for i, k in enumerate("abcdea"):
+        spark.createDataFrame([(k, i, dt.datetime(2024, 1, 1, 0, 0, i))], schema).coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
+    source = lambda: spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(f"{tmp_path}/in")
+    base = f"file://{tmp_path}/a"
+    jobs.run(source(), base, "append", ["k"])
+    want = rows(jobs.written(spark, source().schema, base, "append", ["k"]), "k", "v")
+    assert len(want) == 5
+    commits = sorted((int(os.path.basename(p)), p) for p in glob.glob(f"{tmp_path}/a/checkpoint/commits/[0-9]*"))
+    assert len(commits) == 6
+    os.remove(commits[-1][1])
+    os.remove(f"{tmp_path}/a/checkpoint/commits/.{commits[-1][0]}.crc")
+    jobs.run(source(), base, "append", ["k"])
+    assert rows(jobs.written(spark, source().schema, base, "append", ["k"]), "k", "v") == want
+    totals = jobs.drain(jobs.minute_breadth(source().select("ts", F.lit("e").alias("event_type"), F.col("v").cast("double").alias("value")), "10 minutes"), "update", ["minute", "event_type"])
+    assert rows(totals, "n", "total") == [(6, 15.0)]
+
+
 def test_style_guardrails_health(spark):
-    g = market.guardrails(spark.createDataFrame([(0.7, 0.1, 0.3, 0.02, 120, True), (0.5, None, 0.4, 0.03, 121, None)], "confidence double, position double, sector double, day_loss double, age int, audited boolean"))
-    assert rows(g, "approved", "reasons") == [(False, "confidence,daily_loss,not_audited,sector_exposure,single_position,stale_data"), (True, "")]
+    schema = "i int, mode string, side string, confidence double, notional double, equity double, cash double, position double, sector double, day_pnl double, open_orders int, age int"
+    cases = [
+        (0, "CONFIRM_TO_TRADE", "BUY", 0.68, 5.0, 100.0, 5.0, 0.05, 0.25, -0.0199, 0, 120),
+        (1, "PAPER_AUTO", "SELL", 0.7, 10.0, 100.0, 0.0, 0.1, 0.0, 0.0, 0, -5),
+        (2, "PAPER_AUTO", "BUY", 0.7, 1.0, 100.0, 5.0, 0.0, 0.0, -0.02, 0, 0),  # a loss of exactly the limit refuses
+        (3, "RESEARCH", "SELL", 0.5, 11.0, 100.0, 5.0, 0.1, 0.2, 0.0, 1, -6),
+        (4, "LIMITED_LIVE_AUTO", "BUY", 0.7, 10.0, 100.0, 9.0, 0.1, 0.25, 0.0, 0, 121),
+        (5, None, "BUY", None, None, 100.0, 9.0, None, None, None, None, None),
+    ]
+    g = market.guardrails(spark.createDataFrame(cases, schema))
+    assert rows(g, "i", "approved", "reasons") == [
+        (0, True, ""), (1, True, ""), (2, False, "daily_loss"), (3, False, "confidence,future_data,mode,open_order,oversell"),
+        (4, False, "cash,live_disabled,sector_exposure,single_position,stale_data"),
+        (5, False, "cash,confidence,daily_loss,future_data,mode,open_order,sector_exposure,single_position,stale_data"),
+    ]
+    assert market.guardrails(spark.createDataFrame(cases[1:2], schema), gateway=False).first()["reasons"] == "gateway_disabled"
+    assert [r["confirm"] for r in sorted(g.collect())] == [True, False, False, False, True, False]
     a, b = (spark.createDataFrame([(i,) for i in x], "k int") for x in ((1, 2), (2, 3)))
     assert rows(health.orphans(a, b, ["k"]), "k", "side") == [(1, "left"), (3, "right")]
+    many = health.fingerprint(spark.range(200_000), ["id"]).first()
+    assert many["n"] == 200_000 and 0 <= many["digest"] < 2**60 and health.fingerprint(a.limit(0), ["k"]).first()["digest"] == 0
     assert health.fingerprint(a, ["k"]).first() == health.fingerprint(a.orderBy(F.desc("k")), ["k"]).first() != health.fingerprint(b, ["k"]).first()
 
 

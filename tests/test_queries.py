@@ -45,14 +45,22 @@ def plan(df):
 
 
 def test_scans_are_pruned(spark):
-    b = adapters.bars(spark, SF)
-    p = plan(b.where("symbol = '000001'").select("symbol", "close"))
+    p = plan(adapters.daily_bars(spark, SF).where("symbol = '000001'").select("symbol", "close"))
     schema = p.split("ReadSchema: struct<", 1)[1].split(">", 1)[0]
     assert "l_tax" not in schema and "l_returnflag" not in schema
     o = adapters.table(spark, SF, "orders").where("o_orderstatus = 'F'").select("o_orderkey")
     assert "PushedFilters: [IsNotNull(o_orderstatus), EqualTo(o_orderstatus,F)]" in plan(o)
 
 
+def test_the_grid_occurs_once_for_any_number_of_factors(spark):
+    from tidemark.plans import factors as pf
+
+    one, four = (plan(factors.standardise(pf.price_factors(spark, SF), names, ["session"])) for names in (pf.NAMES[:1], pf.NAMES))
+    assert one.count("Generate") == four.count("Generate") == 1 and one.count("Exchange") == four.count("Exchange")
+    b = plan(adapters.bars(spark, SF).where("session >= '2000-01-01'").select("symbol", "close"))
+    assert "GreaterThanOrEqual(session" in b and "volume" not in b.split("ReadSchema: struct<", 1)[1].split(">", 1)[0]
+
+
 def test_no_cartesian_products(spark):
     b = adapters.bars(spark, SF)
     assert "CartesianProduct" not in plan(factors.price_factors(b, adapters.adjustments(b)))

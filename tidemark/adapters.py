@@ -72,6 +72,14 @@ def plates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "supplier").select(F.format_string("N%02d", "s_nationkey").alias("plate"), symbol("s_suppkey").alias("symbol"))
 
 
+def flows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(plate, session, flow): amounts of members that closed at or above their open, less those of the others; one plate has
+    none."""
+    signed = F.when(F.col("close") >= F.col("open"), F.col("amount")).otherwise(-F.col("amount"))
+    j = bars(spark, sf_dir).join(plates(spark, sf_dir), "symbol").where("plate <> 'N07'")
+    return j.groupBy("plate", "session").agg(F.sum(signed).alias("flow"))
+
+
 def financials(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(symbol, period, metric, value, available): order statistics of a customer's quarter, known 45 days after its end."""
     o = table(spark, sf_dir, "orders").select(symbol("o_custkey").alias("symbol"), F.trunc("o_orderdate", "quarter").alias("q"), "o_totalprice")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.functions.stats import scaled_rank
+from tidemark.functions.stats import full
 
 
 def breadth(quotes: DataFrame, by: list[str]) -> DataFrame:
@@ -20,24 +20,55 @@ def breadth(quotes: DataFrame, by: list[str]) -> DataFrame:
 
 
 def observations(b: DataFrame) -> DataFrame:
-    """b with breadth share (null without movers), limit ecology, and amount (null unless positive)."""
+    """b with breadth share (null without movers), limit ecology, volume (amount over that of the session before, less one;
+    null unless both are positive) and broken rate."""
     a, d = F.col("advancers"), F.col("decliners")
-    return b.withColumns({
-        "share": F.try_divide(a, F.nullif(a + d, F.lit(0))), "ecology": (F.col("limit_up_n") - F.col("broken")).cast("double"), "amount": F.when(F.col("amount") > 0, F.col("amount"))
-    })
-
-
-def sentiment(obs: DataFrame) -> DataFrame:
-    """Weighted total of four components ranked 0..100 over the history; a missing component counts 50 and is flagged."""
+    w = Window.orderBy("ts")  # one row a time step, however many quotes each summed up
+    amount = F.when(F.col("amount") > 0, F.col("amount"))
+    b = b.withColumns({"share": F.try_divide(a, F.nullif(a + d, F.lit(0))), "ecology": (F.col("limit_up_n") - F.col("broken")).cast("double"), "amount": amount})
+    broken = F.try_divide(F.col("broken") * 100.0, F.nullif(F.col("limit_up_n") + F.col("broken"), F.lit(0)))
+    return b.withColumns({"volume": F.try_divide(F.col("amount"), F.lag("amount").over(w)) - 1, "broken_rate": broken})
+
+
+def index_volatility(index: DataFrame, days: int = 20) -> DataFrame:
+    """(ts, volatility): annualised deviation of the last `days` returns of an index (ts, close); null until there are enough."""
+    w = Window.orderBy("ts")  # one row a session
+    r = index.withColumn("__r", F.try_divide(F.col("close"), F.lag("close").over(w)) - 1)
+    return r.select("ts", (full(F.stddev_pop("__r"), "__r", w.rowsBetween(1 - days, 0), days) * F.sqrt(F.lit(252.0))).alias("volatility"))
+
+
+def trailing_rank(df: DataFrame, value: str, out: str, history: int, sample: str | None = None) -> DataFrame:
+    """df (ts, value) with out: the scaled rank (0..100) of each value among the last `history` non-null samples up to its own
+    row, and out_n, their number. Later rows change nothing. One sample, or equal ones, rank at 50."""
+    sample = sample or value
+    w = Window.orderBy("ts")  # one row a session
+    d = df.withColumn("__nn", F.count(sample).over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    past = F.collect_list(sample).over(Window.orderBy("__nn").rangeBetween(1 - history, 0))
+    d = d.withColumn("__s", past)
+    v, n = F.col(value), F.size("__s")
+    less, same = F.size(F.filter("__s", lambda x: x < v)), F.size(F.filter("__s", lambda x: x == v))
+    rank = F.when(v.isNull() | (n == 0), None).when((n == 1) | (F.array_max("__s") == F.array_min("__s")), 50.0).otherwise((less + (same - 1) / 2) / (n - 1) * 100)
+    return d.withColumn(out, rank).withColumn(f"{out}_n", n).drop("__nn", "__s")
+
+
+def sentiment(obs: DataFrame, index: DataFrame, history: int = 250) -> DataFrame:
+    """Weighted total of four components, each ranked 0..100 against its own last `history` values up to the session; a missing
+    component counts 50. degraded names components that are missing or have no earlier value. index is (ts, close); the
+    volatility of a session without an index close is that of the last one."""
     # fixed values: weights of the components
-    parts = {"share": 0.30, "amount": 0.25, "ecology": 0.25, "volatility": 0.20}
-    d = obs
+    parts = {"share": 0.30, "volume": 0.25, "ecology": 0.25, "volatility": 0.20}
+    d = obs.join(index_volatility(index).withColumnRenamed("volatility", "__vol"), "ts", "left")
+    d = d.withColumn("volatility", F.last("__vol", ignorenulls=True).over(Window.orderBy("ts")))  # one row a session
     for p in parts:
-        d = d.withColumn(f"r_{p}", scaled_rank(p, []))
-    d = d.withColumn("r_volatility", 100 - F.col("r_volatility"))
-    d = d.withColumn("degraded", F.array_join(F.array_compact(F.array(*(F.when(F.col(f"r_{p}").isNull(), F.lit(p)) for p in parts))), ","))
+        d = trailing_rank(d, p, f"r_{p}", history, "__vol" if p == "volatility" else None)
+    d = d.drop("__vol").withColumn("r_volatility", 100 - F.col("r_volatility"))
+    poor = {p: F.col(f"r_{p}").isNull() | (F.col(f"r_{p}_n") < 2) for p in parts}
+    d = d.withColumn("degraded", F.array_join(F.array_compact(F.array(*(F.when(c, F.lit(p)) for p, c in poor.items()))), ","))
     total = sum((F.coalesce(f"r_{p}", F.lit(50.0)) * v for p, v in parts.items()), F.lit(0.0))
-    return d.withColumn("sentiment", total).withColumn("label", sentiment_label(F.col("sentiment")))
+    d = d.withColumn("sentiment", total).withColumn("label", sentiment_label(F.col("sentiment")))
+    # a label of a component is given only where it has a history
+    safe = {p: F.when(~poor[p], sentiment_label(F.coalesce(f"r_{p}", F.lit(50.0)))) for p in ("ecology", "volume", "volatility")}
+    return d.withColumns({"money_effect": safe["ecology"], "liquidity": safe["volume"], "risk_hint": safe["volatility"]})
 
 
 def sentiment_label(x: Column) -> Column:
@@ -45,20 +76,43 @@ def sentiment_label(x: Column) -> Column:
 
 
 def changes(obs: DataFrame) -> DataFrame:
-    """(ts, kind, delta): events between neighbouring observations: amount by 5 %, breadth flip, limit-ups by 5, label."""
+    """(ts, kind, delta): events between neighbouring observations: amount by 5 %, the balance of advancers and decliners
+    changing its sign (a tie does not), limit-ups by 5, broken rate rising over 30 %, label."""
     w = Window.orderBy("ts")  # one row a time step, however many quotes each summed up
-    d = obs.select("ts", "amount", "share", "limit_up_n", "label", *(F.lag(c).over(w).alias(f"p_{c}") for c in ("amount", "share", "limit_up_n", "label")))
+    d = obs.withColumn("balance", F.col("advancers") - F.col("decliners"))
+    names = ("amount", "balance", "share", "limit_up_n", "broken_rate", "label")
+    d = d.select("ts", *names, *(F.lag(c).over(w).alias(f"p_{c}") for c in names), F.lag("ts").over(w).alias("p_ts"))
     rel = F.try_divide(F.col("amount"), F.col("p_amount")) - 1
     up = (F.col("limit_up_n") - F.col("p_limit_up_n")).cast("double")
+    crossed = F.col("p_ts").isNotNull() & (F.col("broken_rate") > 30) & F.coalesce(F.col("p_broken_rate") <= 30, F.lit(True))
     found = F.array_compact(F.array(
         F.when(F.abs(rel) >= 0.05, F.struct(F.lit("amount").alias("kind"), rel.alias("delta"))),
-        F.when((F.col("share") > 0.5) != (F.col("p_share") > 0.5), F.struct(F.lit("breadth").alias("kind"), (F.col("share") - F.col("p_share")).alias("delta"))),
+        F.when(F.col("balance") * F.col("p_balance") < 0, F.struct(F.lit("breadth").alias("kind"), (F.col("share") - F.col("p_share")).alias("delta"))),
         F.when(F.abs(up) >= 5, F.struct(F.lit("limit_up").alias("kind"), up.alias("delta"))),
+        F.when(crossed, F.struct(F.lit("broken").alias("kind"), F.col("broken_rate").alias("delta"))),
         F.when(F.col("label") != F.col("p_label"), F.struct(F.lit("label").alias("kind"), F.lit(None).cast("double").alias("delta"))),
     ))
     return d.select("ts", F.explode(found).alias("e")).select("ts", "e.kind", "e.delta")
 
 
+def leader_changes(strength: DataFrame) -> DataFrame:
+    """(ts, before, after, strength): sessions whose strongest plate differs from that of the session before. strength is
+    (ts, plate, rank, strength); the strongest has the lowest rank, then the largest strength, then the lowest plate."""
+    key = F.struct(F.coalesce("rank", F.lit(2**31 - 1)), -F.coalesce("strength", F.lit(float("-inf"))), F.col("plate"))
+    top = strength.where("plate is not null").groupBy("ts").agg(F.min_by(F.struct("plate", "strength"), key).alias("t")).select("ts", "t.*")
+    d = top.withColumn("before", F.lag("plate").over(Window.orderBy("ts")))  # one row a session
+    return d.where(F.col("before") != F.col("plate")).select("ts", "before", F.col("plate").alias("after"), "strength")
+
+
+def merged_feed(feeds: list[DataFrame], n: int) -> DataFrame:
+    """The n newest rows (ts, kind, text) of several producers: by time, then the later producer, then the later row of it."""
+    every = None
+    for i, f in enumerate(feeds):
+        f = f.select("ts", "kind", "text", F.lit(i).alias("producer"))
+        every = f if every is None else every.unionByName(f)
+    return every.orderBy(F.desc("ts"), F.desc("producer"), F.desc("kind"), F.desc("text")).limit(n)
+
+
 def outcomes(signals: DataFrame, closes: DataFrame, horizon: int) -> DataFrame:
     """signals (symbol, session, action, position_change) with the return over the next `horizon` calendar sessions, hit
     (null for actions without a direction) and contribution. Both ends must have a bar; immature signals are left out."""
@@ -75,12 +129,27 @@ def outcomes(signals: DataFrame, closes: DataFrame, horizon: int) -> DataFrame:
 
 def attribution(out: DataFrame, dims: list[str]) -> DataFrame:
     """One output of counts, hits, rate and contribution for each value of each dimension: grouping sets, one pass."""
-    sets = ", ".join(f"({d})" for d in dims)
-    out.createOrReplaceTempView("tidemark_outcomes")
-    return out.sparkSession.sql(
-        f"SELECT {', '.join(dims)}, count(*) AS n, count(hit) AS directional, count_if(hit) AS hits, try_divide(count_if(hit), nullif(count(hit), 0)) AS rate, sum(contribution) AS contribution "
-        f"FROM tidemark_outcomes GROUP BY GROUPING SETS ({sets})"
+    g = out.groupingSets([[F.col(d)] for d in dims], *(F.col(d) for d in dims)).agg(
+        F.count("*").alias("n"), F.count("hit").alias("directional"), F.count_if("hit").alias("hits"), F.sum("contribution").alias("contribution")
     )
+    return g.withColumn("rate", F.try_divide(F.col("hits"), F.nullif(F.col("directional"), F.lit(0))))
+
+
+def volatility_groups(out: DataFrame, vol: DataFrame) -> DataFrame:
+    """out (symbol, session, ...) with tercile: low, mid or high by the linear thirds of the session's whole cross-section of vol
+    (symbol, session, z); insufficient with under three values or three different ones, unavailable without a value."""
+    known = vol.where("z is not null")
+    q = known.groupBy("session").agg(F.percentile("z", [1 / 3, 2 / 3]).alias("__q"), F.count("*").alias("__n"), F.countDistinct("z").alias("__d"))
+    j = out.join(known.select("symbol", "session", "z"), ["symbol", "session"], "left").join(q, "session", "left")
+    z, enough = F.col("z"), (F.col("__n") >= 3) & (F.col("__d") >= 3)
+    group = F.when(z.isNull(), "unavailable").when(~enough, "insufficient").when(z <= F.col("__q")[0], "low").when(z <= F.col("__q")[1], "mid").otherwise("high")
+    return j.withColumn("tercile", group).drop("z", "__q", "__n", "__d")
+
+
+def single_plate(out: DataFrame, plates: DataFrame) -> DataFrame:
+    """out with plate: the plate of a symbol that has exactly one, else "unknown"."""
+    one = plates.groupBy("symbol").agg(F.countDistinct("plate").alias("__n"), F.min("plate").alias("plate")).where("__n = 1").drop("__n")
+    return out.join(one, "symbol", "left").withColumn("plate", F.coalesce("plate", F.lit("unknown")))
 
 
 def decile_outcomes(scored: DataFrame, score: str, ret: str) -> DataFrame:
@@ -110,19 +179,35 @@ def order_limit(price: Column, buy: Column) -> Column:
     return F.when(buy, F.ceil(up * 100) / 100).otherwise(F.floor(down * 100) / 100).cast("double")
 
 
-def guardrails(proposals: DataFrame) -> DataFrame:
-    """proposals with reasons (sorted text, empty if none) and approved. Missing inputs refuse."""
+def guardrails(proposals: DataFrame, live: bool = False, gateway: bool = True) -> DataFrame:
+    """proposals (mode, side, confidence, notional, equity, cash, position, sector, day_pnl, open_orders, age) with reasons (sorted
+    text, empty if none), approved and confirm. Shares are of equity; age is in seconds. Missing inputs refuse."""
     # fixed values: default limits
+    confidence, single, sector, loss, stale = 0.68, 0.10, 0.30, 0.02, 120
+    c = F.col
+    order = F.try_divide(c("notional"), c("equity"))
+    after = c("position") + F.when(c("side") == "BUY", order).otherwise(-order)
+
+    def unless(ok: Column) -> Column:
+        return ~F.coalesce(ok, F.lit(False))
+
     rules = {
-        "confidence": ~F.coalesce(F.col("confidence") >= 0.68, F.lit(False)),
-        "single_position": ~F.coalesce(F.col("position") <= 0.10, F.lit(False)),
-        "sector_exposure": ~F.coalesce(F.col("sector") <= 0.30, F.lit(False)),
-        "daily_loss": ~F.coalesce(F.col("day_loss") <= 0.02, F.lit(False)),
-        "stale_data": ~F.coalesce(F.col("age") <= 120, F.lit(False)),
-        "not_audited": ~F.coalesce("audited", F.lit(False)),
+        "mode": unless(~c("mode").isin("RESEARCH", "OBSERVE", "ALERT")),
+        "live_disabled": (c("mode") == "LIMITED_LIVE_AUTO") & F.lit(not live),
+        "gateway_disabled": c("mode").isin("PAPER_AUTO", "LIMITED_LIVE_AUTO") & F.lit(not gateway),
+        "confidence": unless(c("confidence") >= confidence),
+        "future_data": unless(c("age") >= -5),
+        "stale_data": unless(c("age") <= stale),
+        "single_position": unless(after <= single),
+        "oversell": (c("side") == "SELL") & unless(after >= -1e-9),
+        "sector_exposure": unless(c("sector") + F.greatest(order, F.lit(0.0)) <= sector),
+        "daily_loss": unless(c("day_pnl") > -loss),
+        "open_order": unless(c("open_orders") <= 0),
+        "cash": (c("side") == "BUY") & unless(c("notional") <= c("cash")),
     }
-    reasons = F.array_join(F.array_sort(F.array_compact(F.array(*(F.when(c, F.lit(k)) for k, c in rules.items())))), ",")
-    return proposals.withColumn("reasons", reasons).withColumn("approved", F.col("reasons") == "")
+    reasons = F.array_join(F.array_sort(F.array_compact(F.array(*(F.when(r, F.lit(k)) for k, r in rules.items())))), ",")
+    d = proposals.withColumn("reasons", reasons).withColumn("approved", F.col("reasons") == "")
+    return d.withColumn("confirm", F.coalesce(c("mode").isin("CONFIRM_TO_TRADE", "LIMITED_LIVE_AUTO"), F.lit(False)))
 
 
 def thesis_drift(probabilities: DataFrame, step: int = 5, band: float = 0.08) -> DataFrame:
@@ -143,15 +228,32 @@ def style(df: DataFrame) -> DataFrame:
     return df.withColumn("style", tag)
 
 
+STYLES = ("defensive", "value", "growth", "balanced")
+
+
 def style_weights(df: DataFrame, by: list[str]) -> DataFrame:
     """(by, style, n, weight): turnover share of all four tags, absent ones 0."""
     g = df.groupBy(*by, "style").agg(F.count("*").alias("n"), F.sum("amount").alias("a"))
-    tags = F.explode(F.array(*(F.lit(t) for t in ("defensive", "value", "growth", "balanced"))))
-    grid = g.select(*by).distinct().withColumn("style", tags)
+    grid = g.select(*by).distinct().withColumn("style", F.explode(F.array(*(F.lit(t) for t in STYLES))))
     full = grid.join(g, [*by, "style"], "left").fillna(0, ["n"]).fillna(0.0, ["a"])
     return full.withColumn("weight", F.coalesce(F.try_divide(F.col("a"), F.sum("a").over(Window.partitionBy(*by))), F.lit(0.0)))
 
 
+def style_row(df: DataFrame, by: list[str]) -> DataFrame:
+    """One row of by with a weight column for each tag."""
+    w = style_weights(df, by)
+    return w.groupBy(*by).agg(*(F.max(F.when(F.col("style") == t, F.col("weight"))).alias(t) for t in STYLES))
+
+
+def style_exposure(candidates: DataFrame, by: list[str]) -> DataFrame:
+    """(by, style, n, share): the candidates of a run by style, all four tags; an unknown tag is an error at run time."""
+    ok = F.coalesce(F.col("style").isin(*STYLES), F.lit(False))
+    checked = F.when(ok, F.col("style")).otherwise(F.raise_error(F.lit("a candidate has no style")))
+    g = candidates.withColumn("style", checked).groupBy(*by).agg(F.count("*").alias("total"), *(F.count_if(F.col("style") == t).alias(t) for t in STYLES))
+    d = g.unpivot([*by, "total"], list(STYLES), "style", "n")
+    return d.withColumn("share", F.try_divide(F.col("n"), F.col("total"))).drop("total")
+
+
 def preselect(df: DataFrame, value: str, score: str, by: list[str], n: int) -> DataFrame:
     """The n best of each cross-section: rows with a value first, then by value (else score / 100), then score, then symbol."""
     w = Window.partitionBy(*by).orderBy(F.desc(F.col(value).isNotNull().cast("int")), F.desc(F.coalesce(F.col(value), F.col(score) / 100)), F.desc(score), "symbol")

@@ -15,12 +15,19 @@ from .registry import query
 OUT = f"""{WIDE_SQL}, cal AS (SELECT session, lead(session, 5) OVER (ORDER BY session) AS mature_on FROM (SELECT DISTINCT session FROM bars)),
 ou AS (SELECT a.symbol, a.session, a.action, a.position_change, c.mature_on, x.close / nullif(e.close, 0) - 1 AS ret FROM alert a JOIN cal c USING (session) JOIN bars e ON e.symbol = a.symbol AND e.session = a.session JOIN bars x ON x.symbol = a.symbol AND x.session = c.mature_on),
 outc AS (SELECT *, CASE WHEN position_change > 0 THEN ret > 0 WHEN position_change < 0 THEN ret < 0 END AS hit, position_change * ret + 0.0 AS contribution FROM ou),
-oplate AS (SELECT o.*, 'N' || lpad(s_nationkey::VARCHAR, 2, '0') AS plate, year(session)::VARCHAR AS yr FROM outc o JOIN supplier ON lpad(s_suppkey::VARCHAR, 6, '0') = o.symbol)"""
+vz AS (SELECT symbol, session, CASE WHEN symbol <> '000003' THEN vol_20 END AS z FROM wide WHERE symbol <> '000003'),
+vq AS (SELECT session, quantile_cont(z, [1 / 3.0::DOUBLE, 2 / 3.0::DOUBLE]) AS q, count(z) AS n, count(DISTINCT z) AS d FROM vz GROUP BY 1),
+oplate AS (SELECT o.*, CASE WHEN o.symbol::INT % 7 = 0 THEN 'unknown' ELSE 'N' || lpad(s_nationkey::VARCHAR, 2, '0') END AS plate,
+  CASE WHEN vz.z IS NULL THEN 'unavailable' WHEN NOT (n >= 3 AND d >= 3) THEN 'insufficient' WHEN vz.z <= q[1] THEN 'low' WHEN vz.z <= q[2] THEN 'mid' ELSE 'high' END AS tercile
+  FROM outc o JOIN supplier ON lpad(s_suppkey::VARCHAR, 6, '0') = o.symbol LEFT JOIN vz ON vz.symbol = o.symbol AND vz.session = o.session LEFT JOIN vq ON vq.session = o.session)"""
 
 
 def outcomes(spark, sf) -> DataFrame:
-    o = op.outcomes(fo.alerts(wide(spark, sf)), a.bars(spark, sf), 5)
-    return o.join(a.plates(spark, sf), "symbol").withColumn("yr", F.year("session").cast("string"))
+    w = wide(spark, sf)
+    p = a.plates(spark, sf)
+    twice = p.where(F.col("symbol").cast("int") % 7 == 0).withColumn("plate", F.lit("X"))  # symbols of two plates
+    o = op.single_plate(op.outcomes(fo.alerts(w), a.bars(spark, sf), 5), p.union(twice))
+    return op.volatility_groups(o, w.where("symbol <> '000003'").select("symbol", "session", F.col("vol_20").alias("z")))
 
 
 @query("c11_alert_outcomes", "symbol session action mature_on hit", "ret contribution", f"WITH {OUT} SELECT * FROM oplate")
@@ -29,11 +36,11 @@ def c11(spark, sf):
 
 
 @query(
-    "a22_attribution_sets", "action plate yr n directional hits", "rate contribution",
-    f"WITH {OUT} SELECT action, plate, yr, count(*) AS n, count(hit) AS directional, count(*) FILTER (hit) AS hits, count(*) FILTER (hit) / nullif(count(hit), 0) AS rate, sum(contribution) AS contribution FROM oplate GROUP BY GROUPING SETS ((action), (plate), (yr))",
+    "a22_attribution_sets", "action plate tercile n directional hits", "rate contribution",
+    f"WITH {OUT} SELECT action, plate, tercile, count(*) AS n, count(hit) AS directional, count(*) FILTER (hit) AS hits, count(*) FILTER (hit) / nullif(count(hit), 0) AS rate, sum(contribution) AS contribution FROM oplate GROUP BY GROUPING SETS ((action), (plate), (tercile))",
 )
 def a22(spark, sf):
-    return op.attribution(outcomes(spark, sf), ["action", "plate", "yr"])
+    return op.attribution(outcomes(spark, sf), ["action", "plate", "tercile"])
 
 
 @query(
@@ -93,15 +100,27 @@ def f14(spark, sf):
     return o.withColumns({"lots": op.order_size(F.col("o_totalprice"), F.col("px")), "cost_e7": F.round(op.trade_cost(amount, F.col("sell")) * 10_000_000).cast("long"), "limit_price": op.order_limit(F.col("px"), ~F.col("sell"))})
 
 
+MODES = ("RESEARCH", "PAPER_AUTO", "LIMITED_LIVE_AUTO", "CONFIRM_TO_TRADE")
+
+
 @query(
-    "p19_guardrails", "symbol session reasons approved", "",
-    f"""WITH {WIDE_SQL}, g AS (SELECT symbol, session, list_sort(list_filter([CASE WHEN NOT coalesce(conf20 + .2 >= .68, false) THEN 'confidence' END, CASE WHEN NOT coalesce(abs(position_change) <= .10, false) THEN 'single_position' END,
-      CASE WHEN NOT coalesce(p20 / 2 <= .30, false) THEN 'sector_exposure' END, CASE WHEN NOT coalesce(p5 / 40 <= .02, false) THEN 'daily_loss' END, CASE WHEN NOT coalesce(month(session) * 15 <= 120, false) THEN 'stale_data' END,
-      CASE WHEN NOT symbol::INT % 5 <> 0 THEN 'not_audited' END], lambda x: x IS NOT NULL)) AS l FROM alert) SELECT symbol, session, array_to_string(l, ',') AS reasons, len(l) = 0 AS approved FROM g""",
+    "p19_guardrails", "symbol session reasons approved confirm", "",
+    f"""WITH {WIDE_SQL}, g0 AS (SELECT symbol, session, symbol::INT AS k, month(session) AS m, conf20 + .2 AS confidence, p20, p5, position_change FROM alert),
+    g1 AS (SELECT *, [{", ".join(f"'{x}'" for x in MODES)}][(k + m) % 4 + 1] AS mode, CASE WHEN k % 3 = 0 THEN 'SELL' ELSE 'BUY' END AS side, p20 / 8 AS ord, p5 / 12 AS pos, p20 / 3 AS sector, CASE WHEN m = 2 THEN -.02 ELSE -p5 / 40 END AS pnl, m * 15 - 20 AS age FROM g0),
+    g2 AS (SELECT *, pos + CASE WHEN side = 'BUY' THEN ord ELSE -ord END AS after FROM g1),
+    g AS (SELECT *, list_sort(list_filter([CASE WHEN mode = 'RESEARCH' THEN 'mode' END, CASE WHEN mode = 'LIMITED_LIVE_AUTO' THEN 'live_disabled' END, CASE WHEN confidence < .68 THEN 'confidence' END,
+      CASE WHEN age < -5 THEN 'future_data' END, CASE WHEN age > 120 THEN 'stale_data' END, CASE WHEN after > .10 THEN 'single_position' END, CASE WHEN side = 'SELL' AND after < -1e-9 THEN 'oversell' END,
+      CASE WHEN sector + ord > .30 THEN 'sector_exposure' END, CASE WHEN pnl <= -.02 THEN 'daily_loss' END, CASE WHEN k % 11 > 0 AND m % 5 = 0 THEN 'open_order' END, CASE WHEN side = 'BUY' AND ord * 1000000 > 60000 THEN 'cash' END], lambda x: x IS NOT NULL)) AS l FROM g2)
+    SELECT symbol, session, array_to_string(l, ',') AS reasons, len(l) = 0 AS approved, mode IN ('CONFIRM_TO_TRADE', 'LIMITED_LIVE_AUTO') AS confirm FROM g""",
 )
 def p19(spark, sf):
     d = fo.alerts(wide(spark, sf))
-    return op.guardrails(d.withColumns({"confidence": F.col("conf20") + 0.2, "position": F.abs("position_change"), "sector": F.col("p20") / 2, "day_loss": F.col("p5") / 40, "age": F.month("session") * 15, "audited": F.col("symbol").cast("int") % 5 != 0}))
+    k, m = F.col("symbol").cast("int"), F.month("session")
+    return op.guardrails(d.withColumns({
+        "mode": F.element_at(F.array(*(F.lit(x) for x in MODES)), (k + m) % 4 + 1), "side": F.when(k % 3 == 0, "SELL").otherwise("BUY"), "confidence": F.col("conf20") + 0.2, "equity": F.lit(1_000_000.0),
+        "notional": F.col("p20") / 8 * 1_000_000, "cash": F.lit(60_000.0), "position": F.col("p5") / 12, "sector": F.col("p20") / 3, "day_pnl": F.when(m == 2, -0.02).otherwise(-F.col("p5") / 40),
+        "open_orders": F.when((k % 11 > 0) & (m % 5 == 0), 1).otherwise(0), "age": m * 15 - 20,
+    }))
 
 
 @query(

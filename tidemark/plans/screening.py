@@ -70,10 +70,20 @@ def u3(spark, sf):
     return op.screen_diff(screen(spark, sf).select("session", "symbol"))
 
 
-@query("a30_style_exposure", "session risk n", "share", f"WITH {SCREEN} SELECT session, risk, count(*) AS n, count(*) / sum(count(*)) OVER (PARTITION BY session) AS share FROM scr GROUP BY session, risk")
+@query(
+    "a30_style_exposure", "nation style n", "share",
+    f"""WITH {STYLE}, c AS (SELECT nation, style, row_number() OVER (PARTITION BY nation ORDER BY amount DESC, symbol) AS rn FROM sty), k AS (SELECT * FROM c WHERE rn <= 30)
+    SELECT n.nation, t.style, count(k.style) AS n, count(k.style) / any_value(n.total) AS share FROM (SELECT nation, count(*) AS total FROM k GROUP BY 1) n CROSS JOIN (SELECT unnest(['defensive', 'value', 'growth', 'balanced']) AS style) t
+    LEFT JOIN k ON k.nation = n.nation AND k.style = t.style GROUP BY 1, 2""",
+)
 def a30(spark, sf):
-    g = screen(spark, sf).groupBy("session", "risk").agg(F.count("*").alias("n"))
-    return g.withColumn("share", F.col("n") / F.sum("n").over(Window.partitionBy("session")))
+    w = Window.partitionBy("nation").orderBy(F.desc("amount"), "symbol")
+    return op.style_exposure(styled(spark, sf).withColumn("rn", F.row_number().over(w)).where("rn <= 30"), ["nation"])
+
+
+@query("x8_style_row", "nation", "defensive value growth balanced", f"WITH {STYLE}, g AS (SELECT nation, sum(amount) AS t, " + ", ".join(f"coalesce(sum(amount) FILTER (style = '{s}'), 0) AS {s}" for s in ("defensive", "value", "growth", "balanced")) + " FROM sty GROUP BY 1) SELECT nation, " + ", ".join(f"coalesce({s} / nullif(t, 0), 0) AS {s}" for s in ("defensive", "value", "growth", "balanced")) + " FROM g")
+def x8(spark, sf):
+    return op.style_row(styled(spark, sf), ["nation"])
 
 
 @query(

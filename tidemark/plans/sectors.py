@@ -6,35 +6,49 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemark import adapters as a
+from tidemark.functions.shared import staged
 from tidemark.operators import factors as fo
 from tidemark.operators import sectors as op
 
-from .registry import ADJ, BARS, PX, avg_rank, query
+from .registry import ADJ, BARS, CAL, PX, avg_rank, query
 
 MEMBERS = "plates AS (SELECT 'N' || lpad(s_nationkey::VARCHAR, 2, '0') AS plate, lpad(s_suppkey::VARCHAR, 6, '0') AS symbol FROM supplier)"
 RET = f"{BARS}, {ADJ}, {PX}, {MEMBERS}, ret AS (SELECT symbol, session, amount, px / nullif(lag(px) OVER (PARTITION BY symbol ORDER BY session), 0) - 1 AS ret FROM px)"
-PANEL = f"""{RET}, panel AS (SELECT plate, session, avg(ret) AS mean_ret, avg((ret > 0)::INT::DOUBLE) AS breadth, count(ret) AS active, sum(amount) AS amount FROM ret JOIN plates USING (symbol) GROUP BY ALL)"""
+FLOWS = "flows AS (SELECT plate, session, sum(CASE WHEN close >= open THEN amount ELSE -amount END) AS flow FROM bars JOIN plates USING (symbol) WHERE plate <> 'N07' GROUP BY ALL)"
+#: Gate of the query: its plates are small, so one member and half of all must report.
+LEAST, COVERAGE, FLOW_SESSIONS, ORIGINS = 1, 0.5, 60, 40
+PANEL = f"""{RET}, {CAL}, {FLOWS}, mem AS (SELECT plate, count(DISTINCT symbol) AS members FROM plates GROUP BY 1),
+pa AS (SELECT plate, session, avg(ret) AS mean_ret, avg((ret > 0)::INT::DOUBLE) AS breadth, count(ret) AS active, sum(amount) AS amount FROM ret JOIN plates USING (symbol) GROUP BY ALL),
+pg AS (SELECT m.plate, c.session, m.members, mean_ret, breadth, coalesce(active, 0) AS active, amount, coalesce(active, 0) / m.members AS coverage FROM mem m CROSS JOIN cal c LEFT JOIN pa ON pa.plate = m.plate AND pa.session = c.session WHERE c.ord > 1),
+panel AS (SELECT * FROM pg QUALIFY min((active >= {LEAST} AND coverage >= {COVERAGE} AND mean_ret IS NOT NULL)::INT) OVER (PARTITION BY plate) = 1)"""
 FEAT = f"""{PANEL},
-f0 AS (SELECT *, 100 * exp(sum(ln(1 + greatest(coalesce(mean_ret, 0), -0.999999))) OVER (PARTITION BY plate ORDER BY session)) AS level FROM panel),
+pf0 AS (SELECT p.*, f.flow FROM panel p LEFT JOIN flows f USING (plate, session)),
+f0 AS (SELECT *, 100 * exp(sum(ln(1 + mean_ret)) OVER (PARTITION BY plate ORDER BY session)) AS level FROM pf0),
 f1 AS (SELECT *, level / lag(level, 5) OVER w - 1 AS mom_5, level / lag(level, 10) OVER w - 1 AS mom_10, level / lag(level, 20) OVER w - 1 AS mom_20,
   CASE WHEN count(mean_ret) OVER (w ROWS 13 PRECEDING) = 14 THEN avg(greatest(mean_ret, 0)) OVER (w ROWS 13 PRECEDING) END AS gain,
   CASE WHEN count(mean_ret) OVER (w ROWS 13 PRECEDING) = 14 THEN avg(greatest(-mean_ret, 0)) OVER (w ROWS 13 PRECEDING) END AS loss,
-  CASE WHEN count(amount) OVER (w ROWS 4 PRECEDING) = 5 THEN sum(amount) OVER (w ROWS 4 PRECEDING) END AS flow_5, amount / nullif(lag(amount, 5) OVER w, 0) - 1 AS amount_change FROM f0 WINDOW w AS (PARTITION BY plate ORDER BY session)),
+  CASE WHEN count(flow) OVER (w ROWS 4 PRECEDING) = 5 THEN sum(flow) OVER (w ROWS 4 PRECEDING) END AS flow_5, amount / nullif(lag(amount, 5) OVER w, 0) - 1 AS amount_change FROM f0 WINDOW w AS (PARTITION BY plate ORDER BY session)),
 med AS (SELECT session, median(mom_20) AS m FROM f1 GROUP BY 1),
 feat AS (SELECT f1.*, mom_20 - m AS rs, CASE WHEN gain IS NULL THEN NULL WHEN gain = 0 AND loss = 0 THEN 50 WHEN loss = 0 THEN 100 ELSE 100 - 100 / (1 + gain / loss) END AS rsi,
   flow_5 - lag(flow_5) OVER (PARTITION BY plate ORDER BY session) AS flow_turn FROM f1 JOIN med USING (session))"""
 
 
 def z(c: str) -> str:
-    return f"CASE WHEN stddev_pop({c}) OVER d <= 1e-8 THEN 0 ELSE ({c} - avg({c}) OVER d) / stddev_pop({c}) OVER d END"
+    return f"CASE WHEN {c} IS NULL THEN NULL WHEN stddev_pop({c}) OVER d <= 1e-8 THEN 0 ELSE ({c} - avg({c}) OVER d) / stddev_pop({c}) OVER d END"
 
 
-SCORES = f"""{FEAT},
-s0 AS (SELECT *, round(.35 * {z("mom_20")} + .2 * {z("breadth")} + .2 * {z("rs")} + .25 * {z("flow_5")}, 9) AS raw, {z("flow_turn")} AS zf FROM feat WHERE mom_20 IS NOT NULL AND rsi IS NOT NULL AND flow_turn IS NOT NULL WINDOW d AS (PARTITION BY session)),
+def scores_sql(h: int, part: str = "") -> str:
+    """The scores of a horizon, as the CTE scores; part limits the plates."""
+    return f"""s00 AS (SELECT * FROM feat {part}),
+uf AS (SELECT count(*) = {FLOW_SESSIONS} AND bool_and(ok) AS use_flow FROM (SELECT session, count(flow) = count(*) AS ok FROM s00 GROUP BY 1 ORDER BY session DESC LIMIT {FLOW_SESSIONS})),
+s0 AS (SELECT *, round(CASE WHEN use_flow THEN .35 * mom_{h} + .2 * {z("breadth")} + .2 * {z("rs")} + .25 * {z("flow_5")} ELSE (.35 * mom_{h} + .2 * {z("breadth")} + .2 * {z("rs")}) / .75 END, 9) AS raw, {z("flow_turn")} AS zf FROM s00, uf WINDOW d AS (PARTITION BY session)),
 s1 AS (SELECT *, ({avg_rank("raw", "session")}) / count(raw) OVER (PARTITION BY session) * 100 AS score FROM s0),
-s2 AS (SELECT *, score - lag(score, 5) OVER (PARTITION BY plate ORDER BY session) AS trend, round(.4 * (100 - score) + .4 * zf + .2 * greatest(35 - rsi, 0), 9) AS rv FROM s1),
-scores AS (SELECT *, CASE WHEN trend IS NULL THEN NULL WHEN score > 80 AND rsi > 70 THEN 'boom' WHEN score > 60 AND trend > 0 THEN 'rising' WHEN trend < 0 AND score < 60 THEN 'decline' WHEN score < 30 AND trend >= 0 THEN 'bottoming'
-   WHEN score BETWEEN 30 AND 60 AND trend > 0 AND flow_turn > 0 THEN 'recovery' END AS stage, ({avg_rank("rv", "session")}) / count(rv) OVER (PARTITION BY session) * 100 AS reversal FROM s2)"""
+s2 AS (SELECT *, score - lag(score, 5) OVER (PARTITION BY plate ORDER BY session) AS trend, CASE WHEN use_flow AND rsi IS NOT NULL THEN round(.4 * (100 - score) + .4 * zf + .2 * greatest(35 - rsi, 0), 9) END AS rv FROM s1),
+scores AS (SELECT *, CASE WHEN trend IS NULL OR score IS NULL THEN NULL WHEN score > 80 AND rsi > 70 THEN 'boom' WHEN score > 60 AND trend > 0 THEN 'rising' WHEN trend < 0 AND score < 60 THEN 'decline' WHEN score < 30 AND trend >= 0 THEN 'bottoming'
+   WHEN score BETWEEN 30 AND 60 AND trend > 0 AND flow_5 > 0 THEN 'recovery' END AS stage, ({avg_rank("rv", "session")}) / count(rv) OVER (PARTITION BY session) * 100 AS reversal FROM s2)"""
+
+
+SCORES = f"{FEAT}, {scores_sql(20)}"
 
 
 def returns(spark, sf) -> DataFrame:
@@ -42,18 +56,32 @@ def returns(spark, sf) -> DataFrame:
     return fo.daily_returns(b, a.adjustments(b)).join(b.select("symbol", "session", "amount"), ["symbol", "session"])
 
 
-def scored(spark, sf) -> DataFrame:
-    return op.scores(op.features(op.panel(returns(spark, sf), a.plates(spark, sf))))
+def panel(spark, sf) -> DataFrame:
+    return op.panel(returns(spark, sf), a.plates(spark, sf), LEAST, COVERAGE)
+
+
+def features(spark, sf) -> DataFrame:
+    return op.features(op.with_flows(panel(spark, sf), a.flows(spark, sf)))
+
+
+def scored(spark, sf, horizon: int = 20) -> DataFrame:
+    return op.scores(features(spark, sf), horizon, FLOW_SESSIONS)
 
 
-@query("a3_sector_panel", "plate session active", "mean_ret breadth amount", f"WITH {PANEL} SELECT * FROM panel")
+@query("a3_sector_panel", "plate session members active", "coverage mean_ret breadth amount", f"WITH {PANEL} SELECT * FROM panel")
 def a3(spark, sf):
-    return op.panel(returns(spark, sf), a.plates(spark, sf))
+    return panel(spark, sf)
 
 
 @query("w6_w11_sector_features", "plate session", "level mom_5 mom_10 mom_20 rs rsi flow_5 flow_turn amount_change", f"WITH {FEAT} SELECT * FROM feat")
 def w6(spark, sf):
-    return op.features(op.panel(returns(spark, sf), a.plates(spark, sf)))
+    return features(spark, sf)
+
+
+@query("f9_without_flows", "plate session stage", "score trend reversal", f"WITH {FEAT}, {scores_sql(20, "")} SELECT * FROM scores".replace("f.flow FROM panel", "CASE WHEN p.plate <> 'N03' THEN f.flow END AS flow FROM panel"))
+def f9_without(spark, sf):
+    some = a.flows(spark, sf).where("plate <> 'N03'")
+    return op.scores(op.features(op.with_flows(panel(spark, sf), some)), 20, FLOW_SESSIONS)
 
 
 @query("f9_f11_sector_scores", "plate session stage", "score trend reversal", f"WITH {SCORES} SELECT * FROM scores")
@@ -74,16 +102,19 @@ def p15(spark, sf):
     )
 
 
-@query(
-    "c3_rolling_validation", "origins samples", "win_rate expected_excess",
-    f"""WITH {SCORES}, v AS (SELECT *, lead(level, 5) OVER (PARTITION BY plate ORDER BY session) / level - 1 AS future FROM scores),
-    m AS (SELECT session, median(future) AS mid, count(*) AS n FROM v GROUP BY 1 HAVING count(future) = count(*)),
-    r AS (SELECT v.*, mid, n, row_number() OVER (PARTITION BY session ORDER BY score DESC, plate) AS rank FROM v JOIN m USING (session)),
-    t AS (SELECT * FROM r WHERE rank <= greatest(1, ceil(n * .2)) AND session IN (SELECT session FROM m ORDER BY session DESC LIMIT 60))
-    SELECT count(DISTINCT session) AS origins, count(*) AS samples, avg((future > mid)::INT::DOUBLE) AS win_rate, avg(future - mid) AS expected_excess FROM t""",
-)
+def c3_sql(h: int) -> str:
+    return f"""SELECT * FROM (WITH {FEAT}, {scores_sql(h)}, v AS (SELECT *, lead(level, {h}) OVER (PARTITION BY plate ORDER BY session) / level - 1 AS future FROM scores),
+    m AS (SELECT *, median(future) OVER (PARTITION BY session) AS mid FROM v), k AS (SELECT * FROM m WHERE score IS NOT NULL AND future IS NOT NULL),
+    r AS (SELECT *, count(*) OVER (PARTITION BY session) AS n, row_number() OVER (PARTITION BY session ORDER BY score DESC, plate) AS rank FROM k),
+    t AS (SELECT * FROM r WHERE rank <= greatest(1, ceil(n * .2)) AND session IN (SELECT DISTINCT session FROM k ORDER BY session DESC LIMIT {ORIGINS}))
+    SELECT {h} AS horizon, count(DISTINCT session) AS origins, count(*) AS samples, avg((future > mid)::INT::DOUBLE) AS win_rate, avg(future - mid) AS expected_excess FROM t)"""
+
+
+@query("c3_rolling_validation", "horizon origins samples", "win_rate expected_excess", " UNION ALL ".join(c3_sql(h) for h in (5, 10, 20)))
 def c3(spark, sf):
-    return op.validation(scored(spark, sf), 5)
+    f = staged(features(spark, sf), "sector-features")  # read once for each horizon
+    each = [op.validation(op.scores(f, h, FLOW_SESSIONS), h, ORIGINS).withColumn("horizon", F.lit(h)) for h in (5, 10, 20)]
+    return each[0].union(each[1]).union(each[2])
 
 
 QUOTES = f"{RET}, q AS (SELECT p.plate, r.symbol, r.session, r.ret AS change, r.amount FROM ret r JOIN plates p USING (symbol))"
@@ -130,7 +161,7 @@ def w26(spark, sf):
     SELECT plate, sum(amount) AS flow FROM f WHERE session IN (SELECT session FROM l) GROUP BY plate HAVING count(amount) = 5 AND count(DISTINCT session) = 5 AND count(DISTINCT source) = 1""",
 )
 def a5(spark, sf):
-    p = op.panel(returns(spark, sf), a.plates(spark, sf))
+    p = panel(spark, sf)
     source = F.when((F.col("plate") == "N03") & (F.month("session") == 6), "b").otherwise("a")
     return op.exact_days(p.select("plate", "session", F.col("amount").alias("flow"), source.alias("source")))
 
@@ -152,7 +183,7 @@ def a6(spark, sf):
     f"WITH {PANEL} SELECT symbol, avg(mean_ret) AS strength FROM plates JOIN panel USING (plate) GROUP BY symbol",
 )
 def j13(spark, sf):
-    p = op.panel(returns(spark, sf), a.plates(spark, sf))
+    p = panel(spark, sf)
     return a.plates(spark, sf).join(p, "plate").groupBy("symbol").agg(F.avg("mean_ret").alias("strength"))
 
 
@@ -162,6 +193,6 @@ def j13(spark, sf):
     SELECT g.* FROM g LEFT JOIN (SELECT * FROM panel WHERE month(session) <> 7) p USING (plate, session) WHERE p.plate IS NULL""",
 )
 def j23(spark, sf):
-    p = op.panel(returns(spark, sf), a.plates(spark, sf))
+    p = panel(spark, sf)
     grid = a.plates(spark, sf).select("plate").distinct().crossJoin(p.select("session").distinct())  # plates and sessions: two short lists
     return grid.join(p.where(F.month("session") != 7).select("plate", "session"), ["plate", "session"], "left_anti")

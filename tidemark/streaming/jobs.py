@@ -6,7 +6,6 @@ checkpoint in the shared folder and returns what it has written, so that a strea
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 import pandas as pd
@@ -15,11 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor
 from pyspark.sql.types import LongType, StringType, StructField, StructType
 
-
-def work_dir(spark: SparkSession) -> str:
-    """The shared folder for checkpoints (spark.checkpoint.dir); a temporary one where the setting is absent."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="tidemark-stream-")
-    return f"{base.rstrip('/')}/stream-{uuid.uuid4().hex}"
+from tidemark.functions.shared import shared_dir
 
 
 def read(spark: SparkSession, path: str, pattern: str) -> DataFrame:
@@ -76,32 +71,39 @@ def transitions(events: DataFrame) -> DataFrame:
 
 
 def drain(df: DataFrame, mode: str = "append", keys: list[str] | None = None) -> DataFrame:
-    """Run a stream over all that its source has now. With keys, batches go through an idempotent sink: in append mode rows
-    whose key is there already are not written again, so a replayed batch adds nothing; in update mode the newest batch's
-    row of a key stands for it."""
-    spark = df.sparkSession
-    base = work_dir(spark)
+    """Run a stream over all that its source has now and return what it has written."""
+    base = f"{shared_dir(df.sparkSession)}/stream-{uuid.uuid4().hex}"
+    run(df, base, mode, keys)
+    return written(df.sparkSession, df.schema, base, mode, keys)
+
+
+def run(df: DataFrame, base: str, mode: str = "append", keys: list[str] | None = None) -> None:
+    """Run a stream once, with its checkpoint and its output under base. With keys, the sink is idempotent: each batch
+    overwrites a folder of its own, so a replayed batch replaces itself, and costs no more however many came before."""
     out = f"{base}/out"
     writer = df.writeStream.option("checkpointLocation", f"{base}/checkpoint").trigger(availableNow=True)
     if keys:
 
         def sink(batch: DataFrame, epoch: int) -> None:
             rows = batch.dropDuplicates(keys)
-            if epoch and mode == "append":
-                seen = batch.sparkSession.read.schema(batch.schema).option("recursiveFileLookup", "true").parquet(out)
-                rows = rows.join(seen.select(*keys), keys, "left_anti")
             rows.withColumn("__epoch", F.lit(epoch).cast("long")).write.mode("overwrite").parquet(f"{out}/epoch={epoch}")
 
         query = writer.foreachBatch(sink).outputMode("append" if mode == "append" else "update").start()
     else:
         query = writer.outputMode(mode).format("parquet").option("path", out).start()
     query.awaitTermination()
-    schema = StructType([*df.schema.fields, StructField("__epoch", LongType())]) if keys else df.schema
-    got = spark.read.schema(schema).option("recursiveFileLookup", "true").parquet(out)
-    if keys and mode != "append":
-        newest = Window.partitionBy(*keys).orderBy(F.desc("__epoch"))
-        got = got.withColumn("__rank", F.row_number().over(newest)).where("__rank = 1")
-    return got.drop("__epoch", "__rank")
+
+
+def written(spark: SparkSession, schema: StructType, base: str, mode: str = "append", keys: list[str] | None = None) -> DataFrame:
+    """The rows that runs under base have written. With keys one row of each: that of the first batch that had it in append
+    mode, that of the last one in update mode."""
+    out = f"{base}/out"
+    if not keys:
+        return spark.read.schema(schema).option("recursiveFileLookup", "true").parquet(out)
+    got = spark.read.schema(StructType([*schema.fields, StructField("__epoch", LongType())])).option("recursiveFileLookup", "true").parquet(out)
+    order = F.col("__epoch") if mode == "append" else F.desc("__epoch")
+    one = got.withColumn("__rank", F.row_number().over(Window.partitionBy(*keys).orderBy(order))).where("__rank = 1")
+    return one.drop("__epoch", "__rank")
 
 
 def slot_clusters(slots: DataFrame, runs: DataFrame, tolerance: int) -> tuple[DataFrame, DataFrame]:
