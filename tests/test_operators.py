@@ -303,7 +303,7 @@ def test_style_guardrails_health(spark):
     ]
     g = market.guardrails(spark.createDataFrame(cases, schema))
     assert rows(g, "i", "approved", "reasons") == [
-        (0, True, ""), (1, True, ""), (2, False, "daily_loss"), (3, False, "confidence,future_data,mode,open_order,oversell"),
+        (0, True, ""), (1, True, ""), (2, False, "daily_loss"), (3, False, "confidence,future_data,mode,open_order,oversell,sector_exposure"),
         (4, False, "cash,live_disabled,sector_exposure,single_position,stale_data"),
         (5, False, "cash,confidence,daily_loss,future_data,mode,open_order,sector_exposure,single_position,stale_data"),
     ]
