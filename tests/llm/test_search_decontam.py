@@ -56,19 +56,36 @@ def test_search_equals_brute_force(spark, max_terms, shard, monkeypatch):
         assert [d for _, _, d in mine] == [d for _, d in v]
 
 
-def test_blocks_are_skipped():
+def test_skipped_blocks_are_not_touched():
     rng = np.random.default_rng(1)
-    sizes = np.full(20_000, 5)
-    terms = np.concatenate([rng.choice(2000, 5, replace=False) for _ in range(20_000)])
-    shard = bm25.Shard(np.arange(20_000), np.full(20_000, 5), terms, rng.geometric(0.3, len(terms)).astype(np.int32), sizes, 5.0)
-    slots, idf = np.arange(3), np.array([6.0, 0.5, 0.1])
-    rows, scores = shard.top(slots, idf, 10)
-    every = Counter()
-    for t, w in zip(slots, idf):
-        for p in range(shard.start[t], shard.end[t]):
-            every[int(shard.docs[p])] += w * shard.impact[p]
-    assert np.allclose(scores, sorted((round(v, 6) for v in every.values()), reverse=True)[:10])
-    assert shard.scored < len(every)
+    n = 20_000
+    terms, tfs, sizes = [], [], []
+    for d in range(n):  # term 0 in all documents, terms 1 and 2 in long runs of them, the others rare
+        own = [0, *([1] if d // 500 % 4 == 0 else []), *([2] if d // 500 % 3 == 0 else []), *(3 + rng.choice(2000, 3, replace=False))]
+        terms += own
+        tfs += list(rng.geometric(0.3 if d % 700 else 0.02, len(own)))
+        sizes.append(len(own))
+    shard = bm25.Shard(np.arange(n), np.full(n, 5), np.array(terms), np.array(tfs, np.int32), np.array(sizes), 5.0)
+    assert len(shard.most) == 3
+    queries = [(np.array([0, 1, 2, 40]), np.array([0.05, 1.4, 1.1, 6.0])), (np.array([1, 90, 91]), np.array([1.4, 6.0, 6.0])), (np.array([0]), np.array([0.05]))]
+    found = shard.search(queries, 10, [-np.inf] * 3, [0] * 3)
+    owner, position = np.repeat(np.arange(n), sizes), {t: i for i, t in enumerate(shard.terms)}
+    impact = np.array(tfs) * (bm25.K1 + 1) / (np.array(tfs) + bm25.K1 * (1 - bm25.B + bm25.B * 5 / 5.0))
+    for (slots, idf), (rows, scores) in zip(queries, found):
+        sums = np.zeros(n)
+        for s, w in zip(slots, idf):
+            at = np.flatnonzero(np.array(terms) == shard.terms[s])
+            sums[owner[at]] += w * impact[at]
+        want = sorted(((-round(v, 6), d) for d, v in enumerate(sums) if v > 0))[:10]
+        assert [d for _, d in want] == shard.doc_ids[rows].tolist() and np.allclose(scores, [-v for v, _ in want], atol=2e-6)
+    assert position[0] == 0 and shard.read < 0.8 * shard.blocks and shard.entered < 0.5 * 3 * shard.blocks and shard.scored < 200
+    # the long lists of the other blocks could hold anything
+    shard.dense[~shard.seen] = np.nan
+    again = shard.search(queries, 10, [-np.inf] * 3, [0] * 3)
+    assert all(np.array_equal(a, b) for x, y in zip(found, again) for a, b in zip(x, y))
+    # a bound that is met by nothing: no block at all
+    before = shard.read
+    assert len(shard.search(queries[:1], 10, [1e9], [0])[0][0]) == 0 and shard.read == before
 
 
 def test_query_takes_all_terms(spark, tmp_path):
