@@ -1,3 +1,4 @@
+import itertools
 import math
 import random
 import re
@@ -105,7 +106,7 @@ def leaks(spark):
     rng = random.Random(9)
     words = ["t%d" % i for i in range(700)] + ["Straße", "Été"]
     pick = lambda n: [rng.choice(words) for _ in range(n)]
-    items = [(i, pick(n)) for i, n in enumerate([14, 20, 40, 60, 9, 12, 8, 0])] + [(None, pick(30))]
+    items = [(i, pick(n)) for i, n in enumerate([14, 20, 40, 60, 9, 12, 8, 0, 10, 5])] + [(None, pick(30))]
     docs = []
     for i in range(120):
         t = pick(rng.choice([0, 5, 60, 300]))
@@ -122,25 +123,26 @@ def leaks(spark):
 
 
 def brute_leaks(docs, items):
+    """The overlap rule on every diagonal of every pair, without seeds."""
     out = []
     for d, t, *_ in docs:
         a = re.findall(r"[^\W_]+", (t or "").lower())
         for item, s in items:
             b = re.findall(r"[^\W_]+", (s or "").lower())
             best = None
-            for diag in range(-len(b), len(a) + 1) if len(b) >= decontam.WIDTH and len(a) >= decontam.WIDTH else ():
+            for diag in range(-len(b), len(a) + 1) if b else ():
                 lo, hi = max(0, -diag), min(len(b), len(a) - diag)
                 same = [a[i + diag] == b[i] for i in range(lo, hi)]
                 span = min(decontam.SPAN, len(b))
-                seeded = any(all(same[p + i] for i in m) for m in decontam.MASKS for p in range(len(same) - decontam.WIDTH + 1))
-                if seeded and len(same) >= span and max(sum(same[i : i + span]) for i in range(len(same) - span + 1)) >= math.ceil(span * decontam.SHARE):
+                need = math.ceil(span * decontam.SHARE) if len(b) >= decontam.WIDTH else span
+                if len(same) >= span and max(sum(same[i : i + span]) for i in range(len(same) - span + 1)) >= need:
                     best = max(best or (0, 0), (sum(same), -(lo + diag)))
             if best:
                 out.append((str(d), str(item), best[0], -best[1]))
     return sorted(out)
 
 
-@pytest.mark.parametrize("bound", [10**6, 0])
+@pytest.mark.parametrize("bound", [10**6, 250])
 def test_leaks_equal_brute_force(spark, bound, monkeypatch):
     monkeypatch.setattr(decontam, "BROADCAST_SEEDS", bound)
     monkeypatch.setattr(decontam, "BROADCAST_HITS", bound)
@@ -155,13 +157,19 @@ def test_leaks_equal_brute_force(spark, bound, monkeypatch):
     assert sorted((str(r[0]), r[1] or "") for r in kept.collect()) == sorted((str(r[0]), r[1] or "") for r in rows if (str(r[0]), r[1]) not in bad)
 
 
-def test_a_substitution_in_every_window_is_tolerated(spark):
-    item = ["q%d" % i for i in range(30)]
-    for at in range(30):
-        doc = list(item)
-        doc[at] = "other"
-        got = decontam.MASKS
-        assert any(all(doc[p + i] == item[p + i] for i in m) for m in got for p in range(30 - decontam.WIDTH + 1))
+def test_masks_lose_nothing_that_the_rule_accepts():
+    """Every pattern of substitutions that the rule accepts leaves some window and mask whole, at every item length."""
+    for n in range(1, decontam.SPAN + 1):
+        errors = n - math.ceil(n * decontam.SHARE) if n >= decontam.WIDTH else 0
+        for e in range(errors + 1):
+            for lost in itertools.combinations(range(n), e):
+                assert any(all(p + i not in lost for i in mask) for _, width, mask in decontam.masks_of(n) for p in range(n - width + 1)), (n, lost)
+
+
+def test_clashing_columns_are_kept(spark):
+    docs = spark.createDataFrame([(1, "a b c d e f g h i j", "mine"), (2, "x", "yours")], "doc_id long, text string, __key string")
+    bench = spark.createDataFrame([(7, "a b c d e f g h i j")], "item_id long, text string")
+    assert [tuple(r) for r in decontam.remove(docs, bench).collect()] == [(2, "x", "yours")]
 
 
 def test_no_documents_or_items(spark):
