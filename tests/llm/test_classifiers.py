@@ -82,3 +82,65 @@ def test_ngram_buckets_do_not_depend_on_chunks(monkeypatch):
     whole = toxicity.buckets(text)
     monkeypatch.setattr(toxicity, "CHUNK", 37)
     assert (toxicity.buckets(text) == whole).all() and len(toxicity.buckets(None)) == 0
+
+
+def test_regression_equals_a_dense_one():
+    rng = np.random.default_rng(3)
+    size, n = 40, 90
+    x = rng.random((n, size)) < 0.2
+    y = (x[:, 3] | x[:, 7]).astype(float)
+    r = np.where(rng.random(size) < 0.7, rng.normal(size=size), 0.0)
+    got = toxicity.regress([np.flatnonzero(row & (r != 0)) for row in x], y, r)
+    # the same steps on the whole matrix, one weight at a time
+    w, seen, bias, bias_seen = [0.0] * size, [1e-6] * size, 0.0, 1e-6
+    order = np.random.default_rng(11)
+    for _ in range(toxicity.EPOCHS):
+        for rows in np.array_split(order.permutation(n), max(1, n // toxicity.BATCH)):
+            err = {}
+            for i in rows:
+                z = bias + sum(w[j] * r[j] for j in range(size) if x[i, j])
+                share = 0.5 / (y.sum() if y[i] else n - y.sum()) * n
+                err[i] = (1 / (1 + np.exp(-z)) - y[i]) * share / len(rows)
+            for j in range(size):
+                if r[j] and any(x[i, j] for i in rows):
+                    g = sum(err[i] * r[j] for i in rows if x[i, j]) + toxicity.L2 * w[j]
+                    seen[j] += g * g
+                    w[j] -= toxicity.STEP * g / np.sqrt(seen[j])
+            total = sum(err.values())
+            bias_seen += total**2
+            bias -= toxicity.STEP * total / np.sqrt(bias_seen)
+    assert np.allclose(got.weight, np.array(w) * r, atol=1e-6) and np.isclose(got.bias, bias)
+
+
+def test_counts_in_tasks_equal_brute_force(spark, monkeypatch):
+    rows, labels = corpus(150)
+    docs, known = spark.createDataFrame(rows + rows[:5], DOCS).repartition(4), spark.createDataFrame(labels, LABELS)
+    seen = {}
+    monkeypatch.setattr(toxicity, "log_ratios", lambda counts, n: seen.update(counts=counts, n=n) or np.where(counts.sum(0) > 0, 1.0, 0.0))
+    toxicity.train(docs, known)
+    want = np.zeros((2, 1 << toxicity.BITS))
+    n = [0, 0]
+    for r, (_, _, t, _) in zip(rows, labels):
+        if zlib.crc32(str(r[0]).encode()) % 5:
+            n[t] += 1
+            want[t][toxicity.buckets(r[1])] += 1
+    want[:, want.sum(0) < toxicity.MIN_DOCS] = 0
+    assert seen["n"].tolist() == n and np.array_equal(seen["counts"], want)
+
+
+def test_first_split_equals_a_slow_search():
+    rng = np.random.default_rng(5)
+    x = rng.integers(0, 9, (120, 4)).astype(float)
+    y = ((x[:, 2] > 4) ^ (rng.random(120) < 0.1)).astype(float)
+    forest = quality.fit(x, y)
+    p = y.mean()
+    g, h = p - y, np.full(120, p * (1 - p))
+    best = (0.0, None)
+    for j in range(4):
+        for cut in np.unique(np.quantile(x[:, j], np.linspace(0, 1, quality.BINS + 1)[1:-1])):
+            left = x[:, j] <= cut
+            if min(left.sum(), (~left).sum()) >= quality.MIN_ROWS:
+                gain = sum(g[s].sum() ** 2 / (h[s].sum() + quality.L2) for s in (left, ~left)) - g.sum() ** 2 / (h.sum() + quality.L2)
+                if gain > best[0] + 1e-9:
+                    best = (gain, (j, cut))
+    assert (int(forest.feature[0][0]), float(forest.threshold[0][0])) == best[1]

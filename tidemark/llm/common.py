@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tidemark.functions.shared import shared_dir  # noqa: F401
@@ -35,11 +35,29 @@ def hashed_sample(df: DataFrame, key: str, rows: int, seed: int) -> DataFrame:
     return df.where(F.pmod(F.xxhash64(F.col(key), F.lit(seed)), F.lit(1 << 31)) < limit)
 
 
+#: Bounds of a sample to fit on, besides its rows: code points of all its texts, and of one of them. A longer text is not
+#: learned from (it is scored like any other).
+TRAIN_CHARS, TRAIN_TEXT = 48_000_000, 1_000_000
+
+
+def fit_sample(docs: DataFrame, picked: DataFrame, columns: list[str], seed: int = 7, chars: int = TRAIN_CHARS, longest: int = TRAIN_TEXT) -> DataFrame:
+    """(doc_id, text, columns) of the picked ids, a table in the shared folder: one row an id (that with the smallest text),
+    and, in the order of a hash, as many as have `chars` code points together. picked is (doc_id, ...), one row an id."""
+    # at most about as many ids as the sample has rows: a proven bound, so the documents are not shuffled
+    known = docs.where(F.col("text").isNotNull() & (F.length("text") <= longest)).select("doc_id", "text", *(c for c in columns if c not in picked.columns))
+    rest = F.struct("text", *columns)
+    one = known.join(F.broadcast(picked), "doc_id").groupBy("doc_id").agg(F.min(rest).alias("r")).select("doc_id", "r.*")
+    one = stage_table(one, "sample")
+    order = Window.orderBy(F.xxhash64("doc_id", F.lit(seed)), "doc_id")  # the ids of the sample
+    fits = one.select("doc_id", F.sum(F.length("text")).over(order).alias("sum")).where(F.col("sum") <= chars).select("doc_id")
+    return one.join(F.broadcast(fits), "doc_id", "left_semi")
+
+
 def labelled(docs: DataFrame, labels: DataFrame, label: str, parts: int, out: int, rows: int, seed: int = 7) -> DataFrame:
     """(doc_id, text, y) for fitting: a bounded sample of the labelled rows outside the held-out fold.
 
     ``rows`` bounds the sample whatever the size of the tables; null labels, null ids and null texts are left out,
-    and a doc_id with contradicting labels takes the larger one.
+    a doc_id with contradicting labels takes the larger one, and one with several texts the smallest.
     """
     known = (
         labels.select("doc_id", F.col(label).cast("int").alias("y"))
@@ -47,11 +65,4 @@ def labelled(docs: DataFrame, labels: DataFrame, label: str, parts: int, out: in
         .groupBy("doc_id")
         .agg(F.max("y").alias("y"))
     )
-    picked = hashed_sample(known, "doc_id", rows, seed)
-    # at most about `rows` pairs of 12 bytes: a proven bound, so the documents are not shuffled
-    return docs.select("doc_id", "text").where(F.col("text").isNotNull()).join(F.broadcast(picked), "doc_id").select("doc_id", "text", "y")
-
-
-def labelled_texts(*args, **kwargs) -> list[tuple[str, int]]:
-    """(text, y) pairs of ``labelled``, in the order of doc_id and text."""
-    return [(r["text"], r["y"]) for r in labelled(*args, **kwargs).orderBy("doc_id", "text").collect()]
+    return fit_sample(docs, hashed_sample(known, "doc_id", rows, seed), ["y"], seed).select("doc_id", "text", "y")

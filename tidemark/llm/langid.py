@@ -17,6 +17,7 @@ has held_out false); rows with a null lang are scored, not learned; an empty tab
 from __future__ import annotations
 
 import re
+from collections import Counter
 from dataclasses import dataclass
 
 import numpy as np
@@ -24,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import fold, hashed_sample
+from .common import fit_sample, fold, hashed_sample
 
 #: Bound on the rows whose words are learned from.
 TRAIN_ROWS = 3_000
@@ -156,7 +157,7 @@ class Model:
 
     def predict(self, texts: list[str | None]) -> tuple[list[str], np.ndarray]:
         seen: dict[str, int] = {}
-        docs = [np.array([seen.setdefault(w, len(seen)) for w in LETTERS.findall((t or "").lower())], np.int64) for t in texts]
+        docs = [np.array([seen.setdefault(w, len(seen)) for w in words_of(t)], np.int64) for t in texts]
         names, scores = ["und"] * len(texts), np.zeros(len(texts))
         if self.langs and seen:
             by_word = self.word_scores(list(seen))
@@ -168,18 +169,18 @@ class Model:
         return names, scores
 
 
-def fit(rows: list[tuple[str, str]], pieces: list[str]) -> Model:
-    """rows: (text, language). Expected piece counts start from all occurrences and are refined over all segmentations."""
-    langs = sorted({lang for _, lang in rows})
+def fit(found: list[tuple[str, str, int]], pieces: list[str]) -> Model:
+    """found: (language, word, times). Expected piece counts start from all occurrences and are refined over all
+    segmentations."""
+    langs = sorted({lang for lang, _, _ in found})
+    at = {lang: k for k, lang in enumerate(langs)}
     counts: dict[str, np.ndarray] = {}
-    for text, lang in rows:
-        k = langs.index(lang)
-        for w in LETTERS.findall(text.lower()):
-            if w not in counts:
-                counts[w] = np.zeros(len(langs))
-            counts[w][k] += 1
+    for lang, w, n in found:
+        if w not in counts:
+            counts[w] = np.zeros(len(langs))
+        counts[w][at[lang]] += n
     model = Model(langs, pieces, np.ones((len(pieces) + 2, max(1, len(langs)))) / max(1, len(pieces)))
-    words = sorted(w for w in counts if len(w) <= 40)  # a longer run of letters teaches nothing about its language
+    words = sorted(counts)
     if not langs or not words:
         return Model([], pieces, model.p)
     for turn in range(ROUNDS + 1):
@@ -210,12 +211,27 @@ def fit(rows: list[tuple[str, str]], pieces: list[str]) -> Model:
     return model
 
 
+def words_of(text: str | None) -> list[str]:
+    return LETTERS.findall((text or "").lower())
+
+
 def train(docs: DataFrame, rows: int = TRAIN_ROWS, vocab: str | None = None) -> Model:
-    known = docs.select("doc_id", "lang").where(F.col("doc_id").isNotNull() & F.col("lang").isNotNull() & (fold("doc_id", HELD_OUT[0]) != HELD_OUT[1]))
-    picked = hashed_sample(known, "doc_id", rows, 13).select("doc_id").distinct()
-    got = docs.select("doc_id", "text", "lang").where("text is not null and lang is not null").join(F.broadcast(picked), "doc_id")
-    pairs = [(r["text"], r["lang"]) for r in got.orderBy("doc_id", "text", "lang").collect()]
-    return fit(pairs, vocabulary(vocab))
+    """The model of a bounded sample: tasks count words, the driver gets (language, word, times)."""
+    known = docs.select("doc_id").where(F.col("doc_id").isNotNull() & F.col("lang").isNotNull() & (fold("doc_id", HELD_OUT[0]) != HELD_OUT[1]))
+    picked = hashed_sample(known.distinct(), "doc_id", rows, 13)
+    sample = fit_sample(docs.where("lang is not null"), picked, ["lang"], 13)
+
+    def run(batches):
+        counts: Counter = Counter()
+        for b in batches:
+            for t, lang in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+                counts.update((lang, w) for w in words_of(t))
+        langs, words = zip(*counts) if counts else ((), ())
+        yield pa.record_batch([pa.array(langs, pa.string()), pa.array(words, pa.string()), pa.array(counts.values(), pa.int64())], names=["lang", "word", "n"])
+
+    found = sample.select("text", "lang").mapInArrow(run, "lang string, word string, n long").groupBy("lang", "word").agg(F.sum("n").alias("n"))
+    got = found.toArrow()
+    return fit(list(zip(*(got[c].to_pylist() for c in ("lang", "word", "n")))), vocabulary(vocab))
 
 
 def identify(docs: DataFrame, rows: int = TRAIN_ROWS, vocab: str | None = None) -> DataFrame:

@@ -8,7 +8,9 @@ entities are bounded by MAX_TOKENS, so it is linear in the zone. Spans that it f
 added.
 
 Weights are fitted by stochastic gradient steps on the conditional likelihood (a forward and a backward pass over the
-same segments), on the zones of a bounded sample of texts with the base spans as the labels.
+same segments), on the zones of a bounded sample of texts. The base spans in them are labels, and so are forms that the
+patterns can't match: each such zone is learned from once more with its spans rewritten (`@` set apart or spelled out,
+dots set apart, other separators, no plus sign), so that the field finds what the patterns miss.
 
 Defined results: a null text counts as empty and has no spans; offsets are code points, ends exclusive; repeated rows and
 null ids are kept; base spans of different kinds may overlap; an empty table gives an empty result; columns besides
@@ -26,11 +28,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import hashed_sample
+from .common import fit_sample, hashed_sample
 
 KINDS = ("email", "ip", "card", "phone")
-#: Bounds: texts whose zones are learned from, zones learned from, tokens of an entity.
-TRAIN_ROWS, TRAIN_ZONES, MAX_TOKENS = 4_000, 1_500, 12
+#: Bounds: texts whose zones are learned from, zones learned from (the first in the order of a hash) and their longest, tokens
+#: of an entity.
+TRAIN_ROWS, TRAIN_ZONES, TRAIN_ZONE, MAX_TOKENS = 4_000, 1_500, 2_000, 12
 EPOCHS, STEP, L2 = 4, 0.3, 1e-4
 
 # fixed values: the contract's base patterns
@@ -38,8 +41,9 @@ EMAIL = re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")
 IP = re.compile(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)")
 CARD = re.compile(r"[0-9]([\x20-]?[0-9])+")
 PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
-TRIGGER = re.compile(r"[0-9@]")
+TRIGGER = re.compile(r"[0-9@]|\((?:at|AT)\)|\[(?:at|AT)\]")
 BLANK = re.compile(r"\s")
+AT = re.compile(r"@|\((?:at|AT)\)|\[(?:at|AT)\]")
 TOKEN = re.compile(r"[A-Za-z0-9]+|\s|[^\sA-Za-z0-9]")
 
 
@@ -75,7 +79,8 @@ def base_spans(text: str) -> list[list[tuple[int, int]]]:
 
 
 def zones(text: str):
-    """(start, end) of the stretches around digits and @ signs: whole words, and the next ones while they have any."""
+    """(start, end) of the stretches around digits and @ signs, spelled out or not: whole words, and the next ones while
+    they have any; a word before or behind a sign that stands alone belongs to it."""
     at, n = 0, len(text)
     while m := TRIGGER.search(text, at):
         start = m.start()
@@ -85,11 +90,17 @@ def zones(text: str):
             start -= 2  # a lone sign before the first word
         b = BLANK.search(text, m.start())
         end = b.start() if b else n
+        if AT.fullmatch(text, start, end) and start - 1 > at and text[start - 1] == " ":
+            start -= 1
+            while start > at and not text[start - 1].isspace():
+                start -= 1
+        alone = bool(AT.fullmatch(text, m.start(), end))
         while end < n and text[end] == " ":
             b = BLANK.search(text, end + 1)
             stop = b.start() if b else n
-            if not TRIGGER.search(text, end + 1, stop):
+            if not alone and not TRIGGER.search(text, end + 1, stop):
                 break
+            alone = bool(AT.fullmatch(text, end + 1, stop))
             end = stop
         yield start, end
         at = end
@@ -105,15 +116,15 @@ def features(zone: str, start: int, end: int) -> tuple[str, ...]:
     d = digits_of(s)
     kinds = "".join(sorted({"9" if c.isdigit() else "a" if c.isalnum() else c for c in s}))
     sides = "".join("^" if not c else "_" if c.isspace() else "9" if c.isdigit() else "a" if c.isalnum() else c for c in (zone[start - 1 : start], zone[end : end + 1]))
-    parts = s.split(".")
+    parts = [p.strip() for p in s.split(".")]
     checks = (
         f"{'l' if 16 <= len(d) <= 19 and luhn(d) else ''}{'o' if len(parts) == 4 and all(p.isdigit() and octet(p) for p in parts) else ''}"
-        f"{'+' if s[0] == '+' else ''}{'@' if s.count('@') == 1 else ''}"
+        f"{'+' if s[0] == '+' else ''}{'@' if len(AT.findall(s)) == 1 else ''}"
     )
     tail = s.rpartition(".")[2]
     return (
         "bias", f"n{_bucket(len(d))}", f"k{kinds}", f"s{sides}", f"c{checks}", f"c{checks}n{_bucket(len(d))}", f"c{checks}k{kinds}", f"c{checks}s{sides}",
-        f"len{_bucket(len(s), (1, 4, 8, 12, 16, 20, 30))}", f"tld{'@' in s and tail.isalpha() and 2 <= len(tail) <= 6}{'.' in s}", f"first{'9' if s[0].isdigit() else s[0] if not s[0].isalnum() else 'a'}",
+        f"len{_bucket(len(s), (1, 4, 8, 12, 16, 20, 30))}", f"tld{bool(AT.search(s)) and tail.isalpha() and 2 <= len(tail) <= 6}{'.' in s}", f"first{'9' if s[0].isdigit() else s[0] if not s[0].isalnum() else 'a'}",
     )
 
 
@@ -190,22 +201,57 @@ class Field:
         return fwd[n], [(s, [float(np.exp(min(0.0, fwd[s[0]] + x + bwd[s[1]] - fwd[n]))) for x in v]) for s, v in zip(segs, sc)]
 
 
-def fit(texts: list[str], limit: int = TRAIN_ZONES) -> Field:
-    """The field for the zones of these texts (the first limit zones), labelled by the base spans in them."""
-    data = []
-    for text in texts:
-        gold = [(a, b, k) for k, spans in enumerate(base_spans(text)) for a, b in spans]
-        for start, end in zones(text):
-            if end - start <= 400:
-                data.append((text[start:end], {(a - start, b - start): k for a, b, k in gold if start <= a and b <= end}))
-        if len(data) >= limit:
-            break
+def rewritten(kind: int, span: str, way: int) -> str:
+    """The same entity in a form that its base pattern doesn't match."""
+    if kind == 0:
+        return span.replace("@", (" @ ", "(at)", " [at] ", "[AT]")[way % 4])
+    if kind == 1:
+        return span.replace(".", (" . ", ". ")[way % 2]) if len(span) < 12 else span.replace(".", ". ")
+    if kind == 2:
+        digits = digits_of(span)
+        return (".", "/")[way % 2].join(digits[i : i + 4] for i in range(0, len(digits), 4))
+    return ("00", "", "(0)")[way % 3] + span[1:]
+
+
+def zone_labels(text: str) -> list[tuple[str, list[tuple[int, int, int]]]]:
+    """(zone, [(kind, start, end)]) of the zones of a text, labelled by the base spans in them, overlapping ones by the first."""
+    gold = sorted((a, b, k) for k, spans in enumerate(base_spans(text)) for a, b in spans)
+    out, i = [], 0
+    for start, end in zones(text):
+        while i < len(gold) and gold[i][0] < start:
+            i += 1
+        own, j, last = [], i, start
+        while j < len(gold) and gold[j][0] < end:
+            a, b, k = gold[j]
+            if a >= last and b <= end:
+                own.append((k, a - start, b - start))
+                last = b
+            j += 1
+        out.append((text[start:end], own))
+    return out
+
+
+def variant(zone: str, gold: list[tuple[int, int, int]], way: int) -> tuple[str, list[tuple[int, int, int]]]:
+    """The zone with its spans rewritten, and where they are then."""
+    out, labels, at = "", [], 0
+    for k, a, b in gold:
+        out += zone[at:a]
+        new = rewritten(k, zone[a:b], way)
+        labels.append((k, len(out), len(out) + len(new)))
+        out, at = out + new, b
+    return out + zone[at:], labels
+
+
+def fit(data: list[tuple[str, list[tuple[int, int, int]]]]) -> Field:
+    """The field of labelled zones, and of the rewritten forms of those that have an entity."""
+    data = data + [variant(z, g, i + j) for i, (z, g) in enumerate(data) if g for j in range(2)]
     model = Field()
     order = np.random.default_rng(17)
     for epoch in range(EPOCHS):
         step = STEP / (1 + epoch)
         for x in order.permutation(len(data)):
-            zone, gold = data[x]
+            zone, labels = data[x]
+            gold = {(a, b): k for k, a, b in labels}
             for (_, _, start, end, feats), p in model.log_z(zone)[1]:
                 right = gold.get((start, end))
                 for k in range(len(KINDS)):
@@ -218,9 +264,20 @@ def fit(texts: list[str], limit: int = TRAIN_ZONES) -> Field:
 
 
 def train(docs: DataFrame, rows: int = TRAIN_ROWS) -> Field:
-    picked = hashed_sample(docs.select("doc_id").where("doc_id is not null"), "doc_id", rows, 29).distinct()
-    got = docs.select("doc_id", "text").where(F.col("text").rlike("[0-9@]")).join(F.broadcast(picked), "doc_id")
-    return fit([r["text"] for r in got.orderBy("doc_id", "text").collect()])
+    """The field of a bounded sample: tasks cut the zones and label them; the driver gets TRAIN_ZONES of them."""
+    picked = hashed_sample(docs.select("doc_id").where("doc_id is not null").distinct(), "doc_id", rows, 29)
+    sample = fit_sample(docs.where(F.col("text").rlike(TRIGGER.pattern)), picked, [], 29)
+
+    def run(batches):
+        for b in batches:
+            every = [x for t in b.column(0).to_pylist() for x in zone_labels(t) if len(x[0]) <= TRAIN_ZONE]
+            flat = [[v for span in g for v in span] for _, g in every]
+            order = [hashlib.md5(z.encode("utf-8", "replace")).hexdigest() for z, _ in every]
+            yield pa.record_batch([pa.array(order, pa.string()), pa.array([z for z, _ in every], pa.string()), pa.array(flat, pa.list_(pa.int32()))], names=["h", "zone", "gold"])
+
+    zoned = sample.select("text").mapInArrow(run, "h string, zone string, gold array<int>").dropDuplicates(["h"])
+    got = zoned.orderBy("h").limit(TRAIN_ZONES).collect()
+    return fit([(r["zone"], [tuple(r["gold"][i : i + 3]) for i in range(0, len(r["gold"]), 3)]) for r in got])
 
 
 def spans_of(text: str, model: Field) -> tuple[list[list[tuple[int, int]]], list[tuple[int, int, int]]]:

@@ -5,7 +5,7 @@ the value r_j, the log ratio of its smoothed document rates among toxic and othe
 over those values gives the weights, and weight times ratio is folded into one array for scoring.
 
 Defined results: a null text counts as the empty text and gets the score of the intercept; repeated rows give repeated
-rows; a null doc_id is scored with held_out false; without labels of both classes every score is that class's rate (0.5
+rows, and an id is learned from once; a null doc_id is scored with held_out false; without labels of both classes every score is that class's rate (0.5
 without any); columns besides doc_id and text are ignored.
 """
 
@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import fold, labelled_texts
+from .common import fold, labelled
 
 #: Bound on the labelled rows that fit the classifier.
 TRAIN_ROWS = 8_000
@@ -58,21 +58,17 @@ class Model:
         return 1 / (1 + np.exp(-np.clip(z, -30, 30)))
 
 
-def fit(texts: list[str], y: np.ndarray) -> Model:
-    """Log-count ratios from document rates, then logistic regression by Adagrad, classes weighted equally."""
-    size = 1 << BITS
-    rate = float(y.mean()) if len(y) else 0.5
-    if len(y) == 0 or rate in (0.0, 1.0):
-        return Model(np.zeros(size, np.float32), float(np.log(max(rate, 1e-6) / max(1 - rate, 1e-6))))
-    counts, docs = np.zeros((2, size)), []
-    for t, k in zip(texts, y):
-        docs.append(buckets(t).astype(np.int32))
-        counts[int(k)][docs[-1]] += 1
-    n = np.array([(y == 0).sum(), (y == 1).sum()], float)
+def log_ratios(counts: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """r of each bucket from (2, buckets) document counts and the number of documents by class; 0 for buckets left out."""
     r = np.log((counts[1] + SMOOTH) / (n[1] + 2 * SMOOTH)) - np.log((counts[0] + SMOOTH) / (n[0] + 2 * SMOOTH))
     r[(counts.sum(0) < MIN_DOCS) | (np.abs(r) < MIN_RATIO)] = 0
-    docs = [d[r[d] != 0] for d in docs]
-    w, seen, bias, bias_seen = np.zeros(size), np.full(size, 1e-6), 0.0, 1e-6
+    return r
+
+
+def regress(docs: list[np.ndarray], y: np.ndarray, r: np.ndarray) -> Model:
+    """Logistic regression over the values r of each document's buckets, by Adagrad, classes weighted equally."""
+    n = np.array([(y == 0).sum(), (y == 1).sum()], float)
+    w, seen, bias, bias_seen = np.zeros(len(r)), np.full(len(r), 1e-6), 0.0, 1e-6
     weight, order = np.where(y == 1, 0.5 / n[1], 0.5 / n[0]) * len(y), np.random.default_rng(11)
     for _ in range(EPOCHS):
         for rows in np.array_split(order.permutation(len(y)), max(1, len(y) // BATCH)):
@@ -90,9 +86,47 @@ def fit(texts: list[str], y: np.ndarray) -> Model:
     return Model((w * r).astype(np.float32), float(bias))
 
 
+def constant(y: np.ndarray) -> Model:
+    """Every score is the rate of the labels (0.5 without any)."""
+    rate = float(y.mean()) if len(y) else 0.5
+    return Model(np.zeros(1 << BITS, np.float32), float(np.log(max(rate, 1e-6) / max(1 - rate, 1e-6))))
+
+
 def train(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) -> Model:
-    pairs = labelled_texts(docs, labels, "toxic", *HELD_OUT, rows)
-    return fit([t for t, _ in pairs], np.array([float(y > 0) for _, y in pairs]))
+    """The model of a bounded sample. Tasks count the documents of each bucket and class; the driver gets the counts of the
+    buckets that are kept, 2 ** BITS at most, and then, of each document, the kept buckets alone."""
+    sample = labelled(docs, labels, "toxic", *HELD_OUT, rows)
+    size = 1 << BITS
+
+    def count(batches):
+        counts = np.zeros((2, size), np.int32)
+        for b in batches:
+            for t, y in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+                counts[int(y > 0)][buckets(t)] += 1
+        at = np.flatnonzero(counts.any(0))
+        yield pa.record_batch([pa.array(at.astype(np.int32)), pa.array(counts[0][at]), pa.array(counts[1][at])], names=["bucket", "c0", "c1"])
+
+    per_class = {r["toxic"]: r["n"] for r in sample.groupBy((F.col("y") > 0).alias("toxic")).agg(F.count("*").alias("n")).collect()}
+    n = np.array([per_class.get(False, 0), per_class.get(True, 0)], float)
+    if not n.all():
+        return constant(np.repeat([0.0, 1.0], n.astype(int)))
+    found = sample.select("text", "y").mapInArrow(count, "bucket int, c0 int, c1 int").groupBy("bucket").agg(F.sum("c0").alias("c0"), F.sum("c1").alias("c1"))
+    got = found.where(F.col("c0") + F.col("c1") >= MIN_DOCS).toArrow()
+    counts = np.zeros((2, size))
+    for k, name in enumerate(("c0", "c1")):
+        counts[k][got["bucket"].to_numpy()] = got[name].to_numpy()
+    r = log_ratios(counts, n)
+    wanted = docs.sparkSession.sparkContext.broadcast(np.packbits(r != 0))
+
+    def kept(batches):
+        mask = np.unpackbits(wanted.value).astype(bool)
+        for b in batches:
+            own = [buckets(t, mask).astype(np.int32) for t in b.column(1).to_pylist()]
+            yield pa.record_batch([b.column(0), b.column(2), pa.array(own, pa.list_(pa.int32()))], names=["doc_id", "y", "own"])
+
+    kind = sample.schema["doc_id"].dataType.simpleString()
+    table = sample.mapInArrow(kept, f"doc_id {kind}, y int, own array<int>").toArrow().sort_by("doc_id")
+    return regress([np.asarray(x, np.int64) for x in table["own"].to_pylist()], (table["y"].to_numpy() > 0).astype(float), r)
 
 
 def classify(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) -> DataFrame:
