@@ -4,7 +4,8 @@ import re
 from collections import Counter
 
 import pytest
-from tidemark.llm import mixing, secret_scan
+from pyspark.sql import functions as F
+from tidemark.llm import common, mixing, secret_scan, simhash
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long, copy int, mean double"
 
@@ -129,3 +130,32 @@ def test_links_over_many_parts(spark):
     ends = [w for w in spans(secret_scan.ENDPOINT) if any(meets(w, s, 300) for s in access + assign)]
     assert [tuple(x) for x in found["__key"]] == keys and [tuple(x) for x in found["__endpoint"]] == ends
     assert 128 < len(ends) < 400 and 20 < len(keys) < 400
+
+
+def test_clashing_columns_are_kept(spark):
+    schema = "doc_id long, text string, source string, copy string, __source string, __text string, __n int, __assign int, `__mean` double"
+    docs = spark.createDataFrame([(1, "password=abcdef1 x", None, "mine", "s", "t", 7, 8, 0.5)], schema)
+    got = mixing.mix(docs, {}, 1.0).collect()
+    assert all((r["__source"], r["__text"], r["__n"], r["copy"]) == ("s", "t", 7, 0) for r in got[:1])
+    red = secret_scan.redact(docs)
+    assert red.columns == docs.columns and tuple(red.first()) == (1, "[SECRET] x", None, "mine", "s", "t", 7, 8, 0.5)
+    assert simhash.keep_first(docs.withColumn("th", F.lit(3)).withColumn("key", F.lit(4))).first()["th"] == 3
+
+
+def test_links_name_the_nearest_complement(spark):
+    key = "abcdEFGH12" * 4
+    access = "AKIA" + "Z" * 16
+    text = f"{access} and {key} at vault.example.com then token=abcdef9 and {access}"
+    r = secret_scan.scan(spark.createDataFrame([(1, text), (2, key), (3, None)], "doc_id long, text string")).orderBy("doc_id").collect()
+    at = lambda s, start=0: (text.index(s, start), text.index(s, start) + len(s))
+    name = lambda kind, span: f"{kind}:{span[0]}:{span[1]}"
+    host, secret = at("vault.example.com"), at("token=abcdef9")
+    assert r[0]["links"] == f"{name('key40', at(key))}>{name('access', at(access))},{name('endpoint', host)}>{name('assign', secret)}"
+    assert [x["links"] for x in r[1:]] == ["", ""]
+
+
+def test_hot_keys_are_joined_whole(spark):
+    left = spark.range(5000).select((F.col("id") % 10 == 0).cast("long").alias("k"), "id").union(spark.range(2, 40).select(F.col("id").alias("k"), "id"))
+    right = left.groupBy("k").agg(F.count("*").alias("n"), F.min("id").alias("m"))
+    got = common.join_hot(left, right, "k", 5038)
+    assert got.columns == ["k", "id", "m"] and got.count() == 5038 and got.where("k > 1 and m <> k").count() == 0

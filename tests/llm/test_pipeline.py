@@ -70,3 +70,33 @@ def test_quality_stage_keeps_clean_documents(spark, folder):
     docs = spark.read.parquet(f"{folder}/documents.parquet")
     kept = quality.keep_good(docs, spark.read.parquet(f"{folder}/labels.parquet"))
     assert kept.where("doc_id < 300 and doc_id % 5 <> 4").count() == 240
+
+
+def test_edge_cases_of_every_stage(spark, folder, tmp_path):
+    """Nulls, empty and very long texts, repeated ids and rows, clashing columns, an empty table."""
+    schema = "doc_id long, text string, lang string, source string, n_chars long, copy string, `__key` int, score double"
+    good = next(r["text"] for r in spark.read.parquet(f"{folder}/documents.parquet").where("doc_id = 0").collect())
+    long = " ".join(f"{w}{i % 977}" for i, w in enumerate(good.split() * 300))
+    own = good.replace(good.split()[3], "zzz") + " and more words of its own here"
+    rows = [(1001, own), (1001, own), (1001, good + " token=abcdef12"), (None, own), (None, None), (1002, None), (1003, ""), (1004, long), (1005, "x"), (None, own)]
+    rows += [(r["doc_id"], r["text"]) for r in spark.read.parquet(f"{folder}/documents.parquet").where("doc_id < 300").collect()]
+    docs = spark.createDataFrame([(i, t, None, None, None, "c", 7, 0.5) for i, t in rows], schema)
+    for name, n in (("empty", 0), ("some", len(rows))):
+        path = str(tmp_path / name)
+        docs.limit(n).write.parquet(f"{path}/documents.parquet")
+        for t in ("labels", "benchmark"):
+            spark.read.parquet(f"{folder}/{t}.parquet").write.parquet(f"{path}/{t}.parquet")
+        at, before = spark.read.parquet(f"{path}/documents.parquet"), n
+        for i, (_, stage) in enumerate(corpus_pipeline.STAGES):
+            stage(spark, at, path).write.parquet(f"{path}/{i}")
+            at = spark.read.parquet(f"{path}/{i}")
+            last = i == len(corpus_pipeline.STAGES) - 1
+            assert at.columns == ([c for c in docs.columns if c != "copy"] + ["copy", "shuffle_key"] if last else docs.columns)
+            assert last or at.count() <= before
+            before = at.count()
+        if n:
+            texts = [r["text"] for r in spark.read.parquet(f"{path}/3").collect()]
+            assert texts.count(good) <= texts.count(own) == 1 and texts.count(long) <= 1 and "token=abcdef12" not in " ".join(t or "" for t in texts)
+            assert {(r["__key"], r["score"]) for r in at.collect()} <= {(7, 0.5)}
+        else:
+            assert before == 0

@@ -21,6 +21,20 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+#: A key with at least one in HOT of all rows is hot: there are HOT hot keys at most, however many rows there are.
+HOT = 1000
+
+
+def join_hot(left: DataFrame, right: DataFrame, key: str, rows: int) -> DataFrame:
+    """left joined with right on key. right has one row a key and n, the number of left's rows with it; left has `rows` rows.
+    The few keys of very many rows are joined by a broadcast, so that no task gets a whole one; n is dropped."""
+    least = max(2, rows // HOT)
+    hot = right.where(F.col("n") >= least).drop("n")
+    cold = right.where(F.col("n") < least).drop("n")
+    few = left.join(F.broadcast(hot.select(key)), key, "left_anti").join(cold, key)
+    return left.join(F.broadcast(hot), key).unionByName(few)
+
+
 def fold(key: str, parts: int):
     """crc32 of the key as text, modulo parts; null for a null key."""
     return F.pmod(F.crc32(F.col(key).cast("string")), F.lit(parts))

@@ -11,7 +11,8 @@ partitions.
 
 Defined results: a null source is a source of its own (named ``null_name``); a null text counts as empty; sources whose
 weight is 0, or which have no characters, get no copies; a null doc_id hashes as the empty string; repeated rows get
-equal counts each; an empty table gives an empty result; all columns of the documents are kept.
+equal counts each; an empty table gives an empty result; all columns of the documents are kept,
+but for columns named copy or shuffle_key, whose place the result's own take.
 """
 
 from __future__ import annotations
@@ -82,7 +83,8 @@ def mix(docs: DataFrame, weights: dict[str, float] | None = None, other: float =
     """All columns of docs, then copy (0, 1, ...) and shuffle_key, for each copy that the target weights ask for, in a
     global random order. budget: characters of the result in the mean; by default those of docs."""
     per = rates(docs, WEIGHTS if weights is None else weights, other, budget, null_name)
-    named = docs.withColumn("__source", F.coalesce("source", F.lit(null_name)))
+    # the documents travel in one column, so that no name of theirs meets one made here
+    named = docs.select(F.coalesce("source", F.lit(null_name)).alias("__source"), "doc_id", "text", F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("__doc"))
     if per.count() <= BROADCAST_SOURCES:
         counted = named.join(F.broadcast(per), "__source")
     else:
@@ -91,7 +93,8 @@ def mix(docs: DataFrame, weights: dict[str, float] | None = None, other: float =
     n = counted.withColumn("__n", copies(F.col("doc_id"), seed)).where("__n > 0")
     each = n.withColumn("copy", F.explode(F.sequence(F.lit(0), F.col("__n") - 1)))
     key = F.md5(F.concat_ws(":", F.lit(seed), F.lit("order"), F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.col("copy").cast("string")))
-    dealt = each.select(*(F.col(f"`{c}`") for c in docs.columns if c not in ("copy", "shuffle_key")), "copy", key.alias("shuffle_key"))
+    own = [c for c in docs.columns if c.lower() not in ("copy", "shuffle_key")]
+    dealt = each.select(*(F.col("__doc")[c].alias(c) for c in own), "copy", key.alias("shuffle_key"))
     return dealt.repartition("shuffle_key").sortWithinPartitions("shuffle_key")
 
 

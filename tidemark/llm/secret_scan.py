@@ -111,6 +111,26 @@ def near(weak: Column, strong: Column, scope: int = SCOPE) -> Column:
     return linked(weak, strong, scope, True)
 
 
+def partners(weak: Column, strong: Column, scope: int = SCOPE) -> Column:
+    """For each interval of weak the nearest of strong (k, s, e) within scope, then the first: array<struct<d, s, e, k>>. weak
+    comes sorted and is taken NEAR intervals at a time, as in linked()."""
+
+    def gap(s: Column, w: Column) -> Column:
+        return F.greatest(s["s"] - w["e"], w["s"] - s["e"], F.lit(0).cast("long"))
+
+    def run(i: Column) -> Column:
+        own = F.slice(weak, i * NEAR + 1, F.lit(NEAR))
+        ends = F.struct(own.alias("own"), F.get(own, F.lit(0)).alias("first"), F.element_at(own, -1).alias("last"))
+        reach = lambda s, r: (s["s"] < r["last"]["e"] + scope) & (s["e"] + scope > r["first"]["s"])
+        close = F.transform(F.array(ends), lambda r: F.struct(r["own"].alias("own"), F.filter(strong, lambda s: reach(s, r)).alias("close")))
+        one = lambda w, r: F.array_min(F.transform(r["close"], lambda s: F.struct(gap(s, w).alias("d"), s["s"].alias("s"), s["e"].alias("e"), s["k"].alias("k"))))
+        return F.get(F.transform(close, lambda r: F.transform(r["own"], lambda w: one(w, r))), F.lit(0))
+
+    runs = F.sequence(F.lit(0), F.floor((F.size(weak) - 1) / NEAR).cast("int"))
+    empty = F.expr("cast(array() as array<struct<d: bigint, s: bigint, e: bigint, k: int>>)")
+    return F.when(F.size(weak) > 0, F.flatten(F.transform(runs, run))).otherwise(empty)
+
+
 def outside(weak: Column, strong: Column) -> Column:
     """The intervals of weak that overlap none of strong."""
     return linked(weak, strong, 0, False)
@@ -153,21 +173,42 @@ def joined(kinds) -> Column:
     )
 
 
+def links(scope: int = SCOPE) -> Column:
+    """'kind:start:end>kind:start:end' for each weak span that find() reports and the complement nearest to it, by start, then
+    kind, comma-joined: which parts of a credential belong together."""
+
+    def numbered(i: int) -> Column:
+        return F.transform(F.col(KINDS[i][1]), lambda x: F.struct(x["s"].alias("s"), x["e"].alias("e"), F.lit(i).alias("k")))
+
+    def text(i: Column, s: Column, e: Column) -> Column:
+        names = F.array(*(F.lit(k) for k, _ in KINDS))
+        return F.concat_ws(":", F.element_at(names, i + 1), s.cast("string"), e.cast("string"))
+
+    def pairs(i: int, strong: Column) -> Column:
+        weak = F.col(KINDS[i][1])
+        return F.zip_with(weak, partners(weak, strong, scope), lambda w, p: F.struct(w["s"].alias("s"), F.lit(i).alias("i"), w["e"].alias("e"), p.alias("p")))
+
+    every = F.array_sort(F.concat(pairs(3, numbered(1)), pairs(4, F.concat(numbered(0), numbered(1)))))
+    return F.array_join(F.transform(every, lambda x: F.concat_ws(">", text(x["i"], x["s"], x["e"]), text(x["p"]["k"], x["p"]["s"], x["p"]["e"]))), ",")
+
+
 def scan(docs: DataFrame) -> DataFrame:
-    """doc_id, n_assign, n_access, n_hex, base_sha256, spans for every row of docs."""
+    """doc_id, n_assign, n_access, n_hex, base_sha256, spans, links for every row of docs."""
     found = find(docs.select("doc_id", "text"))
     return found.select(
         "doc_id",
         *(F.size(c).cast("long").alias(f"n_{k}") for k, c in KINDS[:3]),
         F.sha2(joined(KINDS[:3]), 256).alias("base_sha256"),
         joined(KINDS).alias("spans"),
+        links().alias("links"),
     )
 
 
 def redact(docs: DataFrame) -> DataFrame:
     """docs, columns unchanged, with every reported span but endpoints replaced by MASK (overlapping spans by one MASK).
     n_chars, if there, is set to the new length of the texts that changed."""
-    found = find(docs)
+    # the documents travel in one column, so that no name of theirs meets one made here
+    found = find(docs.select("text", F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("__doc")))
     every = F.array_sort(F.concat("__assign", "__access", "__hex", "__key"))
     start = F.struct(F.lit(0).cast("long").alias("at"), F.lit("").alias("out"))
     step = lambda acc, x: F.struct(
@@ -178,8 +219,9 @@ def redact(docs: DataFrame) -> DataFrame:
     )
     done = F.aggregate(every, start, step, lambda acc: F.concat(acc["out"], F.substring(F.col("__text"), (acc["at"] + 1).cast("int"), F.length("__text"))))
     found = found.withColumn("__new", F.when(F.size(every) > 0, done))
-    columns = {"text": F.coalesce("__new", "text"), "n_chars": F.coalesce(F.length("__new").cast("long"), "n_chars")}
-    return found.select(*(columns[c].cast(docs.schema[c].dataType).alias(c) if c in columns else F.col(f"`{c}`") for c in docs.columns))
+    own = {c: F.col("__doc")[c] for c in docs.columns}
+    changed = {"text": F.coalesce("__new", "text")} | ({"n_chars": F.coalesce(F.length("__new").cast("long"), own["n_chars"])} if "n_chars" in own else {})
+    return found.select(*(changed[c].cast(docs.schema[c].dataType).alias(c) if c in changed else own[c].alias(c) for c in docs.columns))
 
 
 def _duck_spans(name: str, pattern: str, ok: str = "true", when: str = "true") -> str:
@@ -210,10 +252,15 @@ added AS (
     SELECT 4 AS o, w.* FROM ends w
     WHERE EXISTS (SELECT 1 FROM base b WHERE b.rid = w.rid AND b.o <= 1 AND b.s < w.s + w.len + {SCOPE} AND b.s + b.len + {SCOPE} > w.s)),
 texts AS (SELECT *, k || ':' || CAST(s AS BIGINT) || ':' || CAST(s + len AS BIGINT) AS t FROM (SELECT * FROM base UNION ALL SELECT * FROM added)),
+nearest AS (
+    SELECT a.rid, a.o, a.s, a.len, a.k || ':' || CAST(a.s AS BIGINT) || ':' || CAST(a.s + a.len AS BIGINT) || '>' || b.k || ':' || CAST(b.s AS BIGINT) || ':' || CAST(b.s + b.len AS BIGINT) AS t,
+           row_number() OVER (PARTITION BY a.rid, a.o, a.s ORDER BY greatest(b.s - a.s - a.len, a.s - b.s - b.len, 0), b.s, b.s + b.len, b.o) AS n
+    FROM added a JOIN base b ON b.rid = a.rid AND b.o <= 1 AND (a.o = 4 OR b.o = 1) AND b.s < a.s + a.len + {SCOPE} AND b.s + b.len + {SCOPE} > a.s),
+linked AS (SELECT rid, string_agg(t, ',' ORDER BY s, o, len) AS links FROM nearest WHERE n = 1 GROUP BY rid),
 per_doc AS (
     SELECT rid, count(*) FILTER (o = 0) AS a, count(*) FILTER (o = 1) AS c, count(*) FILTER (o = 2) AS h,
            string_agg(t, ',' ORDER BY s, o, len) FILTER (o < 3) AS base, string_agg(t, ',' ORDER BY s, o, len) AS every
     FROM texts GROUP BY rid)
 SELECT d.doc_id, coalesce(p.a, 0) AS n_assign, coalesce(p.c, 0) AS n_access, coalesce(p.h, 0) AS n_hex,
-       sha256(coalesce(p.base, '')) AS base_sha256, coalesce(p.every, '') AS spans
-FROM docs d LEFT JOIN per_doc p USING (rid)"""
+       sha256(coalesce(p.base, '')) AS base_sha256, coalesce(p.every, '') AS spans, coalesce(l.links, '') AS links
+FROM docs d LEFT JOIN per_doc p USING (rid) LEFT JOIN linked l USING (rid)"""

@@ -32,7 +32,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import stage_table
+from .common import join_hot, stage_table, unused
 
 WORDS, SEED, BITS, LIMIT = 4, 42, 64, 4
 #: Rows of a bucket that one task compares; larger buckets are divided into blocks, and every pair of blocks is compared.
@@ -242,7 +242,7 @@ def links(distinct: DataFrame, parts: list[Part]) -> DataFrame:
     sizes = rows.groupBy("part", "key").agg(F.count("*").alias("n"))
     hot = sizes.where(F.col("n") > BLOCK).select("part", "key", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks"))
     if hot.isEmpty():
-        dealt = rows.withColumn("pair", F.lit(0).cast("int"))
+        dealt = rows.withColumn("pair", F.lit(0).cast("long"))
     else:
         # block i of a hot bucket meets every block j in the task of the pair (min, max)
         block = F.pmod(F.xxhash64("fp"), F.col("blocks")).cast("int")
@@ -250,7 +250,7 @@ def links(distinct: DataFrame, parts: list[Part]) -> DataFrame:
             rows.join(hot, ["part", "key"], "left")
             .withColumn("own", F.coalesce(block, F.lit(0)))
             .withColumn("other", F.explode(F.sequence(F.lit(0), F.coalesce("blocks", F.lit(1)) - 1)))
-            .withColumn("pair", (F.least("own", "other") * 65536 + F.greatest("own", "other")).cast("int"))
+            .withColumn("pair", F.least("own", "other").cast("long") * (1 << 31) + F.greatest("own", "other"))
         )
 
     def run(batches):
@@ -288,14 +288,15 @@ def components(edges: DataFrame) -> DataFrame:
     """(node, root): the smallest node of each node's component. Alternating large-star and small-star rounds until
     nothing changes; every round is written to the shared folder and read back."""
 
-    def spread(e: DataFrame, small: bool) -> DataFrame:
+    def spread(e: DataFrame, small: bool, rows: int) -> DataFrame:
         if small:  # each node's smaller neighbours and itself link to the smallest of them
-            least = e.groupBy("b").agg(F.min("a").alias("m"))
-            got = e.join(least, "b")
+            least = e.groupBy("b").agg(F.min("a").alias("m"), F.count("*").alias("n"))
+            got = join_hot(e, least, "b", rows)
             return got.select(F.col("a").alias("x"), "m").union(least.select(F.col("b").alias("x"), "m"))
         both = e.select("a", "b").union(e.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        least = both.groupBy("a").agg(F.least("a", F.min("b")).alias("m"))
-        return both.where("b > a").join(least, "a").select(F.col("b").alias("x"), "m")
+        least = both.groupBy("a").agg(F.least("a", F.min("b")).alias("m"), F.count("*").alias("n"))
+        # the centre of a large star is a key of very many rows
+        return join_hot(both.where("b > a"), least, "a", rows).select(F.col("b").alias("x"), "m")
 
     def mark(e: DataFrame):
         r = e.agg(F.count("*").alias("n"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)")).alias("h")).first()
@@ -305,7 +306,7 @@ def components(edges: DataFrame) -> DataFrame:
     seen = mark(e)
     while seen[0]:
         for small in (False, True):
-            e = spread(e, small).where("x <> m").select(F.col("m").alias("a"), F.col("x").alias("b")).distinct()
+            e = spread(e, small, seen[0]).where("x <> m").select(F.col("m").alias("a"), F.col("x").alias("b")).distinct()
         e = stage_table(e, "links")
         now = mark(e)
         if now == seen:
@@ -315,17 +316,19 @@ def components(edges: DataFrame) -> DataFrame:
 
 
 def classes(docs: DataFrame) -> DataFrame:
-    """(doc_id, fp, th, component_id) for every row of docs."""
+    """(doc_id, fp, th, root, component_id) for every row of docs; root names the class of its fingerprint."""
     marked = stage_table(fingerprints(docs), "fingerprints")
-    distinct = stage_table(marked.groupBy("fp").agg(F.min("doc_id").alias("first")), "distinct")
+    distinct = stage_table(marked.groupBy("fp").agg(F.min("doc_id").alias("first"), F.count("*").alias("copies")), "distinct")
     n, both = bit_counts(distinct)
     if not n:
-        return marked.withColumn("component_id", F.col("doc_id"))
+        return marked.withColumns({"root": F.col("fp"), "component_id": F.col("doc_id")})
     roots = stage_table(components(links(distinct, plan(n, both))), "components")
-    named = distinct.join(roots, distinct.fp == roots.node, "left").select("fp", "first", F.coalesce("root", "fp").alias("root"))
-    least = named.groupBy("root").agg(F.min("first").alias("component_id"))
-    per_fp = named.join(least, "root").select("fp", "component_id")
-    return marked.join(per_fp, "fp").select("doc_id", "fp", "th", "component_id")
+    named = distinct.join(roots, distinct.fp == roots.node, "left").select("fp", "first", "copies", F.coalesce("root", "fp").alias("root"))
+    named = stage_table(named, "named")
+    least = named.groupBy("root").agg(F.min("first").alias("component_id"), F.count("*").alias("n"))
+    per_fp = join_hot(named, least, "root", n).select("fp", "root", "component_id", F.col("copies").alias("n"))
+    rows = named.agg(F.sum("copies")).first()[0]
+    return join_hot(marked, stage_table(per_fp, "classes"), "fp", rows).select("doc_id", "fp", "th", "root", "component_id")
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
@@ -336,15 +339,21 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
 def keep_first(docs: DataFrame) -> DataFrame:
     """The rows of docs, all columns unchanged, that are the first of their class: one row for each class.
 
-    The ids to drop are broadcast while they are few (a checked bound), and else joined by a shuffle. Where a doc_id
-    repeats, its first text by hash that begins a class stays, once; rows without a doc_id can't be named first and are
-    all kept.
+    A row is named by its doc_id and a hash of its text, and the first of a class has the smallest such name, ids that are
+    null last; of rows with the same name one stays. The names to drop are broadcast while they are few (a checked bound),
+    and else joined by a shuffle.
     """
-    found = stage_table(classes(docs), "classes").where(F.col("doc_id").isNotNull())
-    if found.groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1").isEmpty():
-        drop = found.where(F.col("doc_id") != F.col("component_id")).select("doc_id")
-        drop = F.broadcast(drop) if drop.count() <= BROADCAST_IDS else drop
-        return docs.join(drop, "doc_id", "left_anti").select(*(F.col(f"`{c}`") for c in docs.columns))
-    keepers = found.where(F.col("doc_id") == F.col("component_id")).groupBy("doc_id").agg(F.min("th").alias("__th"))
-    kept = docs.withColumn("__th", F.xxhash64("text")).join(keepers, ["doc_id", "__th"], "left_semi").dropDuplicates(["doc_id"])
-    return kept.select(*(F.col(f"`{c}`") for c in docs.columns)).union(docs.where(F.col("doc_id").isNull()))
+    found = stage_table(classes(docs), "classes")
+    name = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "th")
+    firsts = found.groupBy("root").agg(F.min(name).alias("f")).select(F.col("f.doc_id").alias("id"), F.col("f.th").alias("first"))
+    same = F.col("doc_id").eqNullSafe(F.col("id")) & (F.col("th") == F.col("first"))
+    names = found.groupBy("doc_id", "th").agg(F.count("*").alias("n"))
+    drop = stage_table(names.join(firsts, same, "left_anti"), "drop")
+    repeated = not names.where("n > 1").isEmpty()
+    th, key, other = (unused(docs, c) for c in ("th", "key", "other"))
+    out = drop.select(F.col("doc_id").alias(key), F.col("th").alias(other))
+    out = F.broadcast(out) if drop.count() <= BROADCAST_IDS else out
+    kept = docs.withColumn(th, F.xxhash64("text"))
+    kept = kept.join(out, F.col("doc_id").eqNullSafe(F.col(key)) & (F.col(th) == F.col(other)), "left_anti")
+    kept = kept.dropDuplicates(["doc_id", th]) if repeated else kept
+    return kept.select(*(F.col(f"`{c}`") for c in docs.columns))

@@ -32,6 +32,8 @@ from .common import shared_dir, stage_table
 MIN_REVISIT = 100
 #: Bytes of a file after which a task begins another, and of a range that one task reads.
 ROLL, SPLIT = 256 << 20, 8 << 20
+#: Tasks of a read, at most: beyond, a task reads several ranges one after the other.
+MAX_TASKS = 20_000
 #: Up to so many repeated digests are broadcast (under 10 MB); more are joined by a salted shuffle.
 BROADCAST_DIGESTS, SALTS = 50_000, 32
 MAGIC = b"\x1f\x8b\x08"
@@ -40,12 +42,17 @@ PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 
 
 def file_system(uri: str) -> tuple[pafs.FileSystem, str]:
-    """The file system and path of a URI: local, S3, GCS or HDFS."""
+    """The file system and path of a URI: local, S3, GCS, Azure (abfs, abfss) or HDFS, as Arrow has them; others are an
+    error that names the URI."""
     if uri.startswith("file:"):
         return pafs.LocalFileSystem(), "/" + uri[5:].lstrip("/")
     if "://" not in uri:
         return pafs.LocalFileSystem(), uri
-    return pafs.FileSystem.from_uri(re.sub(r"^s3[an]://", "s3://", uri))
+    plain = re.sub(r"^s3[an]://", "s3://", uri)
+    try:
+        return pafs.FileSystem.from_uri(plain)
+    except pa.ArrowInvalid as e:
+        raise ValueError(f"no file system for {uri}") from e
 
 
 def record(page_id: int | None, url: str | None, payload: bytes, digest: str, refers_to: int | None) -> bytes:
@@ -201,7 +208,7 @@ def read_archive(manifest: DataFrame, payloads: bool = True, split: int = SPLIT)
                 yield batch(rows)
 
     schema = "page_id long, url string, record_type string, payload_bytes long, payload_digest string, refers_to long"
-    return ranges.repartition(max(1, count), "path", "start").mapInArrow(run, schema + (", payload binary" if payloads else ""))
+    return ranges.repartition(max(1, min(count, MAX_TASKS)), "path", "start").mapInArrow(run, schema + (", payload binary" if payloads else ""))
 
 
 def round_trip(pages: DataFrame) -> DataFrame:
