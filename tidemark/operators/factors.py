@@ -63,12 +63,12 @@ def standardise(df: DataFrame, factors: list[str], by: list[str]) -> DataFrame:
 
 def composite(df: DataFrame, weights: dict[str, float], by: list[str], out: str = "score") -> DataFrame:
     """Weighted mean of z-scores over the factors that are active that day (non-zero weight and any value), missing z
-    counting 0, scaled to 0..100 by average rank."""
+    counting 0, scaled to 0..100 by average rank. Means are compared to nine places, so that rounding makes no order."""
     w = Window.partitionBy(*by)
     used = {f: v for f, v in weights.items() if v}
     total = sum((F.coalesce(f"z_{f}", F.lit(0.0)) * v for f, v in used.items()), F.lit(0.0))
     size = sum((F.when(F.count(f"z_{f}").over(w) > 0, abs(v)).otherwise(0.0) for f, v in used.items()), F.lit(0.0))
-    return df.withColumn("raw", F.try_divide(total, size)).withColumn(out, scaled_rank("raw", by))
+    return df.withColumn("raw", F.round(F.try_divide(total, size), 9)).withColumn(out, scaled_rank("raw", by))
 
 
 def valuation_ranks(df: DataFrame, ratio: str, by: list[str], out: str) -> DataFrame:

@@ -35,8 +35,8 @@ qs AS (SELECT session, {", ".join(f"quantile_cont({f}, [0.025, 0.975]) AS q_{f}"
 cl AS (SELECT pf.*, {", ".join(winsor_sql(f) for f in NAMES)} FROM pf JOIN qs USING (session)),
 zs AS (SELECT *, {", ".join(f"CASE WHEN c_{f} IS NULL THEN NULL WHEN stddev_pop(c_{f}) OVER w <= 1e-8 THEN 0 ELSE (c_{f} - avg(c_{f}) OVER w) / stddev_pop(c_{f}) OVER w END AS z_{f}" for f in NAMES)}
        FROM cl WINDOW w AS (PARTITION BY session)),
-raws AS (SELECT *, ({" + ".join(f"coalesce(z_{f}, 0) * {v}" for f, v in WEIGHTS.items())})
-               / nullif({" + ".join(f"CASE WHEN count(z_{f}) OVER w > 0 THEN {abs(v)}::DOUBLE ELSE 0 END" for f, v in WEIGHTS.items())}, 0) AS raw
+raws AS (SELECT *, round(({" + ".join(f"coalesce(z_{f}, 0) * {v}" for f, v in WEIGHTS.items())})
+               / nullif({" + ".join(f"CASE WHEN count(z_{f}) OVER w > 0 THEN {abs(v)}::DOUBLE ELSE 0 END" for f, v in WEIGHTS.items())}, 0), 9) AS raw
          FROM zs WINDOW w AS (PARTITION BY session)),
 sc AS (SELECT *, {scaled("raw", "session")} AS score FROM raws)"""
 SCORED = f"{FACTORS}, {Z_SQL}"
