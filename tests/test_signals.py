@@ -11,7 +11,7 @@ def test_evidence_classes(spark):
 
 
 def test_provider_audit(spark):
-    d = spark.createDataFrame([("cache-audited:exchange+vendor_b", True), ("cache-audited:", False), ("exchange", False), ("cache-audited:mock", False), (None, False)], "p string, want boolean")
+    d = spark.createDataFrame([("cache-audited:exchange+vendor_b", True), ("cache-audited:", False), ("exchange", True), (" Exchange ", True), ("cache-resampled:vendor_a+", True), ("mock", False), ("cache-audited:mock", False), (None, False)], "p string, want boolean")
     assert d.where(signals.provider_audited(F.col("p")) != F.col("want")).count() == 0
 
 

@@ -26,9 +26,11 @@ def normalise_quotes(raw: DataFrame) -> DataFrame:
 
 
 def provider_audited(provider: Column) -> Column:
-    """Whether a provider reads 'cache-audited:a+b' with audited parts only."""
-    parts = F.split(F.regexp_extract(provider, "^cache-audited:(.+)$", 1), "[+]")
-    return F.coalesce(provider.startswith("cache-audited:") & F.forall(parts, lambda p: p.isin(*AUDITED)), F.lit(False))
+    """Whether a provider is audited itself, or reads 'cache-audited:a+b' or 'cache-resampled:a+b' with audited parts only (empty ones
+    are skipped; one is needed)."""
+    name = F.lower(F.trim(provider))
+    parts = F.filter(F.split(F.regexp_extract(name, "^cache-(?:audited|resampled):(.+)$", 1), "[+]"), lambda p: p != "")
+    return F.coalesce(name.isin(*AUDITED) | ((F.size(parts) > 0) & F.forall(parts, lambda p: p.isin(*AUDITED))), F.lit(False))
 
 
 def evidence_class(n: Column, ic: Column, t: Column) -> Column:

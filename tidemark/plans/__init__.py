@@ -1,6 +1,6 @@
 """Registered queries: operators applied to the adapters, each with the SQL that must give the same rows."""
 
-from . import backtest, breadth, factors, health, ingest, metrics, news, outcomes, reports, screening, sectors, signals, streams, universe  # noqa: F401
+from . import backtest, breadth, checks, factors, health, ingest, metrics, news, outcomes, reports, screening, sectors, signals, streams, universe  # noqa: F401
 from .registry import ORACLE, QUERIES
 
 __all__ = ["ORACLE", "QUERIES"]

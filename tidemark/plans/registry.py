@@ -1,6 +1,6 @@
 """The registry of queries and their SQL.
 
-A query names its result columns: keys as they are, doubles rounded to six places on both sides.
+A query names its result columns: keys as they are, doubles rounded to six places on both sides, zero without a sign.
 """
 
 from __future__ import annotations
@@ -21,12 +21,12 @@ def query(name: str, keys: str, doubles: str = "", sql: str | None = None):
     def wrap(fn):
         def run(spark: SparkSession, sf_dir: str) -> DataFrame:
             df = fn(spark, sf_dir)
-            return df.select(*keys.split(), *(F.round(F.col(d).cast("double"), 6).alias(d) for d in doubles.split()))
+            return df.select(*keys.split(), *((F.round(F.col(d).cast("double"), 6) + F.lit(0.0)).alias(d) for d in doubles.split()))
 
         run.__name__, run.__doc__ = fn.__name__, fn.__doc__
         QUERIES[name] = run
         if sql is not None:
-            ORACLE[name] = "SELECT " + ", ".join([*keys.split(), *(f"round({d}::DOUBLE, 6) AS {d}" for d in doubles.split())]) + f" FROM ({sql})"
+            ORACLE[name] = "SELECT " + ", ".join([*keys.split(), *(f"round({d}::DOUBLE, 6) + 0.0::DOUBLE AS {d}" for d in doubles.split())]) + f" FROM ({sql})"
         return fn
 
     return wrap

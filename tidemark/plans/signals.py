@@ -10,8 +10,8 @@ from tidemark.operators import factors as fo
 from tidemark.operators import metrics as me
 from tidemark.operators import signals as op
 
-from .factors import NAMES, price_factors
-from .registry import query
+from .factors import NAMES, SCORED, price_factors
+from .registry import avg_rank, query
 
 
 @query(
@@ -43,7 +43,7 @@ def p11(spark, sf):
 
 @query(
     "x14_provider_audit", "event_id ok", "",
-    "SELECT event_id, event_id % 4 = 0 AS ok FROM events",
+    "SELECT event_id, event_id % 4 IN (0, 2) AS ok FROM events",
 )
 def x14(spark, sf):
     k = F.col("event_id") % 4
@@ -51,7 +51,16 @@ def x14(spark, sf):
     return a.table(spark, sf, "events").select("event_id", op.provider_audited(provider).alias("ok"))
 
 
-@query("f36_evidence_classes", "factor class", "")
+@query(
+    "f36_evidence_classes", "factor class", "",
+    f"""WITH {SCORED}, fw AS (SELECT symbol, session, lead(px, 1) OVER (PARTITION BY symbol ORDER BY session) / px - 1 AS future FROM px),
+    lg AS ({" UNION ALL ".join(f"SELECT session, symbol, '{f}' AS factor, z_{f} AS z FROM zs WHERE z_{f} IS NOT NULL" for f in NAMES)}),
+    j AS (SELECT factor, session, z, future FROM lg JOIN fw USING (symbol, session) WHERE future IS NOT NULL),
+    r AS (SELECT *, {avg_rank("z", "factor, session")} AS ra, {avg_rank("future", "factor, session")} AS rb FROM j),
+    i AS (SELECT factor, session, CASE WHEN count(*) >= 2 AND stddev_pop(ra) > 1e-12 AND stddev_pop(rb) > 1e-12 THEN covar_pop(ra, rb) / (stddev_pop(ra) * stddev_pop(rb)) END AS ic FROM r GROUP BY ALL),
+    s AS (SELECT factor, count(*) AS n, avg(ic) AS m, avg(ic) / nullif(stddev_samp(ic), 0) * sqrt(count(*)) AS t FROM i WHERE ic IS NOT NULL GROUP BY 1)
+    SELECT factor, CASE WHEN t IS NULL OR n < 2 THEN 'insufficient' WHEN abs(t) < 2 THEN 'ineffective' WHEN m < 0 THEN 'negative' ELSE 'positive' END AS class FROM s""",
+)
 def f36(spark, sf):
     b = a.bars(spark, sf)
     long = fo.standardise(price_factors(spark, sf), NAMES, ["session"]).unpivot(["session", "symbol"], [f"z_{f}" for f in NAMES], "factor", "z")
