@@ -34,3 +34,9 @@ def stage(df: DataFrame, name: str) -> str:
 def staged(df: DataFrame, name: str) -> DataFrame:
     """A scan of df as written in the shared folder: cuts the lineage and survives lost executors."""
     return df.sparkSession.read.schema(df.schema).parquet(stage(df, name))
+
+
+def discard(spark: SparkSession, path: str) -> None:
+    """Removes a staged table that nothing reads any more."""
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
