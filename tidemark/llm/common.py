@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tidemark.functions.shared import shared_dir  # noqa: F401
+from tidemark.functions.shared import discard, shared_dir  # noqa: F401
+from tidemark.functions.shared import stage as stage_path  # noqa: F401
 from tidemark.functions.shared import staged as stage_table  # noqa: F401
 
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bm25, decontam, langid, mixing, pii, quality, secret_scan, simhash, toxicity, warc
+from . import bm25, byte_bpe, decontam, drake, langid, mixing, pii, quality, secret_scan, simhash, toxicity, warc
 from .common import table
 
 
@@ -48,14 +48,25 @@ def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.find(table(spark, sf_dir, "documents"))
 
 
+def op11_drake(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return drake.assignments(table(spark, sf_dir, "embeddings"))
+
+
+def op13_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return byte_bpe.round_trip(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     f.__name__: f
-    for f in (op1_toxicity, op2_language, op3_warc, op4_mixing, op5_bm25, op6_secrets, op7_quality, op8_decontamination, op9_simhash, op10_pii)
-}
+    for f in (
+        op1_toxicity, op2_language, op3_warc, op4_mixing, op5_bm25, op6_secrets, op7_quality, op8_decontamination, op9_simhash, op10_pii, op11_drake, op13_byte_bpe,
+    )
+}
 ORACLE = {
     "op3_warc": warc.ORACLE_SQL,
     "op4_mixing": mixing.ORACLE_SQL,
     "op5_bm25": bm25.ORACLE_SQL,
     "op6_secrets": secret_scan.ORACLE_SQL,
     "op8_decontamination": decontam.ORACLE_SQL,
+    "op11_drake": drake.ORACLE_SQL,
 }
