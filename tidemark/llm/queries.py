@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bm25, byte_bpe, decontam, drake, langid, mixing, pii, quality, secret_scan, simhash, toxicity, warc
+from . import bm25, byte_bpe, collocations, decontam, drake, langid, mixing, pii, quality, secret_scan, simhash, toxicity, warc
 from .common import table
 
 
@@ -52,6 +52,10 @@ def op11_drake(spark: SparkSession, sf_dir: str) -> DataFrame:
     return drake.assignments(table(spark, sf_dir, "embeddings"))
 
 
+def op12_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.collocations(table(spark, sf_dir, "documents"))
+
+
 def op13_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return byte_bpe.round_trip(table(spark, sf_dir, "documents"))
 
@@ -59,7 +63,8 @@ def op13_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     f.__name__: f
     for f in (
-        op1_toxicity, op2_language, op3_warc, op4_mixing, op5_bm25, op6_secrets, op7_quality, op8_decontamination, op9_simhash, op10_pii, op11_drake, op13_byte_bpe,
+        op1_toxicity, op2_language, op3_warc, op4_mixing, op5_bm25, op6_secrets, op7_quality, op8_decontamination, op9_simhash, op10_pii, op11_drake, op12_collocations,
+        op13_byte_bpe,
     )
 }
 ORACLE = {
@@ -69,4 +74,5 @@ ORACLE = {
     "op6_secrets": secret_scan.ORACLE_SQL,
     "op8_decontamination": decontam.ORACLE_SQL,
     "op11_drake": drake.ORACLE_SQL,
+    "op12_collocations": collocations.ORACLE_SQL,
 }
