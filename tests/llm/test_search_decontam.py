@@ -134,7 +134,7 @@ def brute_leaks(docs, items):
                 lo, hi = max(0, -diag), min(len(b), len(a) - diag)
                 same = [a[i + diag] == b[i] for i in range(lo, hi)]
                 span = min(decontam.SPAN, len(b))
-                need = math.ceil(span * decontam.SHARE) if len(b) >= decontam.WIDTH else span
+                need = math.ceil(span * decontam.SHARE)
                 if len(same) >= span and max(sum(same[i : i + span]) for i in range(len(same) - span + 1)) >= need:
                     best = max(best or (0, 0), (sum(same), -(lo + diag)))
             if best:
@@ -160,7 +160,7 @@ def test_leaks_equal_brute_force(spark, bound, monkeypatch):
 def test_masks_lose_nothing_that_the_rule_accepts():
     """Every pattern of substitutions that the rule accepts leaves some window and mask whole, at every item length."""
     for n in range(1, decontam.SPAN + 1):
-        errors = n - math.ceil(n * decontam.SHARE) if n >= decontam.WIDTH else 0
+        errors = n - math.ceil(n * decontam.SHARE)
         for e in range(errors + 1):
             for lost in itertools.combinations(range(n), e):
                 assert any(all(p + i not in lost for i in mask) for _, width, mask in decontam.masks_of(n) for p in range(n - width + 1)), (n, lost)
@@ -176,3 +176,34 @@ def test_no_documents_or_items(spark):
     docs, bench = spark.createDataFrame([], DOCS), spark.createDataFrame([], "item_id long, text string")
     some = spark.createDataFrame([(1, "a b c", "en", "s", 1, 1, 1)], DOCS)
     assert decontam.contaminated(docs, bench).count() == 0 and decontam.remove(some, bench).count() == 1
+
+
+def test_short_items_tolerate_what_the_rule_grants(spark):
+    rng = random.Random(6)
+    items = [(n, " ".join(f"w{n}x{i}" for i in range(n))) for n in range(1, 10)]
+    rows = []
+    for n, t in items:
+        for lost in range(n + 1):
+            w = ["other" if i == lost else x for i, x in enumerate(t.split())]
+            rows.append((len(rows), " ".join(["some", *w, rng.choice(["more", "words"])]), "en", "s", 1, 1, 1))
+    docs, bench = spark.createDataFrame(rows, DOCS), spark.createDataFrame(items, "item_id long, text string")
+    got = sorted((str(r[0]), str(r[1]), r[2], r[3]) for r in decontam.contaminated(docs, bench).collect())
+    assert got == brute_leaks(rows, items) and len(got) == 9 + 5 + 6 + 7 + 8 + 9
+
+
+@pytest.mark.parametrize("kind", ["one", "own words", "a shared word", "empty"])
+def test_small_tables_without_a_frequent_word(spark, kind):
+    texts = {
+        "one": ["alpha beta"],
+        "own words": [f"w{i} v{i}" for i in range(200)],
+        "a shared word": [f"same w{i}" for i in range(12)],
+        "empty": [""] * 300 + ["alpha"] * 2,
+    }[kind]
+    got = bm25.search(spark.createDataFrame([(20 * i, t) for i, t in enumerate(texts)], "doc_id long, text string")).collect()
+    found = {(r["query_id"], r["doc_id"]) for r in got}
+    if kind == "a shared word":
+        assert all(sum(q == 20 * i for q, _ in found) == 10 and (20 * i, 20 * i) in found for i in range(12))
+    elif kind == "empty":
+        assert found == {(a, b) for a in (6000, 6020) for b in (6000, 6020)}
+    else:
+        assert found == {(20 * i, 20 * i) for i in range(len(texts))}

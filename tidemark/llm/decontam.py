@@ -9,8 +9,9 @@ allowed, and when it does, all agreeing words on the diagonal are counted.
 
 The masks lose nothing that this rule accepts: of any two of thirteen words, or any one of nine, some window and mask
 ignores all. Items of ten to twelve words, where the rule allows two substitutions in fewer windows, have four masks of
-their own; items under nine words, which the rule takes only whole or nearly so, are looked up whole, without
-substitutions. Masks for such items are applied only if the benchmark has any.
+their own; items of five to eight words, where it allows one, have three masks of their own length, of which one ignores the
+substituted position; items under five words, which the rule takes only whole, are looked up whole. Masks for such items are
+applied only if the benchmark has any.
 
 Scale. Seeds of a document are made and joined in one pass over the text, without a shuffle: the benchmark's seeds are
 broadcast, BROADCAST_SEEDS at most at a time, and a larger benchmark takes a pass for each such part. Only hits leave that
@@ -37,14 +38,18 @@ WIDTH = 9
 MASKS = ((0, 1, 2, 3, 6, 8), (0, 1, 3, 4, 5, 7), (2, 4, 5, 6, 7, 8))
 MID_MASKS = ((0, 2, 5, 7, 8), (0, 1, 2, 6, 8), (0, 3, 4, 5, 8), (2, 3, 4, 6, 7))
 SPAN, SHARE = 13, 0.8
+#: From so many words on the rule allows a substitution.
+SHORT = 5
 #: Bounds for broadcasts: seeds of the benchmark (under 100 MB), and documents with hits.
 BROADCAST_SEEDS, BROADCAST_HITS = 2_000_000, 500_000
 
 
 def masks_of(words: int) -> list[tuple[int, int, tuple[int, ...]]]:
     """(number, width, positions) of the masks for items of so many words."""
-    if words < WIDTH:
+    if words < SHORT:
         return [(100 + words, words, tuple(range(words)))] if words else []
+    if words < WIDTH:  # each ignores a third of the positions
+        return [(200 + 10 * words + i, words, tuple(p for p in range(words) if p % 3 != i)) for i in range(3)]
     mid = WIDTH < words < SPAN
     return [(10 * mid + i, WIDTH, m) for i, m in enumerate(MID_MASKS if mid else MASKS)]
 
