@@ -1,6 +1,8 @@
 import hashlib
 import math
+import random
 import re
+import time
 from collections import Counter
 
 import pytest
@@ -27,7 +29,7 @@ def brute(rows, weights, other, budget=None):
         mean = goal * w[s] / sum(w.values()) / chars[s] if w[s] else 0.0
         parts, n = max(1, math.ceil(mean / mixing.PART_MEAN)), 0
         for i in range(parts if mean else 0):
-            key = f"{mixing.SEED}:{i}:{'' if r[0] is None else r[0]}"
+            key = f"{mixing.SEED}:{i}:{'' if r[0] is None else r[0]}:{hashlib.md5((r[1] or '').encode()).hexdigest()}"
             u = int(hashlib.md5(key.encode()).hexdigest()[:13], 16) / 2**52
             lam, k = mean / parts, 0
             p = c = math.exp(-lam)
@@ -46,9 +48,9 @@ def test_copies_equal_brute_force(spark, weights, other, budget, bound, monkeypa
     rows = corpus()
     docs = spark.createDataFrame(rows, DOCS).repartition(4)
     got = mixing.mix(docs, weights, other, budget)
-    assert got.columns == [c for c in docs.columns if c != "copy"] + ["copy", "shuffle_key"]
+    assert got.columns == docs.columns + ["copy_", "shuffle_key"]
     found = got.collect()
-    assert sorted((str(r["doc_id"]), str(r["text"]), r["copy"]) for r in found) == brute(rows, weights, other, budget)
+    assert sorted((str(r["doc_id"]), str(r["text"]), r["copy_"]) for r in found) == brute(rows, weights, other, budget)
     if budget is None:
         got = Counter()
         for r in found:
@@ -64,6 +66,14 @@ def test_global_order_is_random(spark):
     assert mixing.mix(spark.createDataFrame([], DOCS)).count() == 0
 
 
+def test_rows_without_an_id_are_sampled_and_dealt_out(spark):
+    rows = [(None, f"text number {i:04d}", "en", "s1", 1, 0, 0.0) for i in range(4000)]
+    got = mixing.mix(spark.createDataFrame(rows, DOCS), {}, 1.0, budget=1.5 * 4000 * 16).collect()
+    copies = Counter(r["text"] for r in got)
+    assert abs(len(got) / 6000 - 1) < 0.05 and len(set(copies.values())) > 3
+    assert len({r["shuffle_key"] for r in got}) == len(got)
+
+
 KEY = "wJalrXUtnFEMI/K7MDENG/bPxRfiCYEXAMPLEKEY"
 TEXTS = [
     "password=abc password = 'abcdef' PassWord: \"x/y+z=1\" token=token=abcdefgh secret=token:abcdefgh",
@@ -127,7 +137,7 @@ def test_links_over_many_parts(spark):
     meets = lambda w, s, by: s[0] < w[1] + by and s[1] + by > w[0]
     base = access + assign + spans(secret_scan.HEX_LONG)
     keys = [w for w in spans(secret_scan.KEY40) if w[1] - w[0] == 40 and any(meets(w, s, 300) for s in access) and not any(meets(w, s, 0) for s in base)]
-    ends = [w for w in spans(secret_scan.ENDPOINT) if any(meets(w, s, 300) for s in access + assign)]
+    ends = [w for w in spans(r"db\d+\.example\.org") if any(meets(w, s, 300) for s in access + assign)]
     assert [tuple(x) for x in found["__key"]] == keys and [tuple(x) for x in found["__endpoint"]] == ends
     assert 128 < len(ends) < 400 and 20 < len(keys) < 400
 
@@ -136,7 +146,7 @@ def test_clashing_columns_are_kept(spark):
     schema = "doc_id long, text string, source string, copy string, __source string, __text string, __n int, __assign int, `__mean` double"
     docs = spark.createDataFrame([(1, "password=abcdef1 x", None, "mine", "s", "t", 7, 8, 0.5)], schema)
     got = mixing.mix(docs, {}, 1.0).collect()
-    assert all((r["__source"], r["__text"], r["__n"], r["copy"]) == ("s", "t", 7, 0) for r in got[:1])
+    assert all((r["__source"], r["__text"], r["__n"], r["copy"], r["copy_"]) == ("s", "t", 7, "mine", 0) for r in got[:1])
     red = secret_scan.redact(docs)
     assert red.columns == docs.columns and tuple(red.first()) == (1, "[SECRET] x", None, "mine", "s", "t", 7, 8, 0.5)
     assert simhash.keep_first(docs.withColumn("th", F.lit(3)).withColumn("key", F.lit(4))).first()["th"] == 3
@@ -159,3 +169,47 @@ def test_hot_keys_are_joined_whole(spark):
     right = left.groupBy("k").agg(F.count("*").alias("n"), F.min("id").alias("m"))
     got = common.join_hot(left, right, "k", 5038)
     assert got.columns == ["k", "id", "m"] and got.count() == 5038 and got.where("k > 1 and m <> k").count() == 0
+
+
+def brute_masked(text, spans):
+    out, at = "", 0
+    for s, e in sorted(spans):
+        if s >= at:
+            out += text[at:s] + secret_scan.MASK
+        at = max(at, e)
+    return out + text[at:]
+
+
+def test_masks_over_chunks(spark, monkeypatch):
+    monkeypatch.setattr(secret_scan, "CHUNK", 4)
+    rng = random.Random(3)
+    rows = []
+    for i in range(60):
+        n = rng.choice([1, 3, 4, 5, 9, 23])
+        starts = [rng.randrange(190) for _ in range(n)]
+        rows.append((i, "".join(rng.choice("abcé\U0001f600") for _ in range(200)), sorted((s, min(200, s + rng.choice([1, 5, 60]))) for s in starts)))
+    df = spark.createDataFrame(rows, "i int, text string, spans array<struct<s: bigint, e: bigint>>")
+    got = df.select("i", secret_scan.masked(F.col("text"), F.col("spans")).alias("t")).collect()
+    assert {r["i"]: r["t"] for r in got} == {i: brute_masked(t, spans) for i, t, spans in rows}
+
+
+def test_very_long_texts(spark):
+    dotted = "token=abcdefgh1 " + "a." * 1_000_000
+    letters = "token=abcdefgh1 " + "a" * 1_000_000
+    many = "password=abcdef1 x " * 50_000
+    docs = spark.createDataFrame([(1, dotted), (2, letters), (3, many)], "doc_id long, text string")
+    began = time.monotonic()
+    got = {r["doc_id"]: r for r in secret_scan.scan(docs).collect()}
+    assert [got[i]["n_assign"] for i in (1, 2, 3)] == [1, 1, 50_000]
+    kept = {r["doc_id"]: r["text"] for r in secret_scan.redact(docs).collect()}
+    assert kept[1] == "[SECRET] " + "a." * 1_000_000 and kept[3] == "[SECRET] x " * 50_000
+    assert time.monotonic() - began < 120
+
+
+@pytest.mark.parametrize(
+    ("text", "found"),
+    [("https://vault.corp.internal", True), ("ldap://h:389/x", True), ("db.corp.internal", True), ("db.local:5432", True), ("example.io", True), ("end.Next", False), ("e.g", False), ("word.word", False), ("10.0.0.1", False), ("a..b.c", False), ("12:30/45", False)],
+)
+def test_endpoints(spark, text, found):
+    got = secret_scan.scan(spark.createDataFrame([(1, f"token=abcdefgh1 ({text}).")], "doc_id long, text string")).first()["spans"]
+    assert ("endpoint" in got) == found

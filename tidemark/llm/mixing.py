@@ -2,17 +2,17 @@
 
 Source s is to have the share w_s of ``budget`` characters. With c_s characters it is repeated at the mean rate
 budget * w_s / c_s, and each document gets a Poisson number of copies with that mean: its seeded hash, read as a number
-u in [0, 1), is inverted through the distribution's cumulative sums. So a document's copies depend on its id, the seed and
-its source's rate alone: any task that is run again decides the same, and no state is kept for the whole corpus.
+u in [0, 1), is inverted through the distribution's cumulative sums. So a document's copies depend on its id, its text, the
+seed and its source's rate alone: any task that is run again decides the same, and no state is kept for the whole corpus.
 
-Copies are shuffled globally by a hash of id and copy: the hash is uniform, so hash partitions sorted inside by it are a
+Copies are shuffled globally by a hash of id, text and copy: the hash is uniform, so hash partitions sorted inside by it are a
 random order of the whole, without the sampling pass of a range sort, and a hot document or source is spread over all
 partitions.
 
 Defined results: a null source is a source of its own (named ``null_name``); a null text counts as empty; sources whose
-weight is 0, or which have no characters, get no copies; a null doc_id hashes as the empty string; repeated rows get
-equal counts each; an empty table gives an empty result; all columns of the documents are kept,
-but for columns named copy or shuffle_key, whose place the result's own take.
+weight is 0, or which have no characters, get no copies; rows without an id, or that share one, are told apart by their
+texts; rows that repeat id and text get equal counts each; an empty table gives an empty result; all columns of the
+documents are kept, and where one is named copy or shuffle_key, the result's own gets an underscore at its end.
 """
 
 from __future__ import annotations
@@ -20,6 +20,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import unused
+
 SEED = "mix-1"
 #: A table of rates up to this many sources is broadcast (tens of MB at most); a larger one is joined by a salted shuffle.
 BROADCAST_SOURCES, SALTS = 20_000, 32
@@ -66,9 +68,13 @@ def rates(docs: DataFrame, weights: dict[str, float], other: float, budget: floa
     return per.withColumn("__cdf", cumulative(F.col("__mean") / F.col("__parts")))
 
 
-def copies(doc_id: Column, seed: str = SEED) -> Column:
-    """The Poisson count of a row that has the columns of its source's rate."""
-    key = F.coalesce(doc_id.cast("string"), F.lit(""))
+def name(doc_id: Column, text: Column) -> Column:
+    """What the hashes see of a row: its id and its text, so that rows without an id, or that share one, differ."""
+    return F.concat_ws(":", F.coalesce(doc_id.cast("string"), F.lit("")), F.md5(F.coalesce(text, F.lit(""))))
+
+
+def copies(key: Column, seed: str = SEED) -> Column:
+    """The Poisson count of the row of this name, which has the columns of its source's rate."""
 
     def draw(i: Column) -> Column:
         u = uniform(F.lit(seed), i.cast("string"), key)
@@ -90,12 +96,12 @@ def mix(docs: DataFrame, weights: dict[str, float] | None = None, other: float =
     else:
         salted = per.withColumn("__salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
         counted = named.withColumn("__salt", F.pmod(F.xxhash64("doc_id", "text"), F.lit(SALTS)).cast("int")).join(salted, ["__source", "__salt"])
-    n = counted.withColumn("__n", copies(F.col("doc_id"), seed)).where("__n > 0")
-    each = n.withColumn("copy", F.explode(F.sequence(F.lit(0), F.col("__n") - 1)))
-    key = F.md5(F.concat_ws(":", F.lit(seed), F.lit("order"), F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.col("copy").cast("string")))
-    own = [c for c in docs.columns if c.lower() not in ("copy", "shuffle_key")]
-    dealt = each.select(*(F.col("__doc")[c].alias(c) for c in own), "copy", key.alias("shuffle_key"))
-    return dealt.repartition("shuffle_key").sortWithinPartitions("shuffle_key")
+    n = counted.withColumn("__name", name(F.col("doc_id"), F.col("text"))).withColumn("__n", copies(F.col("__name"), seed)).where("__n > 0")
+    each = n.withColumn("__copy", F.explode(F.sequence(F.lit(0), F.col("__n") - 1)))
+    key = F.md5(F.concat_ws(":", F.lit(seed), F.lit("order"), F.col("__name"), F.col("__copy").cast("string")))
+    copy, order = unused(docs, "copy"), unused(docs, "shuffle_key")
+    dealt = each.select(*(F.col("__doc")[c].alias(c) for c in docs.columns), F.col("__copy").alias(copy), key.alias(order))
+    return dealt.repartition(order).sortWithinPartitions(order)
 
 
 ORACLE_SQL = f"""
@@ -111,7 +117,7 @@ cdf AS (
     SELECT source, mean, k + 1, p * mean / (k + 1), c + p * mean / (k + 1) FROM cdf WHERE k < 200),
 tables AS (SELECT source, mean, list(c ORDER BY k) AS cs FROM cdf GROUP BY ALL),
 counted AS (
-    SELECT d.*, t.mean, len(list_filter(t.cs, lambda c: c <= ('0x' || substr(md5('{SEED}:0:' || coalesce(d.doc_id::VARCHAR, '')), 1, 13))::BIGINT::DOUBLE / {1 << 52}::DOUBLE)) AS n
+    SELECT d.*, t.mean, len(list_filter(t.cs, lambda c: c <= ('0x' || substr(md5('{SEED}:0:' || coalesce(d.doc_id::VARCHAR, '') || ':' || md5(coalesce(d.text, ''))), 1, 13))::BIGINT::DOUBLE / {1 << 52}::DOUBLE)) AS n
     FROM documents d JOIN tables t ON t.source = coalesce(d.source, '(none)'))
-SELECT doc_id, text, lang, source, n_chars, copy::INTEGER AS copy, md5('{SEED}:order:' || coalesce(doc_id::VARCHAR, '') || ':' || copy) AS shuffle_key
+SELECT doc_id, text, lang, source, n_chars, copy::INTEGER AS copy, md5('{SEED}:order:' || coalesce(doc_id::VARCHAR, '') || ':' || md5(coalesce(text, '')) || ':' || copy) AS shuffle_key
 FROM (SELECT *, unnest(range(n)) AS copy FROM counted WHERE mean > 0 AND n > 0)"""

@@ -5,7 +5,7 @@ carry no positions in SQL, so a text is split at a pattern and the lengths of th
 summed up: one pass for the pieces and one for the matches, both linear.
 
 Two kinds of weak candidates are too common to report alone: 40-character base64 strings (what the secret half of an
-access key looks like) and endpoints (URLs and host names). They are joined by position with their complements: a weak
+access key looks like) and endpoints (URLs and host names, see endpoint()). They are joined by position with their complements: a weak
 candidate is reported only when its interval, widened by SCOPE code points, meets the interval of an access identifier,
 or of an assigned secret for an endpoint, of the same document. The join runs inside a row, between the arrays of a
 text's parts, so no text and no pair is shuffled.
@@ -37,7 +37,19 @@ HEX = "[0-9a-f]+"
 # runs as long as needed: the same spans as a run of any length that is then measured
 ACCESS_LONG, HEX_LONG = "AKIA[A-Z0-9]{16,}", "[0-9a-f]{24,}"
 KEY40 = "[A-Za-z0-9/+]{40,}"
-ENDPOINT = "(?:https?://|\\b)[A-Za-z0-9-]+(?:\\.[A-Za-z0-9-]+)*\\.(?:com|net|org|io)\\b"
+# one class without a repeated group, so that no text is too long for it; endpoint() decides which of its runs count
+ENDPOINT = "[A-Za-z0-9][A-Za-z0-9+.:/_-]*[A-Za-z0-9/]"
+URL, HOST = "://[A-Za-z0-9]", "^([a-z0-9-]+[a-z0-9.-]*)(:[0-9]+)?(/|$)"
+DOMAINS = ("com", "net", "org", "io")
+
+
+def endpoint(m: Column) -> Column:
+    """Whether a run is an endpoint: a URL of any scheme and host, or, in small letters, a host name with two dots, with a port,
+    or with one dot before one of DOMAINS."""
+    host, port = F.regexp_extract(m, HOST, 1), F.regexp_extract(m, HOST, 2)
+    labels = F.regexp_count(host, F.lit("\\."))
+    named = host.rlike("[a-z][a-z0-9-]*[a-z0-9]$") & (labels > 0) & ~host.contains("..")
+    return m.rlike(URL) | (named & ((labels > 1) | (port != "") | F.substring_index(host, ".", -1).isin(*DOMAINS)))
 
 
 def spans(text: Column, pattern: str, keep=None) -> Column:
@@ -147,7 +159,7 @@ def find(docs: DataFrame, scope: int = SCOPE) -> DataFrame:
             "__key": spans(F.col("__text"), KEY40, lambda m: (F.length(m) == 40) & m.rlike("[A-Z]") & m.rlike("[a-z]") & m.rlike("[0-9]")),
             "__endpoint": F.when(
                 F.col("__text").rlike(ACCESS_LONG) | F.col("__text").rlike(ASSIGN),
-                spans(F.col("__text"), ENDPOINT),
+                spans(F.col("__text"), ENDPOINT, endpoint),
             ).otherwise(F.expr("cast(array() as array<struct<s: bigint, e: bigint>>)")),
         }
     )
@@ -204,20 +216,45 @@ def scan(docs: DataFrame) -> DataFrame:
     )
 
 
+def masked(text: Column, every: Column) -> Column:
+    """The text with MASK in the place of each interval of a sorted array (of those that overlap: of their union). The text is
+    cut once for CHUNK intervals and each of these parts by its own intervals, so that the work does not grow with the square
+    of their number."""
+    zero = F.lit(0).cast("long")
+    chunks = F.transform(F.sequence(F.lit(0), F.floor((F.size(every) - 1) / CHUNK).cast("int")), lambda i: F.slice(every, i * CHUNK + 1, F.lit(CHUNK)))
+    ends = F.transform(chunks, lambda c: F.array_max(F.transform(c, lambda x: x["e"])))
+    # where each chunk's part of the text begins: behind the last end of all chunks before it
+    begins = F.aggregate(ends, F.array(zero), lambda acc, e: F.concat(acc, F.array(F.greatest(F.element_at(acc, -1), e))))
+
+    def cut(part: Column, at: Column, own: Column) -> Column:
+        start = F.struct(at.alias("at"), F.expr("cast(array() as array<string>)").alias("out"))
+        step = lambda acc, x: F.struct(
+            F.greatest(acc["at"], x["e"]).alias("at"),
+            F.when(x["s"] < acc["at"], acc["out"])
+            .otherwise(F.concat(acc["out"], F.array(F.substring(part, (acc["at"] - at + 1).cast("int"), (x["s"] - acc["at"]).cast("int")), F.lit(MASK))))
+            .alias("out"),
+        )
+        return F.array_join(F.aggregate(own, start, step)["out"], "")
+
+    def piece(own: Column, at: Column, end: Column) -> Column:
+        # a one-element array holds the part, so that it is cut out once
+        part = F.array(F.substring(text, (at + 1).cast("int"), F.greatest(zero, end - at).cast("int")))
+        return F.get(F.transform(part, lambda p: cut(p, at, own)), F.lit(0))
+
+    def whole(b: Column) -> Column:
+        placed = F.zip_with(chunks, F.zip_with(b, ends, lambda x, y: F.struct(x.alias("b"), y.alias("e"))), lambda c, x: F.when(c.isNotNull(), piece(c, x["b"], x["e"])))
+        return F.concat(F.array_join(placed, ""), F.substring(text, (F.element_at(b, -1) + 1).cast("int"), F.length(text)))
+
+    return F.get(F.transform(F.array(begins), whole), F.lit(0))
+
+
 def redact(docs: DataFrame) -> DataFrame:
     """docs, columns unchanged, with every reported span but endpoints replaced by MASK (overlapping spans by one MASK).
     n_chars, if there, is set to the new length of the texts that changed."""
     # the documents travel in one column, so that no name of theirs meets one made here
     found = find(docs.select("text", F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("__doc")))
     every = F.array_sort(F.concat("__assign", "__access", "__hex", "__key"))
-    start = F.struct(F.lit(0).cast("long").alias("at"), F.lit("").alias("out"))
-    step = lambda acc, x: F.struct(
-        F.greatest(acc["at"], x["e"]).alias("at"),
-        F.when(x["s"] < acc["at"], acc["out"])
-        .otherwise(F.concat(acc["out"], F.substring(F.col("__text"), (acc["at"] + 1).cast("int"), (x["s"] - acc["at"]).cast("int")), F.lit(MASK)))
-        .alias("out"),
-    )
-    done = F.aggregate(every, start, step, lambda acc: F.concat(acc["out"], F.substring(F.col("__text"), (acc["at"] + 1).cast("int"), F.length("__text"))))
+    done = masked(F.col("__text"), every)
     found = found.withColumn("__new", F.when(F.size(every) > 0, done))
     own = {c: F.col("__doc")[c] for c in docs.columns}
     changed = {"text": F.coalesce("__new", "text")} | ({"n_chars": F.coalesce(F.length("__new").cast("long"), own["n_chars"])} if "n_chars" in own else {})
@@ -236,13 +273,18 @@ def _duck_spans(name: str, pattern: str, ok: str = "true", when: str = "true") -
     WINDOW w AS (PARTITION BY rid ORDER BY i)) WHERE {ok}"""
 
 
+_DUCK_HOST, _DUCK_DOTS = f"regexp_extract(m, '{HOST}', 1)", f"len(regexp_extract_all(regexp_extract(m, '{HOST}', 1), '[.]'))"
+_DUCK_ENDPOINT = f"""(regexp_matches(m, '{URL}') OR (regexp_matches({_DUCK_HOST}, '[a-z][a-z0-9-]*[a-z0-9]$') AND {_DUCK_DOTS} > 0 AND NOT contains({_DUCK_HOST}, '..')
+    AND ({_DUCK_DOTS} > 1 OR regexp_extract(m, '{HOST}', 2) <> '' OR list_contains({list(DOMAINS)}, string_split({_DUCK_HOST}, '.')[-1]))))"""
+
+
 ORACLE_SQL = f"""
 WITH docs AS (SELECT row_number() OVER () AS rid, doc_id, coalesce(text, '') AS text FROM documents),
 assign AS ({_duck_spans("assign", ASSIGN, "length(regexp_extract(m, '" + ASSIGN.replace("'", "''") + "', 2)) >= 6")}),
 access AS ({_duck_spans("access", ACCESS, "len >= 20")}),
 hexes AS ({_duck_spans("hex", HEX, "len >= 24", "regexp_matches(text, '[0-9a-f]{24,}')")}),
 key40 AS ({_duck_spans("key40", KEY40, "len = 40 AND regexp_matches(m, '[A-Z]') AND regexp_matches(m, '[a-z]') AND regexp_matches(m, '[0-9]')")}),
-ends AS ({_duck_spans("endpoint", ENDPOINT, when="regexp_matches(text, '" + ACCESS_LONG + "') OR regexp_matches(text, '" + ASSIGN.replace("'", "''") + "')")}),
+ends AS ({_duck_spans("endpoint", ENDPOINT, _DUCK_ENDPOINT, when="regexp_matches(text, '" + ACCESS_LONG + "') OR regexp_matches(text, '" + ASSIGN.replace("'", "''") + "')")}),
 base AS (SELECT 0 AS o, * FROM assign UNION ALL SELECT 1, * FROM access UNION ALL SELECT 2, * FROM hexes),
 added AS (
     SELECT 3 AS o, w.* FROM key40 w
