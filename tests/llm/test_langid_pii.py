@@ -2,9 +2,12 @@ import hashlib
 import math
 import random
 import re
+import time
+import tracemalloc
 from collections import Counter
 
 import numpy as np
+import pytest
 from tidemark.llm import langid, pii
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long, score int"
@@ -204,3 +207,46 @@ def test_samples_are_bounded(spark):
     assert len(got) == 40 and {r["doc_id"]: r["text"] for r in got}[3] == "again"
     few = common.fit_sample(docs, ids, ["lang"], chars=1000).collect()
     assert 5 < len(few) < 12 and sum(len(r["text"]) for r in few) <= 1000 and few != got
+
+
+def test_linear_patterns_equal_the_plain_ones():
+    rng = random.Random(12)
+    for _ in range(20_000):
+        t = "".join(rng.choice(rng.choice(["a@b.c_d", "1.2@", "ab.@-_é 9"])) for _ in range(rng.randrange(40)))
+        assert pii.emails(t) == [m.span() for m in pii.EMAIL.finditer(t)]
+        assert [m.span() for m in pii.IP_RUN.finditer(t)] == [m.span() for m in pii.IP.finditer(t)]
+
+
+@pytest.mark.parametrize("text", ["1" * 1_000_000, "a" * 1_000_000 + " x@", "a" * 500_000 + "@" * 500_000, "a@b." * 250_000, "1.2.3." * 160_000, "+1" + " " * 1_000_000])
+def test_very_long_runs_take_seconds(text):
+    began = time.monotonic()
+    pii.base_spans(text)
+    assert time.monotonic() - began < 5
+
+
+def test_a_long_zone_is_streamed():
+    zone = "12 34 " * 5_000
+    tracemalloc.start()
+    pii.Field().decode(zone)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 3e6  # 20,000 tokens
+
+
+def test_added_spans_touch_no_base_span():
+    class Every(pii.Field):
+        def decode(self, zone):
+            return [(3, i, i + 3) for i in range(0, len(zone) - 3, 3)]
+
+    rng = random.Random(2)
+    for _ in range(200):
+        text = " ".join(rng.choice(["a@b.cd", "1.2.3.4", "+1 555 123 4567", "x", "4111 1111 1111 1111", "7"]) for _ in range(12))
+        base, added = pii.spans_of(text, Every())
+        flat = [s for spans in base for s in spans]
+        want = [(3, a + s, a + s + 3) for s, e in pii.zones(text) for _, a, _ in Every().decode(text[s:e])]
+        assert added == [x for x in want if not any(p < x[2] and q > x[1] for p, q in flat)]
+
+
+def test_letters_are_those_of_category_l(spark):
+    rows = [(1, "\u00b2\u00bd \u2167 \u2460"), (2, None), (3, "12 _ !"), (4, "the house and the garden \u00b2")]
+    assert [langid.LETTERS.findall(t or "") for _, t in rows] == [[], [], [], ["the", "house", "and", "the", "garden"]]

@@ -21,7 +21,11 @@ from __future__ import annotations
 
 import hashlib
 import re
+from array import array
+from bisect import bisect_left
+from collections import deque
 from dataclasses import dataclass, field
+from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
@@ -42,6 +46,10 @@ IP = re.compile(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)")
 CARD = re.compile(r"[0-9]([\x20-]?[0-9])+")
 PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 TRIGGER = re.compile(r"[0-9@]|\((?:at|AT)\)|\[(?:at|AT)\]")
+# the same matches of e-mail and ip in linear time: what follows each @, and a run of digits from its start without going back
+LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
+DOMAIN = re.compile(r"@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++")
+IP_RUN = re.compile(r"(?<![0-9])[0-9]++(?:\.[0-9]++){3}")
 BLANK = re.compile(r"\s")
 AT = re.compile(r"@|\((?:at|AT)\)|\[(?:at|AT)\]")
 TOKEN = re.compile(r"[A-Za-z0-9]+|\s|[^\sA-Za-z0-9]")
@@ -62,12 +70,27 @@ def digits_of(s: str) -> str:
     return "".join(c for c in s if "0" <= c <= "9")
 
 
+def emails(text: str) -> list[tuple[int, int]]:
+    """The matches of EMAIL: from each @ back over what may stand before it, no further than the match before."""
+    out, last, at = [], 0, text.find("@")
+    while at >= 0:
+        start = at
+        while start > last and text[start - 1] in LOCAL:
+            start -= 1
+        m = DOMAIN.match(text, at) if start < at else None
+        if m:
+            last = m.end()
+            out.append((start, last))
+        at = text.find("@", at + 1)
+    return out
+
+
 def base_spans(text: str) -> list[list[tuple[int, int]]]:
     """Spans of each kind, in the order of KINDS."""
     out: list[list[tuple[int, int]]] = [[], [], [], []]
     if "@" in text:
-        out[0] = [m.span() for m in EMAIL.finditer(text)]
-    out[1] = [m.span() for m in IP.finditer(text) if all(map(octet, m[0].split(".")))]
+        out[0] = emails(text)
+    out[1] = [m.span() for m in IP_RUN.finditer(text) if all(map(octet, m[0].split(".")))]
     for m in CARD.finditer(text):
         if m.end() - m.start() >= 16:
             d = digits_of(m[0])
@@ -159,24 +182,30 @@ class Field:
 
     def decode(self, zone: str) -> list[tuple[int, int, int]]:
         """(kind, start, end) of the best segmentation; a tie goes to fewer entities, then the first kind."""
-        n, segs = segments(zone)
-        if not segs:
-            return []
-        by_end: dict[int, list] = {}
-        for s in segs:
-            by_end.setdefault(s[1], []).append(s)
-        best, back = [0.0] * (n + 1), [None] * (n + 1)
-        for j in range(1, n + 1):
-            best[j] = best[j - 1]
-            for i, _, start, end, feats in by_end.get(j, ()):
-                sc = self.scores(feats)
-                k = max(range(len(KINDS)), key=lambda y: (sc[y], -y))
-                if best[i] + sc[k] > best[j]:
-                    best[j], back[j] = best[i] + sc[k], (i, k, start, end)
-        out, j = [], n
+        # candidates come by their end and only the last MAX_TOKENS tokens are held, so that a long zone costs a few numbers a token
+        best, back = array("d", [0.0]), [array("i") for _ in range(4)]
+        recent: deque = deque(maxlen=MAX_TOKENS)
+        for j, m in enumerate(TOKEN.finditer(zone), 1):
+            (a, end), top, how = m.span(), best[-1], (-1, 0, 0, 0)
+            last = zone[a]
+            if last.isspace() and last != " ":
+                recent.clear()
+            else:
+                recent.append((j - 1, a))
+                if last.isalnum() or last == ")":
+                    for i, start in recent:
+                        if end - start > 4 and (zone[start].isalnum() or zone[start] in "+(") and TRIGGER.search(zone, start, end):
+                            sc = self.scores(features(zone, start, end))
+                            k = max(range(len(KINDS)), key=lambda y: (sc[y], -y))
+                            if best[i] + sc[k] > top:
+                                top, how = best[i] + sc[k], (i, k, start, end)
+            best.append(top)
+            for column, x in zip(back, how):
+                column.append(x)
+        out, j = [], len(best) - 1
         while j > 0:
-            if back[j]:
-                i, k, start, end = back[j]
+            i, k, start, end = (column[j - 1] for column in back)
+            if i >= 0:
                 out.append((k, start, end))
                 j = i
             else:
@@ -284,11 +313,12 @@ def spans_of(text: str, model: Field) -> tuple[list[list[tuple[int, int]]], list
     """Base spans by kind, and the added (kind, start, end)."""
     base = base_spans(text)
     taken, added = sorted(s for spans in base for s in spans), []
+    starts, ends = [a for a, _ in taken], list(accumulate((b for _, b in taken), max))  # the furthest end so far
     for start, end in zones(text):
-        inside = [s for s in taken if s[0] < end and s[1] > start] if taken else []
         for k, a, b in model.decode(text[start:end]):
             a, b = a + start, b + start
-            if not any(x < b and y > a for x, y in inside):
+            before = bisect_left(starts, b)  # base spans that start before b
+            if not before or ends[before - 1] <= a:
                 added.append((k, a, b))
     return base, added
 
