@@ -40,7 +40,9 @@ from pyspark.sql import functions as F
 
 VOCABULARY = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
 #: Pieces and pairs that a task remembers, the longest piece (in characters) that is, and the pieces held at a time.
-PIECES, PAIRS, PIECE, HELD = 400_000, 1_000_000, 48, 200_000
+PIECES, PAIRS, PIECE, HELD = 150_000, 300_000, 48, 200_000
+#: Rows whose texts, ids and bytes a task holds at a time.
+ROWS = 1000
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -189,15 +191,19 @@ class Codec:
         return b"".join(out)
 
     def decode(self, ids: bytes) -> bytes:
-        if len(ids) % 4:
-            raise ValueError("the ids are cut")
-        try:
-            return b"".join(map(self.bytes.__getitem__, np.frombuffer(ids, "<u4").tolist()))
-        except KeyError as e:
-            raise ValueError(f"unknown id {e}") from None
+        return unpack(self.bytes, ids)
+
+
+def unpack(tokens: dict[int, bytes], ids: bytes) -> bytes:
+    """The bytes of packed ids."""
+    if len(ids) % 4:
+        raise ValueError("the ids are cut")
+    try:
+        return b"".join(map(tokens.__getitem__, np.frombuffer(ids, "<u4").tolist()))
+    except KeyError as e:
+        raise ValueError(f"unknown id {e}") from None
 
 
-@lru_cache(1)
 def _matched(pattern: str) -> frozenset[str]:
     """Characters that tiktoken's regular expressions take for a class: those of all code points that it does not skip."""
     single = tiktoken.Encoding("bytes", pat_str=pattern, mergeable_ranks={bytes([b]): b for b in range(256)}, special_tokens={})
@@ -232,6 +238,12 @@ def _patterns(pattern: str):
     return regex.compile(pattern), flags, regex.compile(own)
 
 
+@lru_cache(2)
+def token_bytes(path: str = VOCABULARY) -> dict[int, bytes]:
+    """Token bytes by id: all that decoding needs."""
+    return {r: t for t, r in read_ranks(path).items()}
+
+
 @lru_cache(2)
 def codec(path: str = VOCABULARY, pattern: str = public_tokenizers.PATTERN) -> Codec:
     """One codec a process: tasks of the same worker share it."""
@@ -243,7 +255,7 @@ def encode(docs: DataFrame, path: str = VOCABULARY, pattern: str = public_tokeni
 
     def run(batches):
         own = codec(path, pattern)
-        for b in batches:
+        for b in (b.slice(i, ROWS) for b in batches for i in range(0, b.num_rows, ROWS)):
             ids = [own.encode(str(t, "utf-8", "replace")) if t else b"" for t in b.column(1).to_pylist()]
             yield pa.record_batch([b.column(0), pa.array([len(i) // 4 for i in ids], pa.int64()), pa.array(ids, pa.binary())], names=["doc_id", "n_tokens", "ids"])
 
@@ -255,9 +267,9 @@ def decode(tokens: DataFrame, path: str = VOCABULARY) -> DataFrame:
     """(doc_id, n_tokens, ids, decoded binary): the bytes of each row's ids."""
 
     def run(batches):
-        own = codec(path)
-        for b in batches:
-            made = pa.array([own.decode(i) if i else b"" for i in b.column(2).to_pylist()], pa.binary())
+        tokens = token_bytes(path)
+        for b in (b.slice(i, ROWS) for b in batches for i in range(0, b.num_rows, ROWS)):
+            made = pa.array([unpack(tokens, i) if i else b"" for i in b.column(2).to_pylist()], pa.binary())
             yield pa.record_batch([*b.columns, made], names=["doc_id", "n_tokens", "ids", "decoded"])
 
     kind = tokens.schema["doc_id"].dataType.simpleString()
