@@ -8,9 +8,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.functions.shared import stage
+from tidemark.functions.shared import discard, stage, version
 
-_BARS: dict[tuple[str, str], str] = {}
+#: The staged bars of each application and table, with the version of the table that they were made from.
+_BARS: dict[tuple[str, str], tuple[tuple, str]] = {}
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -45,14 +46,17 @@ def _ohlc(lines: DataFrame, session) -> DataFrame:
 def bars(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(symbol, session, open, high, low, close, volume, amount): a session is a month of a supplier's lines.
 
-    Summed up once a session and written to the shared folder: a query refers to the bars several times, for the calendar,
-    the factors and the execution prices, with different columns each, so Spark would else scan the lines each time. Later
-    changes of the lines in the same session are not seen.
+    Summed up once for each version of the table and written to the shared folder: a query refers to the bars several times,
+    for the calendar, the factors and the execution prices, with different columns each, so Spark would else scan the lines
+    each time. When the table's files have changed, the bars are made anew and those of before are removed.
     """
-    key = (spark.sparkContext.applicationId, sf_dir)
-    if key not in _BARS:
-        _BARS[key] = stage(_ohlc(table(spark, sf_dir, "lineitem"), F.trunc("l_shipdate", "month")), "bars")
-    return spark.read.parquet(_BARS[key])
+    key, now = (spark.sparkContext.applicationId, sf_dir), version(spark, f"{sf_dir}/lineitem.parquet")
+    if key not in _BARS or _BARS[key][0] != now:
+        path = stage(_ohlc(table(spark, sf_dir, "lineitem"), F.trunc("l_shipdate", "month")), "bars")
+        if key in _BARS:
+            discard(spark, _BARS[key][1])
+        _BARS[key] = now, path
+    return spark.read.parquet(_BARS[key][1])
 
 
 def daily_bars(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -36,6 +36,14 @@ def staged(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(stage(df, name))
 
 
+def version(spark: SparkSession, path: str) -> tuple:
+    """What tells a table's files from those of before: length, number and time of the last change."""
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    fs = at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    all_, own = fs.getContentSummary(at), fs.getFileStatus(at)
+    return all_.getLength(), all_.getFileCount(), own.getModificationTime()
+
+
 def discard(spark: SparkSession, path: str) -> None:
     """Removes a staged table that nothing reads any more."""
     at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)

@@ -2,29 +2,39 @@
 
 from __future__ import annotations
 
+import uuid
+
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from tidemark import adapters as a
+from tidemark.functions.shared import shared_dir
+from tidemark.sources import pages
 from tidemark.streaming import jobs
 
 from .registry import TICKS, query
 
 
+STORE = "spark.sql.streaming.stateStore.providerClass"
+#: The events' files are in no order of time, so their whole span is allowed for; files a batch.
+LATE, FILES = "60 days", 3
+
+
 def stream(spark, sf):
-    e = jobs.read(spark, sf, "events.parquet")
+    e = jobs.read(spark, sf, "events.parquet", FILES)
     return e.select("event_id", F.col("ts").cast("timestamp").alias("ts"), a.symbol("user_id").alias("symbol"), "event_type", "value")
 
 
 @query("t2_minute_breadth", "minute event_type n", "total highest", f"WITH {TICKS} SELECT date_trunc('minute', ts)::VARCHAR AS minute, event_type, count(*) AS n, sum(value) AS total, max(value) AS highest FROM ticks GROUP BY 1, 2")
 def t2(spark, sf):
-    out = jobs.drain(jobs.minute_breadth(stream(spark, sf)), "update", ["minute", "event_type"])
+    out = jobs.drain(jobs.minute_breadth(stream(spark, sf), LATE), "update", ["minute", "event_type"])
     return out.withColumn("minute", F.date_format("minute", "yyyy-MM-dd HH:mm:ss"))
 
 
 @query("t4_unique_events", "symbol n", "total", f"WITH {TICKS} SELECT symbol, count(*) AS n, sum(value) AS total FROM ticks GROUP BY 1")
 def t4(spark, sf):
     twice = stream(spark, sf).withColumn("copy", F.explode(F.array(F.lit(0), F.lit(1))))
-    out = jobs.drain(jobs.unique_events(twice, "event_id").drop("copy"))
+    out = jobs.drain(jobs.unique_events(twice, "event_id", LATE).drop("copy"))
     return out.groupBy("symbol").agg(F.count("*").alias("n"), F.sum("value").alias("total"))
 
 
@@ -40,11 +50,15 @@ def t9(spark, sf):
 )
 def t7(spark, sf):
     ref = F.concat(F.date_format("ts", "yyyyMMddHHmmss"), F.lpad(F.col("event_id").cast("string"), 12, "0"))
-    spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    own = spark.conf.get(STORE, None)
+    spark.conf.set(STORE, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
     try:
         return jobs.drain(jobs.transitions(stream(spark, sf).select("symbol", F.col("event_type").alias("state"), ref.alias("ref"))))
     finally:
-        spark.conf.unset("spark.sql.streaming.stateStore.providerClass")
+        if own is None:
+            spark.conf.unset(STORE)
+        else:
+            spark.conf.set(STORE, own)
 
 
 @query(
@@ -52,8 +66,40 @@ def t7(spark, sf):
     f"""WITH {TICKS}, g AS (SELECT symbol, ts, (ts - lag(ts) OVER (PARTITION BY symbol ORDER BY ts) >= INTERVAL 12 HOUR)::INT AS cut FROM ticks) SELECT symbol, sum(coalesce(cut, 0))::BIGINT + 1 AS sessions, count(*) AS n FROM g GROUP BY 1""",
 )
 def t8(spark, sf):
-    t = a.ticks(spark, sf).withColumn("ts", F.col("ts").cast("timestamp"))
-    return jobs.gap_sessions(t, "12 hours").groupBy("symbol").agg(F.count("*").alias("sessions"), F.sum("n").alias("n"))
+    t = stream(spark, sf).select("symbol", "ts")
+    base = f"{shared_dir(spark)}/sessions-{uuid.uuid4().hex}"
+    sessions = jobs.gap_sessions(jobs.with_heartbeats(t, f"{base}/beats"), "12 hours", LATE)
+    jobs.run(sessions, base)
+    last = a.ticks(spark, sf).agg((F.max("ts") + F.expr("interval 90 days")).alias("at")).first()["at"]
+    if last is not None:
+        jobs.beat(spark, t.schema, f"{base}/beats", "ts", last)  # the feed is quiet: its last sessions are closed
+        jobs.run(sessions, base)
+    out = jobs.written(spark, sessions.schema, base).where("symbol is not null")
+    return out.groupBy("symbol").agg(F.count("*").alias("sessions"), F.sum("n").alias("n"))
+
+
+FEED = "source string, column string, page long, event_id long, value double"
+#: Pages of a column are its hours with events; runs read five of each. Run 2 fails; run 3 gets no column of clicks; run 4 gets
+#: all that is left.
+LIMIT = 5
+
+
+@query(
+    "t3_checkpointed_pages", "source feed run pages n", "total",
+    f"""WITH {TICKS}, p AS (SELECT event_type AS source, 'c' || symbol::INT % 3 AS feed, dense_rank() OVER (PARTITION BY event_type, symbol::INT % 3 ORDER BY date_trunc('hour', ts)) - 1 AS page, value FROM ticks)
+    SELECT source, feed, CASE WHEN page < {LIMIT} THEN 1 WHEN page < {2 * LIMIT} AND source <> 'click' THEN 3 ELSE 4 END::BIGINT AS run, count(DISTINCT page) AS pages, count(*) AS n, sum(value) AS total FROM p GROUP BY ALL""",
+)
+def t3(spark, sf):
+    t = a.ticks(spark, sf).withColumn("column", F.concat(F.lit("c"), (F.col("symbol").cast("int") % 3).cast("string"))).withColumnRenamed("event_type", "source")
+    hours = t.select("source", "column", F.date_trunc("hour", "ts").alias("hour")).distinct()
+    numbered = hours.withColumn("page", F.row_number().over(Window.partitionBy("source", "column").orderBy("hour")) - F.lit(1).cast("long"))  # the hours of a column
+    rows = t.withColumn("hour", F.date_trunc("hour", "ts")).join(numbered, ["source", "column", "hour"]).select("source", "column", "page", "event_id", "value")
+    base = f"{shared_dir(spark)}/pages-{uuid.uuid4().hex}"
+    pages.write_pages(rows, f"{base}/feed")
+    for run, limit, whole in ((1, LIMIT, lambda s, c: True), (2, LIMIT, lambda s, c: False), (3, LIMIT, lambda s, c: s != "click"), (4, 1 << 40, lambda s, c: True)):
+        pages.poll(spark, f"{base}/feed", FEED, base, run, limit, whole)
+    got = pages.accepted(spark, FEED, base)
+    return got.groupBy("source", F.col("column").alias("feed"), "run").agg(F.countDistinct("page").alias("pages"), F.count("*").alias("n"), F.sum("value").alias("total"))
 
 
 @query(

@@ -16,12 +16,16 @@ from pyspark.sql.types import LongType, StringType, StructField, StructType
 
 from tidemark.functions.shared import shared_dir
 
+#: Files that one micro-batch reads, which bounds its size whatever the backlog.
+FILES = 64
 
-def read(spark: SparkSession, path: str, pattern: str) -> DataFrame:
-    """A table of a folder, one file or a folder of files, as a stream with the schema of what is there now. All files are
-    one batch: files need not be in the order of time, and a watermark or a state passes over what a later batch brings."""
+
+def read(spark: SparkSession, path: str, pattern: str, files: int = FILES) -> DataFrame:
+    """A table of a folder, one file or a folder of files, as a stream with the schema of what is there now, `files` of them a
+    batch. Files may come in any order of time as long as the watermark of what follows allows for it."""
     schema = spark.read.parquet(f"{path}/{pattern}").schema
-    return spark.readStream.schema(schema).option("recursiveFileLookup", "true").parquet(f"{path}/{pattern}")
+    options = {"recursiveFileLookup": "true", "maxFilesPerTrigger": str(files)}
+    return spark.readStream.schema(schema).options(**options).parquet(f"{path}/{pattern}")
 
 
 def minute_breadth(ticks: DataFrame, late: str = "90 seconds") -> DataFrame:
@@ -37,7 +41,8 @@ def unique_events(ticks: DataFrame, key: str, late: str = "30 minutes") -> DataF
 
 
 def gap_sessions(ticks: DataFrame, gap: str, late: str = "1 hour") -> DataFrame:
-    """(symbol, started, ended, n): sessions that end after a gap without events."""
+    """(symbol, started, ended, n): sessions that end after a gap without events; a session is written when the watermark has
+    passed its end, so the last ones wait for later events or for a heartbeat."""
     g = ticks.withWatermark("ts", late).groupBy(F.session_window("ts", gap), "symbol").agg(F.count("*").alias("n"))
     return g.select("symbol", F.col("session_window.start").alias("started"), F.col("session_window.end").alias("ended"), "n")
 
@@ -70,6 +75,20 @@ def transitions(events: DataFrame) -> DataFrame:
     return events.groupBy("symbol").transformWithStateInPandas(StateMachine(), "symbol string, before string, after string, ref string", "Append", "None")
 
 
+def with_heartbeats(ticks: DataFrame, path: str) -> DataFrame:
+    """ticks and the rows of a folder of heartbeats, which move the watermark on where a feed has gone quiet. Heartbeats have a
+    time and nothing else; what is made of them has a null key."""
+    spark = ticks.sparkSession
+    spark.createDataFrame([], ticks.schema).write.mode("append").parquet(path)
+    beats = spark.readStream.schema(ticks.schema).parquet(path)
+    return ticks.unionByName(beats)
+
+
+def beat(spark: SparkSession, schema: StructType, path: str, column: str, at) -> None:
+    """Writes a heartbeat of a time."""
+    spark.range(1).select(*(F.lit(at if f.name == column else None).cast(f.dataType).alias(f.name) for f in schema)).write.mode("append").parquet(path)
+
+
 def drain(df: DataFrame, mode: str = "append", keys: list[str] | None = None) -> DataFrame:
     """Run a stream over all that its source has now and return what it has written."""
     base = f"{shared_dir(df.sparkSession)}/stream-{uuid.uuid4().hex}"
