@@ -64,6 +64,8 @@ def test_round_trip_of_a_table(spark, library):
         want.append((-1 if i is None else i, len(packed) // 4, hashlib.sha256(packed).hexdigest(), hashlib.sha256((t or "").encode()).hexdigest()))
     assert got == sorted(want)
     assert byte_bpe.round_trip(df.limit(0)).count() == 0
+    parts = byte_bpe.decode(byte_bpe.encode(df)).collect()
+    assert sorted((str(r["doc_id"]), r["n_tokens"], bytes(r["decoded"]).decode()) for r in parts) == sorted((str(i), w[1], t or "") for (i, t), w in zip(rows, want))
 
 
 # ---------------------------------------------------------------- centroids

@@ -25,6 +25,7 @@ Unknown ids, or ids cut in the middle, are a ValueError when decoding.
 from __future__ import annotations
 
 import base64
+import re
 import struct
 from functools import lru_cache
 from itertools import islice
@@ -40,7 +41,7 @@ from pyspark.sql import functions as F
 
 VOCABULARY = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
 #: Pieces and pairs that a task remembers, the longest piece (in characters) that is, and the pieces held at a time.
-PIECES, PAIRS, PIECE, HELD = 150_000, 300_000, 48, 200_000
+PIECES, PAIRS, PIECE, HELD = 250_000, 300_000, 48, 200_000
 #: Rows whose texts, ids and bytes a task holds at a time.
 ROWS = 1000
 
@@ -57,16 +58,21 @@ def pack(ids: list[int]) -> bytes:
 
 
 class _Pieces(dict):
-    """Packed ids by piece, made when first asked for; emptied when full."""
+    """Packed ids by piece, made when first asked for. When full it becomes the last generation, from which pieces that are asked
+    for again come back, and starts anew: what is frequent stays, and there are two generations at most."""
 
     def __init__(self, codec: Codec):
         super().__init__()
         self.codec = codec
+        self.last: dict[str, bytes] = {}
 
     def __missing__(self, piece: str) -> bytes:
-        ids = pack(self.codec.piece_ids(piece.encode()))
+        ids = self.last.get(piece)
+        if ids is None:
+            ids = pack(self.codec.piece_ids(piece.encode()))
         if len(piece) <= PIECE:
             if len(self) >= PIECES:
+                self.last = dict(self)
                 self.clear()
             self[piece] = ids
         return ids
@@ -102,6 +108,7 @@ class Codec:
                 if chars[:k] not in self.within:
                     self.within[chars[:k]] = rank if k == len(chars) else self.within[chars[: k - 1]]
         self.split, self.unlike, self.split_like = _patterns(pattern)
+        self.split_ascii = _ascii(pattern)
         self.pieces = _Pieces(self)
 
     def _split(self, token: bytes, rank: int) -> None:
@@ -180,8 +187,11 @@ class Codec:
                 last = out[-1] if out else -1
 
     def encode(self, text: str) -> bytes:
-        plain = text.isascii() or not self.unlike[np.frombuffer(text.encode("utf-32-le", "replace"), "<u4")].any()
-        rx = self.split if plain else self.split_like
+        if text.isascii():
+            rx = self.split_ascii
+        else:
+            plain = not self.unlike[np.frombuffer(text.encode("utf-32-le", "replace"), "<u4")].any()
+            rx = self.split if plain else self.split_like
         get = self.pieces.__getitem__
         if len(text) <= HELD:
             return b"".join(map(get, rx.findall(text)))
@@ -211,6 +221,21 @@ def _matched(pattern: str) -> frozenset[str]:
     return frozenset(single.decode_bytes(single.encode_ordinary(every)).decode())
 
 
+def _ascii(pattern: str):
+    """The pattern for texts of ASCII alone, with the classes spelled out: the standard library is faster on these."""
+    spelled, out, inside, i = {r"\p{L}": "A-Za-z", r"\p{N}": "0-9", r"\s": r"\t-\r\x20", r"\S": r"\x00-\x08\x0e-\x1f\x21-\x7f"}, "", False, 0
+    while i < len(pattern):
+        name = next((k for k in spelled if pattern.startswith(k, i)), None)
+        if name:
+            out += spelled[name] if inside else f"[{spelled[name]}]"
+            i += len(name)
+            continue
+        step = 2 if pattern[i] == "\\" else 1
+        inside = pattern[i] == "[" or (inside and pattern[i] != "]") if step == 1 else inside
+        out, i = out + pattern[i : i + step], i + step
+    return re.compile(out)
+
+
 def _spelled(chars: list[str]) -> str:
     """Sorted characters as the ranges of a class."""
     starts = [c for i, c in enumerate(chars) if i == 0 or ord(chars[i - 1]) + 1 < ord(c)]
@@ -250,33 +275,42 @@ def codec(path: str = VOCABULARY, pattern: str = public_tokenizers.PATTERN) -> C
     return Codec(read_ranks(path), pattern)
 
 
-def encode(docs: DataFrame, path: str = VOCABULARY, pattern: str = public_tokenizers.PATTERN) -> DataFrame:
-    """(doc_id, n_tokens long, ids binary): the ids of each whole text, little-endian unsigned 32-bit integers."""
+def _encoded(batches, path: str, pattern: str):
+    """Batches (doc_id, text as bytes) to (doc_id, n_tokens, ids)."""
+    own = codec(path, pattern)
+    for b in (b.slice(i, ROWS) for b in batches for i in range(0, b.num_rows, ROWS)):
+        ids = [own.encode(str(t, "utf-8", "replace")) if t else b"" for t in b.column(1).to_pylist()]
+        yield pa.record_batch([b.column(0), pa.array([len(i) // 4 for i in ids], pa.int64()), pa.array(ids, pa.binary())], names=["doc_id", "n_tokens", "ids"])
+
+
+def _decoded(batches, path: str):
+    """Batches (doc_id, n_tokens, ids) with the bytes of the ids."""
+    tokens = token_bytes(path)
+    for b in (b.slice(i, ROWS) for b in batches for i in range(0, b.num_rows, ROWS)):
+        made = pa.array([unpack(tokens, i) if i else b"" for i in b.column(2).to_pylist()], pa.binary())
+        yield pa.record_batch([*b.columns, made], names=["doc_id", "n_tokens", "ids", "decoded"])
 
-    def run(batches):
-        own = codec(path, pattern)
-        for b in (b.slice(i, ROWS) for b in batches for i in range(0, b.num_rows, ROWS)):
-            ids = [own.encode(str(t, "utf-8", "replace")) if t else b"" for t in b.column(1).to_pylist()]
-            yield pa.record_batch([b.column(0), pa.array([len(i) // 4 for i in ids], pa.int64()), pa.array(ids, pa.binary())], names=["doc_id", "n_tokens", "ids"])
 
+def _texts(docs: DataFrame) -> tuple[DataFrame, str]:
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", F.col("text").cast("binary").alias("text")).mapInArrow(run, f"doc_id {kind}, n_tokens long, ids binary")
+    return docs.select("doc_id", F.col("text").cast("binary").alias("text")), f"doc_id {kind}, n_tokens long, ids binary"
 
 
-def decode(tokens: DataFrame, path: str = VOCABULARY) -> DataFrame:
-    """(doc_id, n_tokens, ids, decoded binary): the bytes of each row's ids."""
+def encode(docs: DataFrame, path: str = VOCABULARY, pattern: str = public_tokenizers.PATTERN) -> DataFrame:
+    """(doc_id, n_tokens long, ids binary): the ids of each whole text, little-endian unsigned 32-bit integers."""
+    texts, schema = _texts(docs)
+    return texts.mapInArrow(lambda batches: _encoded(batches, path, pattern), schema)
 
-    def run(batches):
-        tokens = token_bytes(path)
-        for b in (b.slice(i, ROWS) for b in batches for i in range(0, b.num_rows, ROWS)):
-            made = pa.array([unpack(tokens, i) if i else b"" for i in b.column(2).to_pylist()], pa.binary())
-            yield pa.record_batch([*b.columns, made], names=["doc_id", "n_tokens", "ids", "decoded"])
 
+def decode(tokens: DataFrame, path: str = VOCABULARY) -> DataFrame:
+    """(doc_id, n_tokens, ids, decoded binary): the bytes of each row's ids."""
     kind = tokens.schema["doc_id"].dataType.simpleString()
-    return tokens.select("doc_id", "n_tokens", "ids").mapInArrow(run, f"doc_id {kind}, n_tokens long, ids binary, decoded binary")
+    return tokens.select("doc_id", "n_tokens", "ids").mapInArrow(lambda batches: _decoded(batches, path), f"doc_id {kind}, n_tokens long, ids binary, decoded binary")
 
 
-def round_trip(docs: DataFrame, path: str = VOCABULARY) -> DataFrame:
-    """(doc_id, n_tokens, ids_sha256, decoded_sha256): digests of the ids of each text, and of the bytes they decode to."""
-    both = decode(encode(docs, path), path)
+def round_trip(docs: DataFrame, path: str = VOCABULARY, pattern: str = public_tokenizers.PATTERN) -> DataFrame:
+    """(doc_id, n_tokens, ids_sha256, decoded_sha256): digests of the ids of each text, and of the bytes they decode to. Encoding
+    and decoding share a worker, so texts cross to it once."""
+    texts, schema = _texts(docs)
+    both = texts.mapInArrow(lambda batches: _decoded(_encoded(batches, path, pattern), path), f"{schema}, decoded binary")
     return both.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
