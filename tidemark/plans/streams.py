@@ -10,12 +10,11 @@ from pyspark.sql import functions as F
 from tidemark import adapters as a
 from tidemark.functions.shared import shared_dir
 from tidemark.sources import pages
-from tidemark.streaming import jobs
+from tidemark.streaming import jobs, states
 
 from .registry import TICKS, query
 
 
-STORE = "spark.sql.streaming.stateStore.providerClass"
 #: The events' files are in no order of time, so their whole span is allowed for; files a batch.
 LATE, FILES = "60 days", 3
 
@@ -49,16 +48,46 @@ def t9(spark, sf):
     f"WITH {TICKS}, e AS (SELECT symbol, strftime(ts, '%Y%m%d%H%M%S') || lpad(event_id::VARCHAR, 12, '0') AS ref, event_type AS after FROM ticks), l AS (SELECT *, lag(after) OVER (PARTITION BY symbol ORDER BY ref) AS before FROM e) SELECT symbol, ref, before, after FROM l WHERE before IS DISTINCT FROM after",
 )
 def t7(spark, sf):
-    ref = F.concat(F.date_format("ts", "yyyyMMddHHmmss"), F.lpad(F.col("event_id").cast("string"), 12, "0"))
-    own = spark.conf.get(STORE, None)
-    spark.conf.set(STORE, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
-    try:
-        return jobs.drain(jobs.transitions(stream(spark, sf).select("symbol", F.col("event_type").alias("state"), ref.alias("ref"))))
-    finally:
-        if own is None:
-            spark.conf.unset(STORE)
-        else:
-            spark.conf.set(STORE, own)
+    t = stream(spark, sf).select("symbol", "ts", F.col("event_type").alias("state"), ref().alias("ref"))
+    return decided(spark, sf, t, states.transitions, "symbol string, before string, after string, ref string")
+
+
+def ref():
+    return F.concat(F.date_format("ts", "yyyyMMddHHmmss"), F.lpad(F.col("event_id").cast("string"), 12, "0"))
+
+
+def decided(spark, sf, t, decide, schema):
+    """What a keyed state decides on all events; they are of any order, so they wait for the heartbeat behind the last one."""
+    base = f"{shared_dir(spark)}/states-{uuid.uuid4().hex}"
+    beating = jobs.with_heartbeats(t, f"{base}/beats")
+    states.run(beating, base, decide, LATE)
+    last = a.ticks(spark, sf).agg((F.max("ts") + F.expr("interval 90 days")).alias("at")).first()["at"]
+    jobs.beat(spark, t.schema, f"{base}/beats", "ts", last)
+    states.run(beating, base, decide, LATE)
+    return states.written(spark, base, schema)
+
+
+#: Two writers propose each event as the next state of its symbol: one has seen the event before it, the other, at every odd
+#: event, only the one before that.
+PROPOSALS = f"""{TICKS}, e AS (SELECT symbol, strftime(ts, '%Y%m%d%H%M%S') || lpad(event_id::VARCHAR, 12, '0') AS ref, event_id, event_type FROM ticks),
+p AS (SELECT symbol, ref, row_number() OVER w AS i, CASE WHEN event_id % 2 = 0 THEN 'a' ELSE 'b' END AS writer, CASE WHEN event_id % 2 = 0 THEN lag(event_type) OVER w ELSE lag(event_type, 2) OVER w END AS expected, event_type AS after
+      FROM e WINDOW w AS (PARTITION BY symbol ORDER BY ref)),
+r AS (SELECT symbol, 0::BIGINT AS i, NULL::VARCHAR AS ref, NULL::VARCHAR AS writer, NULL::VARCHAR AS before, NULL::VARCHAR AS after, NULL::VARCHAR AS name, 0::BIGINT AS version, NULL::VARCHAR AS status FROM (SELECT DISTINCT symbol FROM p)
+      UNION ALL SELECT p.symbol, p.i, p.ref, p.writer, r.name, p.after, CASE WHEN p.after <> r.name IS NOT FALSE AND p.expected IS NOT DISTINCT FROM r.name THEN p.after ELSE r.name END,
+      r.version + (p.after <> r.name IS NOT FALSE AND p.expected IS NOT DISTINCT FROM r.name)::BIGINT,
+      CASE WHEN p.after = r.name THEN 'unchanged' WHEN p.expected IS DISTINCT FROM r.name THEN 'stale' ELSE 'accepted' END FROM r JOIN p ON p.symbol = r.symbol AND p.i = r.i + 1)"""
+
+
+@query("c13_compare_and_set", "symbol ref writer before after version status", "", f"WITH RECURSIVE {PROPOSALS} SELECT * FROM r WHERE i > 0")
+def c13(spark, sf):
+    seen = a.ticks(spark, sf).select("event_id", "symbol", "event_type", ref().alias("ref"))
+    w = Window.partitionBy("symbol").orderBy("ref")
+    expected = F.when(F.col("event_id") % 2 == 0, F.lag("event_type").over(w)).otherwise(F.lag("event_type", 2).over(w))
+    known = seen.select("event_id", expected.alias("expected"))  # what its writer had seen
+    t = stream(spark, sf).join(known, "event_id").select(
+        "symbol", "ts", ref().alias("ref"), F.when(F.col("event_id") % 2 == 0, "a").otherwise("b").alias("writer"), "expected", F.col("event_type").alias("state")
+    )
+    return decided(spark, sf, t, states.compare_and_set, states.DECISION)
 
 
 @query(

@@ -1,4 +1,4 @@
-"""Streaming forms: minute aggregates, de-duplication, idempotent sinks, state machines, gap sessions.
+"""Streaming forms: minute aggregates, de-duplication, idempotent sinks, gap sessions (state machines: states).
 
 Each takes a streaming (or batch) frame of ticks. ``drain`` runs one to the end of its input (available-now trigger) with a
 checkpoint in the shared folder and returns what it has written, so that a stream can be compared with its batch form.
@@ -11,8 +11,7 @@ import uuid
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import StatefulProcessor
-from pyspark.sql.types import LongType, StringType, StructField, StructType
+from pyspark.sql.types import LongType, StructField, StructType
 
 from tidemark.functions.shared import shared_dir
 
@@ -47,34 +46,6 @@ def gap_sessions(ticks: DataFrame, gap: str, late: str = "1 hour") -> DataFrame:
     return g.select("symbol", F.col("session_window.start").alias("started"), F.col("session_window.end").alias("ended"), "n")
 
 
-class StateMachine(StatefulProcessor):
-    """The last state of each key; a change is emitted once, with the reference of what triggered it. An event that repeats
-    the current state, or is older than it, changes nothing, so replays are harmless."""
-
-    def init(self, handle) -> None:
-        self.state = handle.getValueState("state", StructType([StructField("name", StringType()), StructField("ref", StringType())]))
-
-    def handleInputRows(self, key, rows, timerValues):
-        got = pd.concat(list(rows)).sort_values("ref")
-        before, last = self.state.get() if self.state.exists() else (None, "")
-        out = []
-        for name, ref in zip(got["state"], got["ref"]):
-            if ref > last and name != before:
-                out.append((key[0], before, name, ref))
-                before, last = name, ref
-        if out:
-            self.state.update((before, last))
-        yield pd.DataFrame(out, columns=["symbol", "before", "after", "ref"], dtype="object")
-
-    def close(self) -> None:
-        pass
-
-
-def transitions(events: DataFrame) -> DataFrame:
-    """(symbol, before, after, ref) from events (symbol, state, ref); refs are strings that sort by time."""
-    return events.groupBy("symbol").transformWithStateInPandas(StateMachine(), "symbol string, before string, after string, ref string", "Append", "None")
-
-
 def with_heartbeats(ticks: DataFrame, path: str) -> DataFrame:
     """ticks and the rows of a folder of heartbeats, which move the watermark on where a feed has gone quiet. Heartbeats have a
     time and nothing else; what is made of them has a null key."""
