@@ -10,8 +10,9 @@ from tidemark.operators import factors as fo
 from tidemark.operators import metrics as me
 from tidemark.operators import signals as si
 
-from .metrics import NAV, nav
-from .registry import BARS, TICKS, query
+from .factors import NAMES, SCORED, price_factors
+from .metrics import FWD, NAV, nav, with_future
+from .registry import BARS, TICKS, avg_rank, query
 
 def event():
     return F.col("event_id")
@@ -166,36 +167,66 @@ def x71(spark, sf):
     return op.auto_state(proposals, t.where("event_type = 'view'").withColumn("status", status))
 
 
+#: Rank ICs of each price factor and session, and the factors that no window has or may have.
+LIVE, EXCLUDED = ["live_depth"], ["net_inflow_5d"]
+ICS = f"""WITH {SCORED}, fw AS (SELECT symbol, session, lead(px, 1) OVER (PARTITION BY symbol ORDER BY session) / nullif(px, 0) - 1 AS future FROM px),
+lg AS ({" UNION ALL ".join(f"SELECT session, symbol, '{f}' AS factor, z_{f} AS z FROM zs WHERE z_{f} IS NOT NULL" for f in NAMES)}),
+rk AS (SELECT *, {avg_rank("z", "factor, session")} AS ra, {avg_rank("future", "factor, session")} AS rb FROM (SELECT factor, session, z, future FROM lg JOIN fw USING (symbol, session) WHERE future IS NOT NULL)),
+ic AS (SELECT factor, session, CASE WHEN count(*) >= 2 AND stddev_pop(ra) > 1e-12 AND stddev_pop(rb) > 1e-12 THEN covar_pop(ra, rb) / (stddev_pop(ra) * stddev_pop(rb)) END AS ic FROM rk GROUP BY ALL)"""
+
+
 @query(
-    "x48_evaluation_status", "p_partkey status", "",
-    """SELECT p_partkey, CASE p_partkey % 5 WHEN 0 THEN 'live_only' WHEN 1 THEN 'history_excluded_pit_gap' WHEN 2 THEN 'not_evaluated' WHEN 3 THEN 'evaluated_no_sample' ELSE 'measured' END AS status FROM part""",
+    "x48_evaluation_status", "factor year n status", "",
+    f"""{ICS}, g AS (SELECT factor, year FROM (VALUES {", ".join(f"('{f}')" for f in [*NAMES, *LIVE, *EXCLUDED])}) f(factor), (SELECT DISTINCT year(session) AS year FROM bars)),
+    n AS (SELECT factor, year(session) AS year, count(ic) AS n FROM ic GROUP BY ALL)
+    SELECT factor, year, n, CASE WHEN factor = '{LIVE[0]}' THEN 'live_only' WHEN factor = '{EXCLUDED[0]}' THEN 'history_excluded_pit_gap' WHEN n IS NULL THEN 'not_evaluated' WHEN n > 0 THEN 'measured' ELSE 'evaluated_no_sample' END AS status FROM g LEFT JOIN n USING (factor, year)""",
 )
 def x48(spark, sf):
-    k = F.col("p_partkey") % 5
-    d = a.table(spark, sf, "part").select("p_partkey", F.concat(F.lit("f"), k.cast("string")).alias("factor"), F.when(k >= 3, (k - 3) * 7).alias("n"))
-    return d.withColumn("status", op.evaluation_status(F.col("factor"), F.col("n"), ["f0"], ["f1"]))
+    b = a.bars(spark, sf)
+    z = fo.standardise(price_factors(spark, sf), NAMES, ["session"])
+    long = z.select("session", "symbol", F.expr(f"stack({len(NAMES)}, {', '.join(f"'{f}', z_{f}" for f in NAMES)}) as (factor, z)"))
+    ic = me.rank_ic(long.join(me.forward_returns(fo.adjusted(b, a.adjustments(b)), (1,)), ["symbol", "session"]), "z", "future", ["factor", "session"])
+    years = b.select(F.year("session").alias("year")).distinct()
+    grid = years.withColumn("factor", F.explode(F.array(*map(F.lit, [*NAMES, *LIVE, *EXCLUDED]))))
+    d = grid.join(ic.groupBy("factor", F.year("session").alias("year")).agg(F.count("ic").alias("n")), ["factor", "year"], "left")
+    return d.withColumn("status", op.evaluation_status(F.col("factor"), F.col("n"), LIVE, EXCLUDED))
 
 
 @query(
-    "x51_protocol_mismatch", "p_partkey fields", "",
-    """SELECT p_partkey, concat_ws(',', CASE WHEN p_partkey % 2 = 0 THEN 'start' END, CASE WHEN p_partkey % 3 = 0 THEN 'cost' END) AS fields FROM part""",
+    "x51_protocol_mismatch", "horizon first last fields", "",
+    f"""WITH {FWD}, p AS (SELECT horizon, min(session) AS first, max(session) AS last, count(DISTINCT session) AS sessions, count(DISTINCT symbol) AS symbols FROM sf GROUP BY 1)
+    SELECT p.horizon, p.first, p.last, concat_ws(',', CASE WHEN p.first IS DISTINCT FROM o.first THEN 'first' END, CASE WHEN p.last IS DISTINCT FROM o.last THEN 'last' END, CASE WHEN p.sessions <> o.sessions THEN 'sessions' END,
+      CASE WHEN p.symbols <> o.symbols THEN 'symbols' END) AS fields FROM p JOIN p o ON o.horizon = 1""",
 )
 def x51(spark, sf):
-    k = F.col("p_partkey")
-    d = a.table(spark, sf, "part").select(k, k.alias("start"), (k + F.when(k % 2 == 0, 1).otherwise(0)).alias("other_start"), F.lit(None).cast("string").alias("cost"), F.when(k % 3 == 0, "x").alias("other_cost"))
-    return d.withColumn("fields", F.concat_ws(",", op.mismatches(["start", "cost"])))
+    names = ["first", "last", "sessions", "symbols"]
+    f = with_future(spark, sf).where("score is not null and future is not null")
+    runs = f.groupBy("horizon").agg(F.min("session").alias("first"), F.max("session").alias("last"), F.countDistinct("session").alias("sessions"), F.countDistinct("symbol").alias("symbols"))
+    first = runs.where("horizon = 1").select(*(F.col(n).alias(f"other_{n}") for n in names))
+    return runs.crossJoin(F.broadcast(first)).withColumn("fields", F.concat_ws(",", op.mismatches(names)))  # one row
 
 
 @query(
-    "f37_run_verdicts", "p_partkey failed verdict", "",
-    """WITH d AS (SELECT p_partkey, p_partkey % 7 - 3 AS ic, p_partkey % 11 / 2 - 2 AS t, p_partkey % 5 - 1 AS total, CASE WHEN p_partkey % 13 > 0 THEN p_partkey % 3 - 1 END AS market, p_partkey % 2 AS bench, p_partkey % 4 - 1 AS spread FROM part)
-    SELECT p_partkey, concat_ws(',', CASE WHEN NOT (ic > 0 AND t >= 1.96) THEN 'positive_significant_ic' END, CASE WHEN total <= 0 THEN 'positive_net_return' END, CASE WHEN total <= bench THEN 'beats_benchmark' END,
-    CASE WHEN market IS NULL OR total <= market THEN 'beats_equal_weight_market' END, CASE WHEN spread <= 0 THEN 'top_layer_beats_bottom' END) AS failed,
+    "f37_run_verdicts", "horizon failed verdict", "ic t total market benchmark spread",
+    f"""WITH {FWD}, s AS (SELECT horizon, avg(ic) AS ic, avg(ic) / nullif(stddev_samp(ic), 0) * sqrt(count(*)) AS t FROM ic WHERE ic IS NOT NULL GROUP BY 1),
+    li AS (SELECT *, row_number() OVER (PARTITION BY horizon, session ORDER BY score, symbol) - 1 AS i, count(*) OVER (PARTITION BY horizon, session) AS n FROM sf),
+    la AS (SELECT horizon, session, (CASE WHEN n = 1 THEN 9 ELSE least(9, i * 10 // (n - 1)) END)::INTEGER AS layer, avg(future) AS ret FROM li GROUP BY ALL),
+    tb AS (SELECT horizon, avg(top) AS total, avg(top - bottom) AS spread FROM (SELECT horizon, session, arg_max(ret, layer) AS top, arg_min(ret, layer) AS bottom FROM la GROUP BY ALL) GROUP BY 1),
+    mk AS (SELECT horizon, avg(m) AS market FROM (SELECT horizon, session, avg(future) AS m FROM sf GROUP BY ALL) GROUP BY 1), be AS (SELECT horizon, avg(future) AS benchmark FROM sf WHERE symbol = '000001' GROUP BY 1),
+    d AS (SELECT * FROM s JOIN tb USING (horizon) JOIN mk USING (horizon) LEFT JOIN be USING (horizon))
+    SELECT *, concat_ws(',', CASE WHEN NOT coalesce(ic > 0 AND t >= 1.96, false) THEN 'positive_significant_ic' END, CASE WHEN NOT coalesce(total > 0, false) THEN 'positive_net_return' END, CASE WHEN NOT coalesce(total > benchmark, false) THEN 'beats_benchmark' END,
+      CASE WHEN NOT coalesce(total > market, false) THEN 'beats_equal_weight_market' END, CASE WHEN NOT coalesce(spread > 0, false) THEN 'top_layer_beats_bottom' END) AS failed,
     CASE WHEN ic > 0 AND abs(t) >= 2 THEN CASE WHEN total > market THEN 'improved' ELSE 'partial' END ELSE 'failed' END AS verdict FROM d""",
 )
 def f37(spark, sf):
-    k = F.col("p_partkey")
-    d = a.table(spark, sf, "part").select(k, (k % 7 - 3).alias("ic"), (k % 11 / 2 - 2).alias("t"), (k % 5 - 1).alias("total"), F.when(k % 13 > 0, k % 3 - 1).alias("market"), (k % 2).alias("benchmark"), (k % 4 - 1).alias("spread"))
+    f = with_future(spark, sf).where("score is not null and future is not null")
+    by = ["horizon", "session"]
+    stats = me.ic_summary(me.rank_ic(f, "score", "future", by), ["horizon"]).select("horizon", F.col("mean").alias("ic"), "t")
+    lay = me.layers(f, "score", "future", by).groupBy(*by).agg(F.max_by("ret", "layer").alias("top"), F.min_by("ret", "layer").alias("bottom"))
+    total = lay.groupBy("horizon").agg(F.avg("top").alias("total"), F.avg(F.col("top") - F.col("bottom")).alias("spread"))
+    market = f.groupBy(*by).agg(F.avg("future").alias("m")).groupBy("horizon").agg(F.avg("m").alias("market"))
+    bench = f.where("symbol = '000001'").groupBy("horizon").agg(F.avg("future").alias("benchmark"))
+    d = stats.join(total, "horizon").join(market, "horizon").join(bench, "horizon", "left")
     return d.withColumns({"failed": F.concat_ws(",", op.failed_gates()), "verdict": op.verdict()})
 
 

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from tidemark import adapters as a
 from tidemark.functions import clean
 from tidemark.operators import bars as ob
-from tidemark.operators import extract
+from tidemark.operators import extract, markup
 from tidemark.sources import scan
 
 from .registry import DAILY, TICKS, query
@@ -141,3 +141,38 @@ def p6(spark, sf):
     k = F.col("s_suppkey")
     raw = F.when(k % 4 == 0, F.concat(F.lit(" SH."), k.cast("string"))).when(k % 4 == 1, F.concat(F.lit("sz"), k.cast("string"), F.lit(" "))).when(k % 4 == 2, F.concat(F.lit("bj"), k.cast("string"))).otherwise(k.cast("string"))
     return a.table(spark, sf, "supplier").select("s_suppkey", clean.pad_code(raw).alias("code"))
+
+
+# ---------------------------------------------------------------- S16, S12
+
+
+@query(
+    "s16_page_links", "page_id pos href title", "",
+    """WITH i AS (SELECT page_id, unnest(string_split_regex(regexp_replace(html, '(?is)<script\\b.*?</script\\s*>|<style\\b.*?</style\\s*>|<!--.*?-->', ' ', 'g'), '(?i)<li[\\s>]')[2:]) AS item, unnest(range(1, 100000)) AS i FROM (SELECT page_id, html FROM pages WHERE html IS NOT NULL)),
+    l AS (SELECT page_id, i, regexp_extract(item, '(?i)<a\\b[^>]*?\\bhref\\s*=\\s*["'']([^"'']*)["''][^>]*>', 1) AS href, regexp_extract(item, '(?is)<a\\b[^>]*>(.*?)</a', 1) AS t FROM i WHERE item IS NOT NULL),
+    p AS (SELECT page_id, i, href, trim(regexp_replace(replace(replace(replace(replace(replace(replace(regexp_replace(t, '<[^>]*>', '', 'g'), '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&#39;', ''''), '&nbsp;', ' '), '&amp;', '&'), '\\s+', ' ', 'g')) AS title FROM l)
+    SELECT page_id, row_number() OVER (PARTITION BY page_id ORDER BY i) AS pos, href, title FROM p WHERE href <> '' AND title <> ''""",
+)
+def s16(spark, sf):
+    return markup.links(a.table(spark, sf, "pages"))
+
+
+#: A page for each order priority: a table of something else, then one of days and rates, with rows that are cut or impossible.
+@query(
+    "s12_table_parity", "page_id as_of", "value change_pct",
+    """WITH d AS (SELECT o_orderpriority AS page_id, o_orderdate::DATE AS day, count(*) * 100 + day(o_orderdate::DATE) AS rate FROM orders GROUP BY 1, 2, day(o_orderdate::DATE)),
+    k AS (SELECT page_id, day, rate / 100.0::DOUBLE AS v FROM d WHERE rate % 7 <> 0 AND day(day) % 5 <> 0),
+    n AS (SELECT *, row_number() OVER (PARTITION BY page_id ORDER BY day DESC) AS n, lead(v) OVER (PARTITION BY page_id ORDER BY day DESC) AS before FROM k)
+    SELECT page_id, day AS as_of, round(v, 4) AS value, round((v / before - 1) * 100, 4) AS change_pct FROM n WHERE n = 1""",
+)
+def s12(spark, sf):
+    day = F.to_date("o_orderdate")
+    d = a.table(spark, sf, "orders").groupBy(F.col("o_orderpriority").alias("page_id"), day.alias("day")).agg(F.count("*").alias("c"))
+    rate = F.col("c") * 100 + F.dayofmonth("day")
+    shown = F.when(rate % 7 == 0, F.concat(F.lit("-"), rate.cast("string"))).otherwise(rate.cast("string"))
+    date = F.when(F.dayofmonth("day") % 5 == 0, F.lit("no day")).otherwise(F.date_format("day", "yyyy-MM-dd"))
+    # every third row has unclosed cells
+    row = F.when(F.dayofmonth("day") % 3 == 0, F.concat(F.lit("<tr><td>x<td> "), date, F.lit("<td><b>"), shown, F.lit("</b>"))).otherwise(F.concat(F.lit('<TR class="r"><td>x</td><td>'), date, F.lit("</td><td>"), shown, F.lit("</td></tr>")))
+    rows = d.select("page_id", "day", row.alias("r")).groupBy("page_id").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("day", "r"))), lambda x: x["r"]), "\n").alias("rows"))  # the days of a page
+    html = F.concat(F.lit("<html><!-- <table> --><table><tr><th>Name</th></tr><tr><td>1</td></tr></table><script>'<table>'</script><table><tr><th></th><th>Day</th><th>Rate&nbsp;</th></tr>"), "rows", F.lit("<tr><td>cut</table>"))
+    return markup.parity(markup.table_rows(rows.select("page_id", html.alias("html")), ["Day", "Rate"]), "Day", "Rate")
