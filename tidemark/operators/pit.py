@@ -38,13 +38,15 @@ def nearest(left: DataFrame, right: DataFrame, on: list[str], at: str, tolerance
     into buckets of the tolerance's width, so a row meets three buckets of its key instead of the whole day. Ties go to
     the earlier right row. Columns of right get the suffix _near; unmatched rows have nulls."""
     sec = F.unix_seconds(F.col(at).cast("timestamp"))
-    r = right.select(*on, *(F.col(c).alias(f"{c}_near") for c in right.columns if c not in on), sec.alias("__rs"), F.floor(sec / tolerance).alias("__b"))
-    l0 = left.withColumn("__ls", sec).withColumn("__id", F.xxhash64(*left.columns))
-    probes = l0.withColumn("__b", F.explode(F.array(*(F.floor(F.col("__ls") / tolerance) + i for i in (-1, 0, 1)))))
+    names = [c for c in right.columns if c not in on]
+    r = right.select(*on, F.struct(*(F.col(c).alias(f"{c}_near") for c in names)).alias("__r"), sec.alias("__rs"), F.floor(sec / tolerance).alias("__b"))
+    l0 = left.withColumn("__ls", sec)
+    # rows of the same keys and second meet the same row, so what is found belongs to these
+    wanted = l0.select(*on, "__ls").distinct()
+    probes = wanted.withColumn("__b", F.explode(F.array(*(F.floor(F.col("__ls") / tolerance) + i for i in (-1, 0, 1)))))
     hit = probes.join(r, [*on, "__b"]).where(F.abs(F.col("__rs") - F.col("__ls")) <= tolerance)
-    w = Window.partitionBy("__id").orderBy(F.abs(F.col("__rs") - F.col("__ls")), "__rs")
-    best = hit.withColumn("__n", F.row_number().over(w)).where("__n = 1").select("__id", *(f"{c}_near" for c in right.columns if c not in on))
-    return l0.join(best, "__id", "left").drop("__id", "__ls")
+    best = hit.groupBy(*on, "__ls").agg(F.min_by("__r", F.struct(F.abs(F.col("__rs") - F.col("__ls")), "__rs")).alias("__r"))
+    return l0.join(best, [*on, "__ls"], "left").select(*left.columns, *(F.col(f"__r.{c}_near") for c in names))
 
 
 def resample(bars: DataFrame, period: Column, name: str) -> DataFrame:

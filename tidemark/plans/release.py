@@ -106,7 +106,7 @@ def responses(spark, sf) -> DataFrame:
     """(path, content): a response for each session with a line for each bar, in the provider's charset; some lines are cut."""
     b = a.bars(spark, sf)
     s = F.col("symbol").cast("int")
-    fields = F.concat_ws(",", F.concat(F.lit("证券"), "symbol"), F.round("open", 2).cast("string"), F.lit("-"), F.round("close", 2).cast("string"), F.lit("x"), F.lit("0"), F.lit("1"), F.lit("2"), F.col("volume").cast("long").cast("string"), F.lit("7"))
+    fields = F.concat_ws(",", F.concat(F.lit("证券"), "symbol"), F.floor("open").cast("string"), F.lit("-"), F.floor("close").cast("string"), F.lit("x"), F.lit("0"), F.lit("1"), F.lit("2"), F.col("volume").cast("long").cast("string"), F.lit("7"))
     timed = F.concat(fields, F.lit("," * 20), F.lit(","), F.date_format("session", "yyyy-MM-dd"), F.lit(",15:00:00"))
     body = F.when(s % 5 == 0, fields).when(s % 7 == 0, F.lit("short,1")).otherwise(timed)
     line = F.concat(F.lit("var hq_str_bj"), "symbol", F.lit('="'), body, F.lit('";'))
@@ -121,7 +121,7 @@ def responses(spark, sf) -> DataFrame:
 
 @query(
     "s8_provider_quotes", "path symbol name quoted", "open last high volume",
-    f"""WITH {BARS} SELECT session::VARCHAR AS path, symbol, '证券' || symbol AS name, round(open, 2) AS open, round(close, 2) AS last, NULL::DOUBLE AS high, volume::BIGINT::DOUBLE AS volume,
+    f"""WITH {BARS} SELECT session::VARCHAR AS path, symbol, '证券' || symbol AS name, floor(open) AS open, floor(close) AS last, NULL::DOUBLE AS high, volume::BIGINT::DOUBLE AS volume,
     CASE WHEN symbol::INT % 5 <> 0 THEN strftime(session::TIMESTAMP + INTERVAL 15 HOUR, '%Y-%m-%d %H:%M:%S') END AS quoted FROM bars WHERE symbol::INT % 5 = 0 OR symbol::INT % 7 <> 0""",
 )
 def s8(spark, sf):

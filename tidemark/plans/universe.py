@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark import adapters as a
+from tidemark.functions.shared import staged
 from tidemark.operators import factors as fo
 from tidemark.operators import pit
 from tidemark.operators import universe as op
@@ -171,12 +172,18 @@ d13 AS (SELECT *, {", ".join(f"least(greatest({c}, 0), 10) AS {n}" for c, n in z
     f"WITH {C2} SELECT *, .25 * technical + .2 * capital + .25 * fundamental + .15 * valuation + .15 * sentiment AS five_dim FROM d13",
 )
 def c2(spark, sf):
-    z = fo.standardise(cross_section(spark, sf), ALL, ["session"])
+    return daily_scores(cross_section(spark, sf))
+
+
+def daily_scores(cross: DataFrame) -> DataFrame:
+    z = fo.standardise(cross, ALL, ["session"])
     d = fo.five_dimensions(z.withColumns({"z_profit": F.col("z_profit_yoy"), "z_pe": F.col("z_pe_percentile")}))
     return fo.composite(d, WEIGHTS, ["session"])
 
 
 @query("x78_latest_factors", "symbol session", "raw score", f"WITH {C2} SELECT symbol, session, raw, score FROM d13 WHERE session = (SELECT max(session) FROM d13 WHERE score IS NOT NULL)")
 def x78(spark, sf):
-    d = c2(spark, sf).where("score is not null").select("symbol", "session", "raw", "score")
-    return d.withColumn("n", F.dense_rank().over(Window.partitionBy("symbol").orderBy(F.desc("session")))).where("n = 1").withColumn("last", F.max("session").over(Window.partitionBy())).where("session = last")
+    cross = staged(cross_section(spark, sf), "cross-section")
+    known = F.coalesce(*(F.col(f) for f, w in WEIGHTS.items() if w)).isNotNull()
+    last = cross.where(known).agg(F.max("session").alias("session"))  # the newest session that any score can be made of
+    return daily_scores(cross.join(F.broadcast(last), "session", "left_semi")).where("score is not null")
