@@ -28,8 +28,9 @@ def filtered(
     d = scored.withColumn("volatility", finite(F.col("volatility")))
     if risk is not None:
         thirds = d.groupBy("session").agg(F.percentile("volatility", F.lit(1 / 3)).alias("__a"), F.percentile("volatility", F.lit(2 / 3)).alias("__b"))
-        v, low = F.col("volatility"), F.when(F.col("__a").isNull(), F.raise_error(F.lit("no volatility to tell risks by")).cast("double")).otherwise(F.col("__a"))
-        level = F.when(v <= low, "low").when(v <= F.col("__b"), "mid").when(v > F.col("__b"), "high")
+        checked = F.when(F.col("__a").isNull(), F.raise_error(F.lit("no volatility to tell risks by")).cast("double")).otherwise(F.col("__a"))
+        thirds, v = thirds.withColumn("__a", checked), F.col("volatility")
+        level = F.when(F.col("__a") >= v, "low").when(v <= F.col("__b"), "mid").when(v > F.col("__b"), "high")
         d = d.join(thirds, "session").withColumn("__risk", level).where(F.col("__risk") == risk).drop("__a", "__b", "__risk")
     s = securities.withColumn("industry", F.trim("industry")).withColumn("cap", finite(F.col("cap"))).where(F.col("listed") & ~F.col("is_st"))
     if names is not None:
