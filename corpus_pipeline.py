@@ -2,7 +2,13 @@
 
 Each stage takes (spark, docs, sf_dir), works on all rows that the stage before kept, and returns a DataFrame that is
 written as Parquet and read again as the next stage's docs. All stages but the last return the columns of documents; the
-last adds copy and shuffle_key, which name a copy of a document and its place in the global order.
+last adds copy and shuffle_key, which name a copy of a document and its place in the global order. A stage's table is removed
+when the one after it is written.
+
+Defined results: null and empty texts are scored, linked and sampled like any other (the classifier decides whether they stay);
+rows without an id take part, and of a class of near-duplicates one row stays whatever its id; repeated rows are
+near-duplicates; ties go as the operators say; an empty table gives an empty result; columns of any name are kept, and where
+one is named copy or shuffle_key, the last stage's own gets an underscore at its end.
 """
 
 from __future__ import annotations
@@ -12,7 +18,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 from tidemark.llm import decontam, mixing, quality, secret_scan, simhash
-from tidemark.llm.common import shared_dir, table
+from tidemark.llm.common import discard, shared_dir, table
 
 
 def quality_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -60,4 +66,6 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         path = f"{base}/{k}"
         stage(spark, docs, sf_dir).write.parquet(path)
         docs = spark.read.parquet(path)
+        if k:
+            discard(spark, f"{base}/{k - 1}")
     return STAGES[-1][1](spark, docs, sf_dir)
