@@ -6,7 +6,9 @@ import json
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
+from tidemark.functions.shared import discard
 from tidemark.sources.merge import pick, upsert_changed
 
 # ---------------------------------------------------------------- incremental factors
@@ -90,8 +92,6 @@ class SnapshotError(ValueError):
 
 def read_snapshot(spark: SparkSession, path: str) -> DataFrame:
     """The rows of a snapshot whose partitions all agree with its manifest. A missing, added or damaged one is an error."""
-    from pyspark.sql.types import StructType
-
     about = json.loads(spark.read.text(f"{path}/about").first()["value"])
     schema = StructType.fromJson(about["schema"])
     rows = spark.read.schema(schema).parquet(f"{path}/rows").select(*schema.names)
@@ -126,9 +126,8 @@ def import_snapshot(target: DataFrame, path: str, keys: list[str]) -> tuple[Data
 # ---------------------------------------------------------------- repairs
 
 
-def faults(bars: DataFrame, factors: DataFrame | None = None) -> DataFrame:
-    """bars with a column fault: the first rule that a row breaks (mock source, weekend, impossible prices), else null. With
-    factors, those (symbol, session) without a bar are rows for a table of factors: see orphans()."""
+def faults(bars: DataFrame) -> DataFrame:
+    """bars with a column fault: the first rule that a row breaks (mock source, weekend, impossible prices), else null."""
     prices = [F.col(c) for c in ("open", "high", "low", "close")]
     finite = [p.isNotNull() & ~F.isnan(p) & (p > 0) for p in prices]
     ok = finite[0] & finite[1] & finite[2] & finite[3] & (F.col("high") >= F.greatest("open", "close", "low")) & (F.col("low") <= F.least("open", "close", "high"))
@@ -150,7 +149,7 @@ def repair_partitions(marked: DataFrame, path: str, quarantine: str, by: str, fe
     spark = marked.sparkSession
     own = [c for c in marked.columns if c != "fault"]
     touched = marked.where("fault IS NOT NULL").select(by).distinct()
-    rows = marked.join(F.broadcast(touched), by, "left_semi")  # the names of partitions
+    rows = marked.join(F.broadcast(touched), by, "left_semi")  # names of partitions, as many as folders
     bad = rows.where("fault IS NOT NULL")
     bad.write.mode("append").parquet(quarantine)
     before = rows.groupBy(by).agg(F.count("*").alias("before"), F.count("fault").alias("removed"))
@@ -171,12 +170,6 @@ def repair_partitions(marked: DataFrame, path: str, quarantine: str, by: str, fe
     back.select(*own).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(by).parquet(path)
     empty = [r[by] for r in report.where("after = 0").collect()]
     for value in empty:  # dynamic overwrite leaves partitions without new rows as they are
-        _remove(spark, f"{path}/{by}={value}")
-    _remove(spark, copy)
+        discard(spark, f"{path}/{by}={value}")
+    discard(spark, copy)
     return report
-
-
-def _remove(spark: SparkSession, path: str) -> None:
-    from tidemark.functions.shared import discard
-
-    discard(spark, path)
