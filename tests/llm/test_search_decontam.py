@@ -207,3 +207,15 @@ def test_small_tables_without_a_frequent_word(spark, kind):
         assert found == {(a, b) for a in (6000, 6020) for b in (6000, 6020)}
     else:
         assert found == {(20 * i, 20 * i) for i in range(len(texts))}
+
+
+def test_a_partition_of_several_shards_is_searched_whole(spark, monkeypatch):
+    monkeypatch.setattr(bm25, "SHARD_DOCS", 7)
+    rng = random.Random(4)
+    words = [f"w{i}" for i in range(60)]
+    docs = spark.createDataFrame([(i, " ".join(rng.choice(words) for _ in range(rng.choice([0, 3, 30, 90])))) for i in range(120)], "doc_id long, text string").coalesce(1)
+    want = sorted(tuple(r) for r in bm25.search(docs).collect())
+    assert sorted(tuple(r) for r in bm25.search(docs, shard_postings=40).collect()) == want
+    index = bm25.forward_index(docs).where("size(terms) > 0").select("doc_id", "dl", "terms", "tfs")
+    queries = bm25.stage_table(spark.createDataFrame([], "qid long, term long, idf double, least double, least_id long"), "none")
+    assert bm25.search_shards(index, queries, 10.0, 10, 40).count() == 0
