@@ -75,3 +75,19 @@ def test_nearest_keeps_equal_rows(spark):
     right = spark.createDataFrame([("a", 8, 5), ("a", 12, 6), ("b", 99, 7)], "k string, s long, w int").select("k", F.timestamp_seconds("s").alias("t"), "w")
     got = sorted((r["k"] or "", r["v"], r["w_near"]) for r in pit.nearest(left, right, ["k"], "t", 5).collect())
     assert got == [("", 1, None), ("a", 1, 5), ("a", 1, 5), ("a", 2, 5), ("b", 1, None)]
+
+
+def test_the_leader_of_a_window(spark):
+    import datetime as dt
+
+    from tidemark.operators import sectors
+
+    day = lambda i: dt.date(2024, 1, 1) + dt.timedelta(days=i)
+    path = {"b": [1, 2, 1, 3], "up": [1, 2, 1, 3], "like": [2, 4, 2, 5], "anti": [4, 2, 4, 2], "flat": [1, 1, 1, 1], "gap": [1, None, 9, 99], "solo": [1, 2, 3, 9]}
+    rows = [(s, day(i), float(c)) for s, p in path.items() for i, c in enumerate(p) if c is not None] + [("up", day(-1), 50.0), ("b", day(-1), 1.0)]
+    bars = spark.createDataFrame(rows, "symbol string, session date, close double")
+    plates = spark.createDataFrame([("p", s) for s in ("like", "anti", "up", "flat", "gap")] + [("q", "solo"), ("q", "flat")], "plate string, symbol string")
+    got = sectors.window_leaders(bars, plates, "b", 3).orderBy("rank").collect()
+    assert [(r["plate"], r["rank"], r["symbol"], r["leader"], r["n"]) for r in got] == [("p", 1, "like", "up", 3), ("p", 2, "anti", "up", 3)]
+    assert got[0]["total"] == 1.5 and got[0]["corr"] > 0.9 > -0.8 > got[1]["corr"]
+    assert sectors.window_leaders(bars, plates, "b", 5).count() == 0

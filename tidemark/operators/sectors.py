@@ -131,6 +131,25 @@ def leader_correlation(returns: DataFrame, plates: DataFrame, lead: DataFrame, l
     return guarded_corr(both, "ret", "leader_ret", ["plate", "symbol"], "corr", least)
 
 
+def window_leaders(bars: DataFrame, plates: DataFrame, benchmark: str, lookback: int = 20) -> DataFrame:
+    """(plate, rank, symbol, leader, total, n, corr): a plate's members by the correlation of their daily returns with those of
+    the member with the largest return over the benchmark's last `lookback` sessions (ties: lower symbol). Only members with a
+    close on every one of these sessions and the one before, and returns that vary, take part; the leader itself has no row,
+    nor has a plate with fewer than two of them, nor any if the benchmark has too few sessions."""
+    ok = bars.where((F.col("close") > 0) & (F.col("close") < float("inf")))
+    days = ok.where(F.col("symbol") == benchmark).select("session").distinct().orderBy(F.desc("session")).limit(lookback + 1)
+    w = Window.partitionBy("symbol").orderBy("session")
+    each = ok.join(F.broadcast(days), "session", "left_semi").select("symbol", "session", "close")
+    each = each.withColumn("ret", F.try_divide(F.col("close"), F.lag("close").over(w)) - 1)
+    per = each.groupBy("symbol").agg(F.count("*").alias("__n"), F.stddev_pop("ret").alias("__s"), (F.max_by("close", "session") / F.min_by("close", "session") - 1).alias("total"))
+    members = plates.join(per.where((F.col("__n") == lookback + 1) & (F.col("__s") > 1e-12)).select("symbol", "total"), "symbol")
+    lead = members.groupBy("plate").agg(F.min(F.struct((-F.col("total")).alias("t"), "symbol")).alias("l")).select("plate", F.col("l.symbol").alias("leader"))
+    of_leader = lead.join(each.select(F.col("symbol").alias("leader"), "session", F.col("ret").alias("__r")), "leader")
+    both = members.join(each.select("symbol", "session", "ret"), "symbol").join(of_leader, ["plate", "session"]).where("symbol <> leader")
+    linked = guarded_corr(both, "ret", "__r", ["plate", "symbol", "leader", "total"], "corr", lookback)
+    return linked.withColumn("rank", F.row_number().over(Window.partitionBy("plate").orderBy(F.desc(F.round("corr", 12)), "symbol")))
+
+
 def exact_days(flows: DataFrame, days: int = 5) -> DataFrame:
     """(plate, flow): the sum over exactly the newest `days` sessions, from one source; otherwise the plate is missing."""
     wanted = flows.select("session").distinct().orderBy(F.desc("session")).limit(days)

@@ -154,6 +154,20 @@ def w26(spark, sf):
     return op.leader_correlation(returns(spark, sf), p, p.groupBy("plate").agg(F.min("symbol").alias("leader")))
 
 
+@query(
+    "w26_window_leaders", "plate rank symbol leader n", "total corr",
+    f"""WITH {BARS}, {MEMBERS}, w21 AS (SELECT DISTINCT session FROM bars WHERE symbol = '000001' AND close > 0 ORDER BY session DESC LIMIT 21),
+    o AS (SELECT symbol, session, close, close / lag(close) OVER (PARTITION BY symbol ORDER BY session) - 1 AS ret FROM bars WHERE close > 0 AND session IN (SELECT session FROM w21)),
+    p AS (SELECT symbol, arg_max(close, session) / arg_min(close, session) - 1 AS total FROM o GROUP BY 1 HAVING count(*) = 21 AND stddev_pop(ret) > 1e-12),
+    l AS (SELECT plate, first_value(symbol) OVER (PARTITION BY plate ORDER BY total DESC, symbol) AS leader, symbol, total FROM plates JOIN p USING (symbol)),
+    b AS (SELECT l.plate, l.symbol, l.leader, l.total, x.ret, y.ret AS lr FROM l JOIN o x ON x.symbol = l.symbol JOIN o y ON y.symbol = l.leader AND y.session = x.session WHERE l.symbol <> l.leader AND x.ret IS NOT NULL AND y.ret IS NOT NULL),
+    c AS (SELECT plate, symbol, leader, total, count(*) AS n, covar_pop(ret, lr) / (stddev_pop(ret) * stddev_pop(lr)) AS corr FROM b GROUP BY ALL)
+    SELECT *, row_number() OVER (PARTITION BY plate ORDER BY round(corr, 12) DESC, symbol)::INT AS rank FROM c""",
+)
+def w26_window(spark, sf):
+    return op.window_leaders(a.bars(spark, sf), a.plates(spark, sf), "000001")
+
+
 @query(
     "a5_exact_five_sessions", "plate", "flow",
     f"""WITH {PANEL}, f AS (SELECT plate, session, amount, CASE WHEN plate = 'N03' AND month(session) = 6 THEN 'b' ELSE 'a' END AS source FROM panel),
