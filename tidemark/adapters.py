@@ -24,20 +24,16 @@ def symbol(col: str):
 
 
 def _ohlc(lines: DataFrame, session) -> DataFrame:
+    """Bars of a supplier's lines. Few lines share a bar, and those lie apart, so each line is shuffled once, narrow and as it is:
+    partial bars before the shuffle would be wider than the lines, and be made by sorting whole splits of the file."""
     at = F.struct("l_shipdate", "l_orderkey", "l_linenumber", "l_partkey", "l_extendedprice")
-    priced = lines.select(
-        symbol("l_suppkey").alias("symbol"),
-        session.alias("session"),
-        (F.col("l_extendedprice") / F.col("l_quantity")).alias("price"),
-        at.alias("at"),
-        "l_quantity",
-        "l_extendedprice",
-    )
+    narrow = lines.select(symbol("l_suppkey").alias("symbol"), session.alias("session"), "l_shipdate", "l_orderkey", "l_linenumber", "l_partkey", "l_extendedprice", "l_quantity")
+    priced = narrow.repartition("symbol", "session").withColumn("price", F.col("l_extendedprice") / F.col("l_quantity"))
     return priced.groupBy("symbol", "session").agg(
-        F.min_by("price", "at").alias("open"),
+        F.min_by("price", at).alias("open"),
         F.max("price").alias("high"),
         F.min("price").alias("low"),
-        F.max_by("price", "at").alias("close"),
+        F.max_by("price", at).alias("close"),
         F.sum("l_quantity").alias("volume"),
         F.sum("l_extendedprice").alias("amount"),
     )
