@@ -337,3 +337,17 @@ def test_slots_apart_are_not_one_group(spark):
         want = sorted((j, x, found.get(i, -1)) for i, (j, x) in enumerate(s))
         assert rows(jobs.slot_matches(slots, runs, tolerance).fillna(-1), "job", "slot", "run") == want
         assert jobs.slot_clusters(slots, runs, tolerance)[0].groupBy("job", "cluster").count().agg(F.max("count")).first()[0] == largest
+
+
+def test_nearest_makes_no_pairs(spark):
+    """Keys that are null match nothing, equal distances go to the earlier row, and no join pairs the rows of a bucket."""
+    at = lambda s: dt.datetime(2024, 1, 1) + dt.timedelta(seconds=s)
+    rng = random.Random(4)
+    left = [(i, rng.choice(["a", "b", None]), None if i == 7 else at(rng.randrange(4000))) for i in range(300)]
+    right = [(k, at(s), s) for k in ("a", "b", None) for s in rng.sample(range(4000), 25)] + [("a", None, 1)]
+    got = pit.nearest(spark.createDataFrame(left, "id int, k string, ts timestamp"), spark.createDataFrame(right, "k string, ts timestamp, v int"), ["k"], "ts", 60)
+    assert "Join" not in got._jdf.queryExecution().optimizedPlan().toString()
+    own = {r["id"]: r["v_near"] for r in got.collect()}
+    for i, k, t in left:
+        near = [(abs((u - t).total_seconds()), u, v) for q, u, v in right if t and u and k and q == k and abs((u - t).total_seconds()) <= 60]
+        assert own[i] == (min(near)[2] if near else None)

@@ -35,18 +35,22 @@ def asof_backward(left: DataFrame, right: DataFrame, by: list[str], at: str, sin
 
 def nearest(left: DataFrame, right: DataFrame, on: list[str], at: str, tolerance: int) -> DataFrame:
     """Each left row with the right row of the same keys nearest in time, within the tolerance in seconds: times are put
-    into buckets of the tolerance's width, so a row meets three buckets of its key instead of the whole day. Ties go to
-    the earlier right row. Columns of right get the suffix _near; unmatched rows have nulls."""
+    into buckets of the tolerance's width, and right rows into the buckets beside theirs as well, so that a left row finds
+    the right rows before and after it in its own bucket. One shuffle over both sides, and no pairs are made. Ties go to the
+    earlier right row. Columns of right get the suffix _near; unmatched rows have nulls."""
     sec = F.unix_seconds(F.col(at).cast("timestamp"))
     names = [c for c in right.columns if c not in on]
-    r = right.select(*on, F.struct(*(F.col(c).alias(f"{c}_near") for c in names)).alias("__r"), sec.alias("__rs"), F.floor(sec / tolerance).alias("__b"))
-    l0 = left.withColumn("__ls", sec)
-    # rows of the same keys and second meet the same row, so what is found belongs to these
-    wanted = l0.select(*on, "__ls").distinct()
-    probes = wanted.withColumn("__b", F.explode(F.array(*(F.floor(F.col("__ls") / tolerance) + i for i in (-1, 0, 1)))))
-    hit = probes.join(r, [*on, "__b"]).where(F.abs(F.col("__rs") - F.col("__ls")) <= tolerance)
-    best = hit.groupBy(*on, "__ls").agg(F.min_by("__r", F.struct(F.abs(F.col("__rs") - F.col("__ls")), "__rs")).alias("__r"))
-    return l0.join(best, [*on, "__ls"], "left").select(*left.columns, *(F.col(f"__r.{c}_near") for c in names))
+    r = right.dropna(subset=[*on, at]).select(*on, F.struct(*(F.col(c).alias(f"{c}_near") for c in names)).alias("__r"), sec.alias("__s"), F.lit(0).alias("__side"))
+    r = r.withColumn("__b", F.explode(F.array(*(F.floor(F.col("__s") / tolerance) + i for i in (-1, 0, 1)))))
+    rows = left.withColumns({"__s": sec, "__side": F.lit(1), "__b": F.floor(sec / tolerance)}).unionByName(r, allowMissingColumns=True)
+    w = Window.partitionBy(*on, "__b")
+    found = F.last(F.when(F.col("__side") == 0, F.struct("__s", "__r")), ignorenulls=True)
+    start = Window.unboundedPreceding
+    rows = rows.withColumn("__before", found.over(w.orderBy("__s", "__side").rowsBetween(start, 0)))
+    rows = rows.withColumn("__after", found.over(w.orderBy(F.desc("__s"), "__side").rowsBetween(start, 0))).where("__side = 1")
+    back, ahead = F.col("__s") - F.col("__before.__s"), F.col("__after.__s") - F.col("__s")
+    near = F.when((back <= tolerance) & ((back <= ahead) | ahead.isNull()), F.col("__before.__r")).when(ahead <= tolerance, F.col("__after.__r"))
+    return rows.withColumn("__near", near).select(*left.columns, *(F.col(f"__near.{c}_near") for c in names))
 
 
 def resample(bars: DataFrame, period: Column, name: str) -> DataFrame:
