@@ -17,3 +17,10 @@ def test_bars_shuffle_lines_once_and_make_no_partial_bars(spark):
     got = {r["symbol"]: tuple(r)[1:] for r in bars.collect()}
     assert got == {"000007": (dt.date(2000, 1, 1), 2.0, 30.0, 2.0, 5.0, 8.0, 63.0), "123456": (dt.date(2000, 1, 1), 1.0, 2.0, 1.0, 2.0, 2.0, 3.0)}
     assert plan.count("Exchange") == 1 and plan.rindex("Aggregate") < plan.index("Exchange")
+
+
+def test_read_through_bars_sum_the_lines_up_once(spark):
+    from tidemark import plans
+
+    plan = plans.QUERIES["x21_read_through_bars"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert "l_shipdate" not in plan and "Join" in plan

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tidemark import adapters as a
 from tidemark.functions import clean
+from tidemark.functions.shared import staged
 from tidemark.operators import bars as ob
 from tidemark.operators import extract, markup
 from tidemark.sources import scan
@@ -33,7 +34,8 @@ through AS (SELECT * FROM pr
 
 
 def places(spark, sf) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
-    d, s = a.daily_bars(spark, sf), F.col("symbol").cast("int")
+    # written once: each place and frequency reads them with other columns
+    d, s = staged(a.daily_bars(spark, sf), "daily-bars"), F.col("symbol").cast("int")
     source = F.when((s % 8 == 4) & (F.dayofmonth("session") == 3), "mock").when(F.month("session") % 2 == 0, "vendor_a").otherwise("exchange")
     provider = d.where((s % 4).isin(1, 2) | ((s % 4 == 3) & (F.col("session") < "1998-01-01"))).withColumn("volume", F.col("volume") + 1)
     native = ob.resampled(provider.where(s % 4 == 2), "w").withColumn("volume", F.col("volume") + 0.5).withColumn("frequency", F.lit("w"))
