@@ -143,11 +143,15 @@ k0 AS (SELECT pf.*, {", ".join(f"{m}.value AS {m}" for m in METRICS)},
 c13 AS (SELECT *, ({avg_rank("pe1", "session")}) / count(pe1) OVER (PARTITION BY session) AS pe_percentile, ({avg_rank("pb1", "session")}) / count(pb1) OVER (PARTITION BY session) AS pb_percentile FROM k0)"""
 
 
-def cross_section(spark, sf) -> DataFrame:
+def cross_section(spark, sf, session=None) -> DataFrame:
+    """The factors of every session, or of one: histories are read whole, the rest for that session alone."""
     p = a.plates(spark, sf)
+    price = price_factors(spark, sf)
+    if session is not None:
+        price = price.where(F.col("session") == F.lit(session))
     strength = a.bars(spark, sf).join(p, "symbol").groupBy("plate", "session").agg(F.avg(F.col("close") / F.col("open")).alias("strength"))
     inflow = op.symbol_mean(p, op.five_session_flow(a.flows(spark, sf)), "flow_5", "net_inflow")
-    return op.cross_section(price_factors(spark, sf), five_metrics(spark, sf), METRICS, a.valuations(spark, sf), inflow, op.symbol_mean(p, strength, "strength", "sector_strength"))
+    return op.cross_section(price, five_metrics(spark, sf), METRICS, a.valuations(spark, sf), inflow, op.symbol_mean(p, strength, "strength", "sector_strength"))
 
 
 @query("c1_factor_cross_section", "symbol session", " ".join(ALL), f"WITH {C1} SELECT * FROM c13")
@@ -183,7 +187,10 @@ def daily_scores(cross: DataFrame) -> DataFrame:
 
 @query("x78_latest_factors", "symbol session", "raw score", f"WITH {C2} SELECT symbol, session, raw, score FROM d13 WHERE session = (SELECT max(session) FROM d13 WHERE score IS NOT NULL)")
 def x78(spark, sf):
-    cross = staged(cross_section(spark, sf), "cross-section")
     known = F.coalesce(*(F.col(f) for f, w in WEIGHTS.items() if w)).isNotNull()
+    newest = a.bars(spark, sf).agg(F.max("session")).first()[0]
+    cross = staged(cross_section(spark, sf, newest), "cross-section")
+    if cross.where(known).isEmpty():  # the calendar's last session has no score: look through all
+        cross = staged(cross_section(spark, sf), "cross-section")
     last = cross.where(known).agg(F.max("session").alias("session"))  # the newest session that any score can be made of
     return daily_scores(cross.join(F.broadcast(last), "session", "left_semi")).where("score is not null")
