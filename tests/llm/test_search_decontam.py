@@ -89,6 +89,36 @@ def test_skipped_blocks_are_not_touched():
     assert len(shard.search(queries[:1], 10, [1e9], [0])[0][0]) == 0 and shard.read == before
 
 
+def test_like_documents_share_blocks_and_like_queries_a_batch():
+    rng = np.random.default_rng(2)
+    n, own = 4000, 25
+    terms = [rng.choice(60, own, replace=False) + 100 * (d % 4) for d in range(n)]  # four vocabularies by turns
+    ids = np.array([bm25.term_id(str(t)) for t in range(400)])
+    tfs, sizes = rng.geometric(0.5, n * own).astype(np.int32), np.full(n, own)
+    shard = bm25.Shard(np.arange(n), np.full(n, 40), ids[np.concatenate(terms)], tfs, sizes, 40.0)
+    known, slots = shard.slots(np.concatenate([ids[np.concatenate(terms[:64])], [0, 2**60 - 1]]))
+    assert known.tolist() == [True] * 64 * own + [False] * 2 and np.array_equal(shard.terms[slots], ids[np.concatenate(terms[:64])])
+    slots = np.sort(slots.reshape(64, own))
+    group = shard.groups(np.repeat(np.arange(64), own), slots.ravel(), 64)
+    assert all(set(group[v::4]).isdisjoint(group[w::4]) for v in range(4) for w in range(v))
+    impact = tfs * (bm25.K1 + 1) / (tfs + bm25.K1)
+    sums = np.zeros((n, len(shard.terms)))
+    sums[np.repeat(np.arange(n), own), np.searchsorted(shard.terms, ids[np.concatenate(terms)])] = impact
+    for v in range(4):
+        queries, before = [(s, np.linspace(0.5, 2, own)) for s in slots[v::4]], shard.read
+        for (s, idf), (rows, scores) in zip(queries, shard.search(queries, 10, [-np.inf] * 16, [0] * 16)):
+            want = sorted(zip(np.round(-(sums[:, s] @ idf), 6).tolist(), range(n)))[:10]
+            assert [d for _, d in want] == shard.doc_ids[rows].tolist() and np.allclose(scores, [-x for x, _ in want], atol=2e-6)
+        assert shard.read - before < 0.3 * shard.blocks
+
+
+def test_words_are_runs_of_letters_and_digits():
+    rng = random.Random(3)
+    texts = ["".join(map(chr, range(128))), "".join(f"a{chr(c)}B_" for c in range(0x3000) if not 0xD800 <= c < 0xE000), "__init__ x_1 Ünder_score İ_ǅ ² ٣"]
+    texts += ["".join(rng.choice("aB9_ .\n\x1c\x85éΣ") for _ in range(30)) for _ in range(300)]
+    assert all(bm25.words(t) == re.findall(r"[^\W_]+", t.lower()) for t in texts)
+
+
 def test_query_takes_all_terms(spark, tmp_path):
     rows = corpus()
     spark.createDataFrame(rows, DOCS).write.parquet(f"{tmp_path}/documents.parquet")
